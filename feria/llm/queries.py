@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from feria.llm import token_files
+from feria.llm import mixing, stream_dedup, token_files, winnow
 
 QUERIES = {
+    "op2_stream_dedup": stream_dedup.query,
     "op3_token_files": token_files.query,
+    "op7_winnow": winnow.query,
+    "op8_mixing": mixing.query,
+}
+ORACLES = {
+    "op2_stream_dedup": stream_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
