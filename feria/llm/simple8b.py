@@ -28,13 +28,8 @@ _TAIL = struct.Struct("<QQQ8s")
 
 
 def bit_lengths(v: np.ndarray) -> np.ndarray:
-    out = np.zeros(v.shape, np.uint8)
-    rest = v.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = rest >= (np.uint64(1) << np.uint64(shift))
-        out[big] += shift
-        rest = np.where(big, rest >> np.uint64(shift), rest)
-    return out + (rest > 0)
+    """Bits that each value takes; a value that a double rounds up to a power of two may count as one more."""
+    return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +51,8 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.maximum(need[:, : -(c - half)], widest[half][:, c - half :], out=need[:, : -(c - half)])
             widest[c], span = need, c
         fits = need <= w
+        if not fits.any():  # nor do more and narrower values
+            break
         choice[fits] = sel
     sizes = np.ones(16, np.int64)
     sizes[1], sizes[2:] = ZEROS, COUNTS

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,30 +19,69 @@ from feria.llm import common, simple8b
 
 END_ID = 2
 #: Words whose ids a worker remembers; then it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Lower-case ASCII letters and ASCII signs but the apostrophe: the vocabulary's rules part them in any case.
+_SPLIT = re.compile(rb"([a-z]+)([!-&(-/:-@[-`{-~]+)")
 _state: dict = {}
 
 
-def _ids_of(texts: list[bytes], path: str) -> Iterator[np.ndarray]:
-    """Token ids of each text. The vocabulary's rules never join characters over ASCII white space, so a text's ids
-    are those of its words in order, and each word is encoded once."""
-    if _state.get("path") != path:
+class _Words:
+    """Ids of words, each encoded once: word i has ids flat[at[i]:at[i + 1]]."""
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tok=Tokenizer.from_file(path), cache={})
-    tok, cache = _state["tok"], _state["cache"]
-    split = [t.split() for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = list(set(itertools.chain.from_iterable(split)).difference(cache))
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False)):
-            cache[w] = tuple(e.ids)
-    for words in split:
-        yield np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, words)), np.uint32)
+        self.tok = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, one after the other, and how many each has."""
+        first = self.at[at]
+        sizes = self.at[at + 1] - first
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def learn(self, words: set[bytes]) -> None:
+        cut = {w: m.groups() for w in words if (m := _SPLIT.fullmatch(w))}
+        new = list(words.difference(cut).union(itertools.chain.from_iterable(cut.values())).difference(self.index))
+        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            ids = [e.ids for e in encode([w.decode() for w in part], add_special_tokens=False)]
+            self._add(part, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if cut:
+            at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut.values())), np.int64, 2 * len(cut))
+            ids, sizes = self.gather(at)
+            self._add(list(cut), ids, sizes.reshape(-1, 2).sum(axis=1))
+
+
+def _ids_of(texts: list[bytes], path: str) -> list[np.ndarray]:
+    """Token ids of each text. The vocabulary's rules lower-case and never join characters over ASCII white space, so
+    a text's ids are those of its words in order. Where a text may hold a special token's string its case is kept."""
+    if _state.get("path") != path:
+        _state.update(path=path, words=_Words(path))
+    known: _Words = _state["words"]
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    if len(known.index) > CACHE_WORDS:
+        known.clear()
+    new = set(itertools.chain.from_iterable(split)).difference(known.index)
+    if new:
+        known.learn(new)
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    at = np.fromiter(map(known.index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+    ids, sizes = known.gather(at)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)[:-1]] if len(counts) else []
+    return np.split(ids, bounds)
 
 
 def write(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int = END_ID, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
