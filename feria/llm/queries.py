@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from feria.llm import mixing, stream_dedup, token_files, winnow
+from feria.llm import licenses, mixing, near_dedup, stream_dedup, token_files, url_filter, winnow
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_stream_dedup": stream_dedup.query,
     "op3_token_files": token_files.query,
+    "op6_licenses": licenses.query,
     "op7_winnow": winnow.query,
     "op8_mixing": mixing.query,
+    "op9_url_filter": url_filter.query,
 }
 ORACLES = {
     "op2_stream_dedup": stream_dedup.ORACLE,
+    "op6_licenses": licenses.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
