@@ -24,6 +24,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -79,9 +80,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
     # a digest's last state has its largest count
     last = changed.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", F.col("s.keep.row").alias("keep_row"), F.col("s.keep.id").alias("keep_id"), F.col("s.n").alias("group_size"))
     many = last.where("group_size > 1")
-    hits = rows.join(many.select("digest", "keep_row"), "digest").where("row != keep_row")
-    retained = rows.select(F.col("row").alias("keep_row"), F.col("content").alias("was"))
-    unlike = common.written(hits.join(retained, "keep_row").where("content != was").select("digest").distinct(), "unlike")
+    hits = rows.select("row", "digest").join(many.select("digest", "keep_row"), "digest").where("row != keep_row")
+    need = hits.select("row").union(hits.select("keep_row")).distinct()
+    texts = common.written(rows.select("row", "content").join(need, "row", "left_semi"), "hit-texts")
+    retained = texts.select(F.col("row").alias("keep_row"), F.col("content").alias("was"))
+    unlike = common.written(hits.join(texts, "row").join(retained, "keep_row").where("content != was").select("digest").distinct(), "unlike")
     same = rows.join(last, "digest").join(unlike, "digest", "left_anti")
     apart = rows.join(unlike, "digest", "left_semi")
     again = apart.groupBy("digest", "content").agg(F.max(F.struct("id", "row")).alias("k"), F.count(F.lit(1)).alias("group_size")).select("digest", "content", F.col("k.row").alias("keep_row"), F.col("k.id").alias("keep_id"), "group_size")
