@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feria.llm import common
 from feria.llm import probminhash as pmh
@@ -31,8 +32,9 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, text (lower case), two hashes of the word sequence, and the keys of the bands (none without words)."""
+def described(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """row, id, text (lower case), two hashes of the word sequence, the keys of the bands (none without words), and
+    the columns to carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,11 +48,12 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands = pa.array([k if s else k[:0] for k, s in zip(keys, some)], pa.list_(pa.int64()))
                 d1 = common.span_hashes(words, first[:-1], first[1:])
                 d2 = common.span_hashes(common.mix64(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[:-1], first[1:])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), _long(d1), _long(d2), bands], names=["row", "id", "text", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), _long(d1), _long(d2), bands, part.column(3)], names=["row", "id", "text", "d1", "d2", "bands", "carried"])
 
     text = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
-    return rows.mapInArrow(run, "row long, id long, text string, d1 long, d2 long, bands array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    schema = T.StructType.fromDDL("row long, id long, text string, d1 long, d2 long, bands array<long>").add("carried", rows.schema["carried"].dataType)
+    return rows.mapInArrow(run, schema)
 
 
 def payloads(texts: DataFrame) -> DataFrame:
@@ -129,15 +132,15 @@ def _block_links(rows: list[tuple], least: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: row, id, text (lower case), class_row, class_id, class_size and copies (rows with the same
-    words). class_id is the least id of the class, class_row the row that stands for it (least id, nulls last).
+def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: row, id, class_row, class_id, class_size, copies (rows with the same words) and carried, a
+    struct of the columns named in `carry`. class_id is the least id of the class, class_row the row that stands for it (least id, nulls last).
 
     Words are runs of other characters than ASCII white space, in lower case; shingles are five words, weighted by
     their counts (a text of one to four words is one shingle). Null counts as empty, and texts without words form one
     class. Repeated rows and equal ids are separate rows of one class; an empty table gives no rows.
     """
-    base = common.written(described(docs, id_col, text_col), "described")
+    base = common.written(described(docs, id_col, text_col, carry or []), "described")
     group = base.groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = base.select("row", "bands").join(group.select(F.col("rep").alias("row")), "row", "left_semi")
     bands = reps.select(F.col("row").alias("rep"), F.posexplode("bands")).select("rep", F.xxhash64("pos", "col").alias("key"))
@@ -152,10 +155,16 @@ def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", te
     more = common.written(rest_links(members, components(links), payload, least), "rest-links")
     comps = components(links.union(more))
     named = group.join(comps, group["rep"] == comps["node"], "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("class"))
-    rows = base.select("row", "id", "text", "d1", "d2").join(named, ["d1", "d2"])
+    rows = base.select("row", "id", "carried", "d1", "d2").join(named, ["d1", "d2"])
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("k"), F.count(F.lit(1)).alias("class_size"))
     first = first.select("class", F.col("k.row").alias("class_row"), F.col("k.id").alias("class_id"), "class_size")
-    return rows.join(first, "class").select("row", "id", "text", "class_row", "class_id", "class_size", "copies")
+    return rows.join(first, "class").select("row", "id", "class_row", "class_id", "class_size", "copies", "carried")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and more) that stand for their classes."""
+    got = classes(docs, carry=docs.columns).where("row = class_row")
+    return got.select(*[F.col(f"carried.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

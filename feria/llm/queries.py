@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from feria.llm import licenses, mixing, near_dedup, stream_dedup, substring_dedup, token_files, url_filter, winnow
+from feria.llm import licenses, mixing, near_dedup, pieces, quality, stream_dedup, substring_dedup, token_files, url_filter, winnow
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op10_substring_dedup": substring_dedup.query,
     "op2_stream_dedup": stream_dedup.query,
     "op3_token_files": token_files.query,
+    "op4_pieces": pieces.query,
+    "op5_quality": quality.query,
     "op6_licenses": licenses.query,
     "op7_winnow": winnow.query,
     "op8_mixing": mixing.query,

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feria.llm import common
 
@@ -33,25 +34,27 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def arrivals(docs: DataFrame, digest: Callable[[bytes], bytes], id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
+def arrivals(docs: DataFrame, digest: Callable[[bytes], bytes], id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = common.text_bytes(batch.column(2))
             flat = lower_ascii(raw).tobytes()
             own = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], names=["row", "id", "digest", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(x) for x in own], pa.binary()), pa.array(own, pa.binary()), batch.column(3)], names=["row", "id", "digest", "content", "carried"])
 
-    return rows.mapInArrow(run, "row long, id long, digest binary, content binary")
+    schema = T.StructType.fromDDL("row long, id long, digest binary, content binary").add("carried", rows.schema["carried"].dataType)
+    return rows.mapInArrow(run, schema)
 
 
 def sha256(content: bytes) -> bytes:
     return hashlib.sha256(content).digest()
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """One row per input row: row, id, digest, content, keep_row, keep_id and group_size.
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256, files_per_batch: int = FILES_PER_BATCH, carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: row, id, digest, content, keep_row, keep_id, group_size and
+    carried, a struct of the columns named in `carry`.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, and empty texts equal each other. Of
     equal texts the row with the largest id stays (a null id is the smallest; of equal ids, the later row), so exactly
@@ -61,8 +64,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
     common.tune(spark)
     home = common.shared_dir(spark, "stream-dedup")
     store = f"{home}/content"
-    arrivals(docs, digest, id_col, text_col).write.option("compression", "zstd").parquet(store)
-    schema = "row long, id long, digest binary, content binary"
+    came = arrivals(docs, digest, id_col, text_col, carry or [])
+    came.write.option("compression", "zstd").parquet(store)
+    schema = came.schema
     kept = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
@@ -88,10 +92,15 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
     same = rows.join(last, "digest").join(unlike, "digest", "left_anti")
     apart = rows.join(unlike, "digest", "left_semi")
     again = apart.groupBy("digest", "content").agg(F.max(F.struct("id", "row")).alias("k"), F.count(F.lit(1)).alias("group_size")).select("digest", "content", F.col("k.row").alias("keep_row"), F.col("k.id").alias("keep_id"), "group_size")
-    cols = ["row", "id", "digest", "content", "keep_row", "keep_id", "group_size"]
+    cols = ["row", "id", "digest", "content", "keep_row", "keep_id", "group_size", "carried"]
     return same.select(*cols).union(apart.join(again, ["digest", "content"]).select(*cols))
 
 
+def distinct(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and more) that stay."""
+    return dedup(docs, carry=docs.columns).where("row = keep_row").select(*[F.col(f"carried.`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: for each of `documents`, the equal document that stays."""
     got = dedup(common.load(spark, sf_dir, "documents"))

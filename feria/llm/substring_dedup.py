@@ -10,7 +10,6 @@ into its windows, sharded by their outer words as well.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,12 +174,6 @@ def _search(rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in at], pa.int64()), pa.array([rows[i][2] for i in at], pa.int64()), pa.array((first[at] + off[at]).astype(np.int32)), pa.array((last[at] + off[at]).astype(np.int32))], names=["anchor", "content", "first", "last"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of tables that were written since."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, index_words: int = INDEX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (the kept words joined by one space) and spans, the removed
     word intervals (start, end).
@@ -195,14 +188,14 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     occ = occurrences(base, width, gram)
     first = F.min(F.struct("row", "start")).alias("at")
     distinct = common.written(occ.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("weight"), F.first("windows").alias("windows"), first), "segments")
-    _release(spark)
+    common.release(spark)
     anchors = distinct.groupBy("anchor").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").drop("all")
     found = common.written(distinct.join(anchors, "anchor").select("anchor", "content", "weight", "windows", "at.row", "at.start", (F.col("kinds") > hot).alias("hot")), "met-segments")
-    _release(spark)
+    common.release(spark)
     parts = common.shuffle_parts(spark)
     segments = sharded(found, base.select("row", "z"), width).repartition(parts, "shard").sortWithinPartitions("shard")
     ranges = common.written(searched(segments, width, index_words), "ranges")
-    _release(spark)
+    common.release(spark)
     spans = occ.join(ranges, ["anchor", "content"]).select("row", F.struct((F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + width).alias("e")).alias("span"))
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
