@@ -86,7 +86,8 @@ def verified(pairs: DataFrame, payload: DataFrame, least: float) -> DataFrame:
             yield batch.select([0, 1]).filter(ok)
 
     one, two = (payload.select(F.col("rep").alias(n), F.col("shingles").alias(f"{n}_s"), F.col("counts").alias(f"{n}_c")) for n in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_s", "a_c", "b_s", "b_c").mapInArrow(run, "a long, b long")
+    # by shuffles at any size: what is joined grows with the documents
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "a_s", "a_c", "b_s", "b_c").mapInArrow(run, "a long, b long")
 
 
 def rest_links(members: DataFrame, comps: DataFrame, payload: DataFrame, least: float) -> DataFrame:
@@ -100,7 +101,7 @@ def rest_links(members: DataFrame, comps: DataFrame, payload: DataFrame, least:
     place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     x = m.where("comp != top").select("key", "rep", "comp", place("nx", 1).alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(0).alias("side"))
     y = m.select("key", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), place("ny", 2).alias("by"), F.lit(1).alias("side"))
-    rows = x.union(y).join(payload, "rep").select("key", "bx", "by", "side", "rep", "comp", "shingles", "counts", "registers")
+    rows = x.union(y).join(payload.hint("merge"), "rep").select("key", "bx", "by", "side", "rep", "comp", "shingles", "counts", "registers")
     rows = rows.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +151,15 @@ def classes(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", te
     hubs = members.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"))
     pairs = members.join(hubs, "key").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     met = members.select("rep").distinct()
-    payload = common.written(payloads(base.select(F.col("row").alias("rep"), "text").join(met, "rep", "left_semi")), "payloads")
+    payload = common.written(payloads(base.select(F.col("row").alias("rep"), "text").join(met.hint("merge"), "rep", "left_semi")), "payloads")
     links = common.written(verified(pairs, payload, least), "star-links")
     more = common.written(rest_links(members, components(links), payload, least), "rest-links")
     comps = components(links.union(more))
     named = group.join(comps, group["rep"] == comps["node"], "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("class"))
-    rows = base.select("row", "id", "carried", "d1", "d2").join(named, ["d1", "d2"])
+    rows = base.select("row", "id", "carried", "d1", "d2").join(named.hint("merge"), ["d1", "d2"])
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("k"), F.count(F.lit(1)).alias("class_size"))
     first = first.select("class", F.col("k.row").alias("class_row"), F.col("k.id").alias("class_id"), "class_size")
-    return rows.join(first, "class").select("row", "id", "class_row", "class_id", "class_size", "copies", "carried")
+    return rows.join(first.hint("merge"), "class").select("row", "id", "class_row", "class_id", "class_size", "copies", "carried")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
