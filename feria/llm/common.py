@@ -52,6 +52,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Characters of text in a chunk: what one task holds a dictionary for.
+CHUNK_CHARS = 24_000_000
+
+
+def text_chunks(docs: DataFrame, text_col: str = "text") -> int:
+    """The number of chunks that the texts fill; only their total length comes to the driver."""
+    total = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
+    return max(1, -(-total // CHUNK_CHARS))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

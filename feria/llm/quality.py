@@ -9,6 +9,7 @@ rejected if its perplexity is above its language's threshold: a high quantile of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,20 +37,35 @@ def text_key(ident: Column, text: Column) -> Column:
 
 
 def zipped(docs: DataFrame, labels: DataFrame, chunks: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """chunk, id, lang, trusted, key and the compressed text, dealt to chunks by key, a hash of id and text."""
+    """Rows of a few MB of documents: chunk, their ids, langs, trusted, keys (text_key) and sizes, and the compressed
+    texts, dealt to chunks by a checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            z = pa.array([c.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(5).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), z], names=["chunk", "id", "lang", "trusted", "key", "z"])
+            for part in common.pieces(batch, "t"):
+                raw, at = common.text_bytes(part.column(4))
+                z = c.compress(raw.tobytes())
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (*(part.column(k) for k in range(4)), pa.array(np.diff(at)))]
+                yield pa.RecordBatch.from_arrays([pa.array([(zlib.crc32(z) + len(z)) % chunks], pa.int64()), *lists, pa.array([z], pa.binary())], names=["chunk", "ids", "langs", "trusted", "keys", "sizes", "z"])
 
     good = labels.where("id is not null and good is not null").groupBy("id").agg((F.min("good") == 1).alias("trusted"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), text.alias("t"))
-    key = text_key(F.col("id"), F.col("t"))
-    rows = rows.join(good, "id", "left").select(F.pmod(key, F.lit(chunks)).alias("chunk"), "id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), key.alias("key"), "t")
-    return rows.mapInArrow(run, "chunk long, id long, lang string, trusted boolean, key long, z binary").repartition(chunks, "chunk")
+    rows = rows.join(good, "id", "left").select("id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), text_key(F.col("id"), F.col("t")).alias("key"), "t")
+    schema = "chunk long, ids array<long>, langs array<string>, trusted array<boolean>, keys array<long>, sizes array<long>, z binary"
+    return rows.mapInArrow(run, schema).repartition(chunks, "chunk")
+
+
+def _opened(blobs: pa.RecordBatch | pa.Table) -> Iterator[list[tuple]]:
+    """For each row of `zipped` its documents: chunk, id, lang, trusted, key, text."""
+    d = zstandard.ZstdDecompressor()
+    for chunk, ids, langs, trusted, keys, sizes, z in zip(*(blobs[c].to_pylist() for c in ("chunk", "ids", "langs", "trusted", "keys", "sizes", "z"))):
+        raw, at, out = d.decompress(z), 0, []
+        for i, lang, t, key, n in zip(ids, langs, trusted, keys, sizes):
+            out.append((chunk, i, lang, t, key, raw[at : at + n].decode("utf-8", "surrogatepass")))
+            at += n
+        yield out
 
 
 def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,16 +94,17 @@ def run_counts(chunks: DataFrame) -> DataFrame:
         held: dict[tuple, list] = {}
         size = 0
         for batch in batches:
-            groups: dict[tuple, list] = {}
-            for key, text in zip(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))), _texts(batch)):
-                groups.setdefault(key, []).append(text)
-            for (chunk, lang, trusted), texts in groups.items():
-                for part in _parts(texts):
-                    codes, at, _ = _runs(part)
-                    h, where, n = np.unique(_hashes(codes, at), return_index=True, return_counts=True)
-                    grams = codes[at[where][:, None] + np.arange(ORDER)]
-                    held.setdefault((chunk, lang), []).append((h, grams, n if trusted else np.zeros(len(n), np.int64)))
-                    size += len(h)
+            for docs in _opened(batch):
+                groups: dict[tuple, list] = {}
+                for chunk, _, lang, trusted, _, text in docs:
+                    groups.setdefault((chunk, lang, trusted), []).append(text)
+                for (chunk, lang, trusted), texts in groups.items():
+                    for part in _parts(texts):
+                        codes, at, _ = _runs(part)
+                        h, where, n = np.unique(_hashes(codes, at), return_index=True, return_counts=True)
+                        grams = codes[at[where][:, None] + np.arange(ORDER)]
+                        held.setdefault((chunk, lang), []).append((h, grams, n if trusted else np.zeros(len(n), np.int64)))
+                        size += len(h)
                 if size > HELD:
                     held = {k: [_merged(v)] for k, v in held.items()}
                     size = sum(len(v[0][0]) for v in held.values())
@@ -99,12 +116,6 @@ def run_counts(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "chunk long, lang string, gram string, n long")
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str]:
-    d = zstandard.ZstdDecompressor()
-    for z in batch.column(batch.schema.get_field_index("z")).to_pylist():
-        yield d.decompress(z).decode("utf-8", "surrogatepass")
-
-
 def _parts(texts: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
@@ -199,16 +210,14 @@ class _Lookup:
 
 
 def _scored(docs: pa.Table, model: pa.Table) -> pa.Table:
-    rows = []
+    rows: list[tuple] = []
     tables: dict[str, _Lookup] = {}
-    by: dict[str, list] = {}
-    for batch in docs.combine_chunks().to_batches():
-        for key, text in zip(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "lang", "trusted", "key"))), _texts(batch)):
-            by.setdefault(key[1], []).append((key, text))
-            if sum(len(t) for _, t in by[key[1]][-1:]) >= PIECE or len(by[key[1]]) >= 300:
-                rows += _sums(by.pop(key[1]), tables, model)
-    for part in by.values():
-        rows += _sums(part, tables, model)
+    for opened in _opened(docs):
+        by: dict[str, list] = {}
+        for _, i, lang, trusted, key, text in opened:
+            by.setdefault(lang, []).append(((i, lang, trusted, key), text))
+        for part in by.values():
+            rows += _sums(part, tables, model)
     kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
     cols = list(zip(*rows)) or [()] * 6
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "lang", "trusted", "key", "n_runs", "minus_log"])
@@ -236,7 +245,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     empty and have no runs, a null language is one of its own, and a language without trusted text gets the uniform
     model. Rows with equal ids are scored one by one; an empty table gives no rows.
     """
-    n = chunks or common.shuffle_parts(docs.sparkSession)
+    n = chunks or common.text_chunks(docs, text_col)
     parts = zipped(docs, labels, n, id_col, text_col, lang_col)
     counts = common.written(run_counts(parts).groupBy("chunk", "lang", "gram").agg(F.sum("n").alias("n")), "runs")
     whole = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
