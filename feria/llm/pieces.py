@@ -69,49 +69,85 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(tuple((sp.id_to_piece(i), i, sp.get_score(i)) for i in plain), tuple(by_byte[b] for b in range(256)) if len(by_byte) == 256 else (), sp.unk_id(), not whole)
 
 
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of `units` (unit: distinct) and edges: an array of structs with s, e and ids, in fold order."""
+_ID = (1 << 20) - 1  # an unknown character's id in an edge that is packed into a number
+
+
+def _met(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """All columns of `units`, and for each substring that is a piece or one character: s, e, piece, id and rank, the
+    place of its score among all, best first (an unknown character: null and last)."""
     spark = units.sparkSession
-    table = spark.createDataFrame([(p, i, float(s)) for p, i, s in pieces.table], "piece string, id int, score double")
+    ranks = {s: i for i, s in enumerate(sorted({s for _, _, s in pieces.table}, reverse=True))}
+    if len(ranks) >= 1 << 19 or max(i for _, i, _ in pieces.table) >= _ID:
+        raise ValueError("too many pieces for packed edges")
+    table = spark.createDataFrame([(p, i, float(s), ranks[s]) for p, i, s in pieces.table], "piece string, id int, score double, rank long")
     if len(pieces.table) <= BROADCAST_PIECES:
         table = F.broadcast(table)
-    rest = [c for c in units.columns if c != "unit"]
     n = F.length("unit")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(s + 1, F.least(s + pieces.longest, n)), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    subs = units.select("unit", *rest, F.explode(spans).alias("x")).select("unit", *rest, "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
-    met = subs.join(table, "piece", "left").where("id is not null or e = s + 1")
-    if pieces.byte_ids:
-        codes = F.array(*[F.lit(i) for i in pieces.byte_ids])
-        raw = F.hex(F.encode("piece", "utf-8"))
-        other = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.get(codes, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int")))
-    else:
-        other = F.array(F.lit(pieces.unknown))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(other)
-    # among equal scores: the leftmost first; runs of blanks share one score and grow from the left, so by their ends,
-    # and by length among equal ends
-    tie = F.when(F.col("piece").rlike(f"^{SPACE}+$"), F.col("e")).otherwise(F.col("s"))
-    worst = F.lit(min(s for _, _, s in pieces.table) - 10.0)
-    # masks of an edge's two borders and of those between, for units that fit
-    ends = F.when(n < MASK, F.expr("shiftleft(1L, s) | shiftleft(1L, e)"))
-    inside = F.when(n < MASK, F.expr("shiftleft(shiftleft(1L, e - s - 1) - 1, s + 1)"))
-    edge = F.struct((-F.coalesce("score", worst)).alias("rank"), tie.alias("tie"), (-F.col("s")).alias("o"), "e", "s", ids.alias("ids"), ends.alias("ends"), inside.alias("inside"))
+    subs = units.withColumn("x", F.explode(spans)).select(*units.columns, "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
+    return subs.join(table, "piece", "left").where("id is not null or e = s + 1").withColumn("rank", F.coalesce("rank", F.lit(len(ranks)).cast("long")))
+
+
+def _order(piece: Column, s: Column, e: Column) -> tuple[Column, Column]:
+    """Among equal scores: the leftmost first; runs of blanks share one score and grow from the left, so by their ends,
+    and by length among equal ends."""
+    blank = piece.rlike(f"^{SPACE}+$")
+    return F.when(blank, e).otherwise(s), F.when(blank, MASK - s).otherwise(F.lit(0))
+
+
+def _other(pieces: Pieces, piece: Column) -> Column:
+    """Ids of a character that is no piece: those of its bytes, or the unknown id."""
+    if not pieces.byte_ids:
+        return F.array(F.lit(pieces.unknown))
+    raw = F.hex(F.encode(piece, "utf-8"))
+    codes = F.array(*[F.lit(i) for i in pieces.byte_ids])
+    return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.get(codes, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int")))
+
+
+def packed_lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """All columns of `units` (unit: distinct, up to MASK characters) and edges, numbers that hold rank, order, end,
+    start and id from the highest bits down, so that their own order is the fold's."""
+    met = _met(units, pieces)
+    tie, o = _order(F.col("piece"), F.col("s"), F.col("e"))
+    word = F.lit(0).cast("long")
+    for part, bits in ((F.col("rank"), 19), (tie, 6), (o, 6), (F.col("e"), 6), (F.col("s"), 6), (F.coalesce("id", F.lit(_ID)), 20)):
+        word = F.shiftleft(word, bits).bitwiseOR(part.cast("long"))
+    keep = [F.first(c).alias(c) for c in units.columns if c != "unit"]
+    return met.select(*units.columns, word.alias("x")).groupBy("unit").agg(F.sort_array(F.collect_list("x")).alias("edges"), *keep)
+
+
+def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """All columns of `units` (unit: distinct) and edges: an array of structs with s, e and ids, in fold order."""
+    met = _met(units, pieces)
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_other(pieces, F.col("piece")))
+    tie, o = _order(F.col("piece"), F.col("s"), F.col("e"))
+    edge = F.struct("rank", tie.alias("tie"), o.alias("o"), "e", "s", ids.alias("ids"))
     if pieces.unigram:
-        edge = F.struct(F.col("e"), "s", (-F.coalesce("score", worst)).alias("rank"), ids.alias("ids"))
-    keep = [F.first(c).alias(c) for c in rest]
+        worst = F.lit(min(s for _, _, s in pieces.table) - 10.0)
+        edge = F.struct("e", "s", (-F.coalesce("score", worst)).alias("rank"), ids.alias("ids"))
+    keep = [F.first(c).alias(c) for c in units.columns if c != "unit"]
     return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *keep)
 
 
-def merged(unit: Column, edges: Column) -> Column:
-    """Ids of a unit up to MASK characters by a BPE model: the fold's state is a mask of the borders that are left."""
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(unit) + 1) - 1
+def merged(unit: Column, edges: Column, pieces: Pieces) -> Column:
+    """Ids of a unit by a BPE model, from packed edges: the fold's state is a mask of the borders that are left."""
+    one = F.lit(1).cast("long")
+    shift = lambda a, n: F.call_function("shiftleft", a, n)
+    start = lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int")
+    end = lambda x: F.shiftright(x, 26).bitwiseAND(63).cast("int")
+    ends = lambda x: shift(one, start(x)).bitwiseOR(shift(one, end(x)))
+    inside = lambda x: shift(one, end(x)) - shift(one, start(x) + 1)  # noqa: E731  the borders between
 
     def step(m: Column, x: Column) -> Column:
-        take = (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inside"])) == 1)
-        return F.when(take, m - m.bitwiseAND(x["inside"])).otherwise(m)
+        take = (m.bitwiseAND(ends(x)) == ends(x)) & (F.bit_count(m.bitwiseAND(inside(x))) == 1)
+        return F.when(take, m - m.bitwiseAND(inside(x))).otherwise(m)
 
-    borders = F.aggregate(F.filter(edges, lambda x: x["inside"] != 0), full, step)
-    left = F.filter(edges, lambda x: (borders.bitwiseAND(x["ends"]) == x["ends"]) & (borders.bitwiseAND(x["inside"]) == 0))
-    return F.flatten(F.transform(F.array_sort(F.transform(left, lambda x: F.struct(x["s"].alias("s"), x["ids"].alias("ids")))), lambda x: x["ids"]))
+    borders = F.aggregate(F.filter(edges, lambda x: end(x) - start(x) > 1), shift(one, F.length(unit) + 1) - 1, step)
+    left = F.filter(edges, lambda x: (borders.bitwiseAND(ends(x)) == ends(x)) & (borders.bitwiseAND(inside(x)) == 0))
+    path = F.sort_array(F.transform(left, lambda x: F.shiftleft(F.shiftright(x, 20).bitwiseAND(63), 20).bitwiseOR(x.bitwiseAND(_ID))))
+    known = F.transform(path, lambda x: x.bitwiseAND(_ID).cast("int"))
+    each = F.transform(path, lambda x: F.when(x.bitwiseAND(_ID) != _ID, F.array(x.bitwiseAND(_ID).cast("int"))).otherwise(_other(pieces, F.substring(unit, F.shiftright(x, 20).cast("int") + 1, F.lit(1)))))
+    return F.when(F.exists(known, lambda i: i == _ID), F.flatten(each)).otherwise(known)
 
 
 def viterbi(unit: Column, edges: Column) -> Column:
@@ -142,9 +178,8 @@ def _fold(n: int, edges: list[dict]) -> list[int]:
 
 def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """All columns of `units` (unit: distinct, not empty) and ids."""
-    grid = lattice(units, pieces)
     if pieces.unigram:
-        return grid.withColumn("ids", viterbi(F.col("unit"), F.col("edges"))).drop("edges")
+        return lattice(units, pieces).withColumn("ids", viterbi(F.col("unit"), F.col("edges"))).drop("edges")
     rest = [f.simpleString().replace(":", " ", 1) for f in units.schema.fields if f.name != "unit"]
     names = [c for c in units.columns if c != "unit"]
 
@@ -153,8 +188,9 @@ def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             ids = [_fold(len(u), x) for u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.list_(pa.int32()))], names=["unit", *names, "ids"])
 
-    short = grid.where(F.length("unit") <= MASK - 1).select("unit", *names, merged(F.col("unit"), F.col("edges")).alias("ids"))
-    long = grid.where(F.length("unit") > MASK - 1).select("unit", "edges", *names).mapInArrow(run, ", ".join(["unit string", *rest, "ids array<int>"]))
+    fits = F.length("unit") < MASK
+    short = packed_lattice(units.where(fits), pieces).select("unit", *names, merged(F.col("unit"), F.col("edges"), pieces).alias("ids"))
+    long = lattice(units.where(~fits), pieces).select("unit", "edges", *names).mapInArrow(run, ", ".join(["unit string", *rest, "ids array<int>"]))
     return short.unionByName(long)
 
 
@@ -212,6 +248,8 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
                     yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array(np.full(len(new), chunk), pa.int64())], names=["unit", "chunk"])
 
     units = parts.mapInArrow(units_of, "unit string, chunk long").groupBy("unit").agg(F.collect_set("chunk").alias("chunks"))
+    units = common.written(units, "units")
+    common.release(spark)
     known = common.written(encoded_units(units, pieces), "unit-ids")
     common.release(spark)
     by_chunk = known.select(F.explode("chunks").alias("chunk"), "unit", "ids")
