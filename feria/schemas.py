@@ -1,11 +1,9 @@
-"""Table schemas and business constants of the price model."""
+"""Table schemas (as DDL, which readers take as they are) and business constants of the price model."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -41,23 +39,16 @@ class Rules:
 
 RULES = Rules()
 
-_MONEY, _SCORE = T.DecimalType(12, 2), T.DecimalType(5, 4)
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SNAPSHOT = _struct(
+SNAPSHOT = (
     "externalId string, url string, rawDescription string, description string, ean string, brand string, categoryPath array<string>, unitLabel string,"
     " price struct<amount: double, listOrPromo: string, promoLabel: string, unitPrice: double>, imageUrl string, capturedAt string"
 )
-STORE = _struct("id smallint, slug string, name string, base_url string, adapter_id string, is_active boolean, config struct<consecutiveFailures: int, quarantinedUntil: timestamp, extraHosts: array<string>>")
-CATEGORY = _struct("id int, slug string, name string, parent_id int, path string")
-PRODUCT = _struct("id bigint, slug string, canonical_name string, brand string, ean string, unit_amount decimal(10,3), unit_type string, category_id int, updated_at timestamp")
-STORE_SKU = _struct("id bigint, store_id smallint, external_id string, url string, raw_description string, declared_ean string, last_seen_at timestamp, is_active boolean")
-MATCH_LINK = _struct("store_sku_id bigint, product_id bigint, method string, score decimal(5,4), status string")
-PRICE_RECORD = _struct("id bigint, store_sku_id bigint, price_amount decimal(12,2), currency string, list_or_promo string, unit_price decimal(12,3), source_url string, captured_at timestamp, run_id string, is_suspect boolean")
-PRICE_CORRECTION = _struct("store_sku_id bigint, original_captured_at timestamp, reason string")
-RUN_REPORT = _struct("run_id string, store_id smallint, started_at timestamp, finished_at timestamp, status string, skus_captured int, skus_rejected int, http_errors int, quarantined boolean, errors_sample array<struct<kind: string, reason: string, externalId: string, message: string>>")
+STORE = ("id smallint, slug string, name string, base_url string, adapter_id string, is_active boolean, config struct<consecutiveFailures: int, quarantinedUntil: timestamp, extraHosts: array<string>>")
+CATEGORY = ("id int, slug string, name string, parent_id int, path string")
+PRODUCT = ("id bigint, slug string, canonical_name string, brand string, ean string, unit_amount decimal(10,3), unit_type string, category_id int, updated_at timestamp")
+STORE_SKU = ("id bigint, store_id smallint, external_id string, url string, raw_description string, declared_ean string, last_seen_at timestamp, is_active boolean")
+MATCH_LINK = ("store_sku_id bigint, product_id bigint, method string, score decimal(5,4), status string")
+PRICE_RECORD = ("id bigint, store_sku_id bigint, price_amount decimal(12,2), currency string, list_or_promo string, unit_price decimal(12,3), source_url string, captured_at timestamp, run_id string, is_suspect boolean")
+PRICE_CORRECTION = ("store_sku_id bigint, original_captured_at timestamp, reason string")
+RUN_REPORT = ("run_id string, store_id smallint, started_at timestamp, finished_at timestamp, status string, skus_captured int, skus_rejected int, http_errors int, quarantined boolean, errors_sample array<struct<kind: string, reason: string, externalId: string, message: string>>")
 TABLES = {"store": STORE, "category": CATEGORY, "product": PRODUCT, "store_sku": STORE_SKU, "match_link": MATCH_LINK, "price_record": PRICE_RECORD, "price_correction": PRICE_CORRECTION, "run_report": RUN_REPORT}
