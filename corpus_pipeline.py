@@ -29,7 +29,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that all sources weigh the same, in a random order."""
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS)).select("doc.*")
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from feria.llm import common
 SEED = "mix-1"
 #: A Poisson mean above this is drawn as a sum of equal parts, each with a hash of its own.
 PART = 64.0
+#: Sources whose rates are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 _HEX = 13
 
 
@@ -53,29 +55,33 @@ def with_steps(rate: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total: float | None = None) -> DataFrame:
     """Each document as often as its draw says, in one global random order.
 
-    Adds _rate, _copy (from 0) and _key, the number that the order goes by. The draw depends on the seed and the id
+    Columns doc (a struct of all columns of docs), rate, copy_no (from 0) and order_key, the number that the order goes
+    by. The draw depends on the seed and the id
     only, so it is the same after a lost executor, and rows with equal ids (or null ids) are drawn alike. A null source
-    is a source of its own; an empty table stays empty. Other columns pass through.
+    is a source of its own; an empty table stays empty. Columns of docs may have any names.
     """
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    ident = F.col("ident")
     rate = with_steps(rates(docs, weights, source_col=source_col, text_col=text_col, total=total))
-    rate = rate.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("parts").alias("_parts"), F.col("steps").alias("_steps"))
-    joined = docs.join(rate, F.col(f"`{source_col}`").eqNullSafe(F.col("_source")))
+    rate = common.written(rate.select("source", "rate", "parts", "steps"), "source-rates")
+    if rate.count() <= BROADCAST_SOURCES:
+        rate = F.broadcast(rate)
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("ident"), F.col(f"`{source_col}`").alias("own_source"))
+    joined = rows.join(rate, F.col("own_source").eqNullSafe(F.col("source")))
 
     def count(part: Column) -> Column:
         u = draw(F.lit(seed), ident, part.cast("string")) / F.lit(float(16**_HEX))
-        return F.size(F.filter("_steps", lambda c: c <= u))
+        return F.size(F.filter("steps", lambda c: c <= u))
 
-    n = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda s, part: s + count(part))
-    copies = joined.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = copies.withColumn("_key", draw(F.lit(seed), ident, F.lit("copy"), F.col("_copy").cast("string")))
-    return keyed.drop("_source", "_parts", "_steps", "_n").orderBy("_key", f"`{id_col}`", "_copy")
+    n = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda s, part: s + count(part))
+    copies = joined.withColumn("n", n).where("n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    keyed = copies.withColumn("order_key", draw(F.lit(seed), ident, F.lit("copy"), F.col("copy_no").cast("string")))
+    return keyed.select("doc", "rate", "copy_no", "order_key").orderBy("order_key", f"doc.`{id_col}`", "copy_no")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: `documents` mixed so that each source has the same share of the characters."""
     got = mix(common.safe(common.load(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source", "n_chars"))
-    return got.withColumnsRenamed({"_copy": "copy_no", "_key": "order_key"}).drop("_rate")
+    return got.select("doc.*", "copy_no", "order_key")
 
 
 ORACLE = """
