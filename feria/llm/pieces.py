@@ -189,7 +189,9 @@ def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.list_(pa.int32()))], names=["unit", *names, "ids"])
 
     fits = F.length("unit") < MASK
-    short = packed_lattice(units.where(fits), pieces).select("unit", *names, merged(F.col("unit"), F.col("edges"), pieces).alias("ids"))
+    # dealt by unit before substrings are exploded, so that edges are grouped where they are made
+    placed = units.where(fits).repartition(common.shuffle_parts(units.sparkSession), "unit")
+    short = packed_lattice(placed, pieces).select("unit", *names, merged(F.col("unit"), F.col("edges"), pieces).alias("ids"))
     long = lattice(units.where(~fits), pieces).select("unit", "edges", *names).mapInArrow(run, ", ".join(["unit string", *rest, "ids array<int>"]))
     return short.unionByName(long)
 
