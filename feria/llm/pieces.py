@@ -13,7 +13,6 @@ piece's parts always score better than it does, one pass over the edges gives wh
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,14 +46,37 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.table)
 
-    def units(self) -> re.Pattern:
-        """Cuts a text with SPACE for blanks where no piece of several characters can lie across."""
-        many = [p for p, _, _ in self.table if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in many):
-            raise ValueError("pieces go on behind a blank")
-        inside = set("".join(many))
-        apart = "".join(c for c in "\n\t" if c not in inside)
-        return re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else ""))
+
+class Cutter:
+    """Cuts texts between two characters that stand side by side in no piece: nothing is merged across."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        many = [p for p, _, _ in pieces.table if len(p) > 1]
+        chars = sorted(set("".join(many)))
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in many:
+            k = self.kind[[ord(c) for c in p]]
+            self.joined[k[:-1], k[1:]] = True
+
+    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of some texts, the place among them of each unit, and each text's number of units."""
+        marked = [_marked(t) for t in texts]
+        whole = "".join(marked)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(t) for t in marked], np.int64)
+        first = np.cumsum(sizes) - sizes
+        kind = self.kind[codes]
+        cut = np.ones(len(codes), bool)
+        cut[1:] = ~self.joined[kind[:-1], kind[1:]]
+        cut[first[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(codes))
+        h = common.span_hashes(codes.astype(np.uint64) + np.uint64(1), starts, ends)
+        _, at, place = np.unique(h, return_index=True, return_inverse=True)
+        own = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        return own, place, np.diff(np.searchsorted(starts, np.append(first, len(codes))))
 
 
 def load_pieces(path: str) -> Pieces:
@@ -83,8 +105,8 @@ def _met(units: DataFrame, pieces: Pieces) -> DataFrame:
     if len(pieces.table) <= BROADCAST_PIECES:
         table = F.broadcast(table)
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(s + 1, F.least(s + pieces.longest, n)), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    subs = units.withColumn("x", F.explode(spans)).select(*units.columns, "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
+    heads = units.withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
+    subs = heads.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.longest, n)))).withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     return subs.join(table, "piece", "left").where("id is not null or e = s + 1").withColumn("rank", F.coalesce("rank", F.lit(len(ranks)).cast("long")))
 
 
@@ -129,8 +151,9 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *keep)
 
 
-def merged(unit: Column, edges: Column, pieces: Pieces) -> Column:
-    """Ids of a unit by a BPE model, from packed edges: the fold's state is a mask of the borders that are left."""
+def with_merged(grid: DataFrame, pieces: Pieces) -> DataFrame:
+    """Adds the ids of each unit by a BPE model, from packed edges: the fold's state is a mask of the borders left."""
+    unit, edges = F.col("unit"), F.col("edges")
     one = F.lit(1).cast("long")
     shift = lambda a, n: F.call_function("shiftleft", a, n)
     start = lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int")
@@ -139,15 +162,15 @@ def merged(unit: Column, edges: Column, pieces: Pieces) -> Column:
     inside = lambda x: shift(one, end(x)) - shift(one, start(x) + 1)  # noqa: E731  the borders between
 
     def step(m: Column, x: Column) -> Column:
-        take = (m.bitwiseAND(ends(x)) == ends(x)) & (F.bit_count(m.bitwiseAND(inside(x))) == 1)
+        take = (F.bitwise_not(m).bitwiseAND(ends(x)) == 0) & (F.bit_count(m.bitwiseAND(inside(x))) == 1)
         return F.when(take, m - m.bitwiseAND(inside(x))).otherwise(m)
 
     borders = F.aggregate(F.filter(edges, lambda x: end(x) - start(x) > 1), shift(one, F.length(unit) + 1) - 1, step)
-    left = F.filter(edges, lambda x: (borders.bitwiseAND(ends(x)) == ends(x)) & (borders.bitwiseAND(inside(x)) == 0))
+    left = F.filter(edges, lambda x: (F.bitwise_not(F.col("borders")).bitwiseAND(ends(x)) == 0) & (F.col("borders").bitwiseAND(inside(x)) == 0))
     path = F.sort_array(F.transform(left, lambda x: F.shiftleft(F.shiftright(x, 20).bitwiseAND(63), 20).bitwiseOR(x.bitwiseAND(_ID))))
-    known = F.transform(path, lambda x: x.bitwiseAND(_ID).cast("int"))
-    each = F.transform(path, lambda x: F.when(x.bitwiseAND(_ID) != _ID, F.array(x.bitwiseAND(_ID).cast("int"))).otherwise(_other(pieces, F.substring(unit, F.shiftright(x, 20).cast("int") + 1, F.lit(1)))))
-    return F.when(F.exists(known, lambda i: i == _ID), F.flatten(each)).otherwise(known)
+    known = F.transform("path", lambda x: x.bitwiseAND(_ID).cast("int"))
+    each = F.transform("path", lambda x: F.when(x.bitwiseAND(_ID) != _ID, F.array(x.bitwiseAND(_ID).cast("int"))).otherwise(_other(pieces, F.substring(unit, F.shiftright(x, 20).cast("int") + 1, F.lit(1)))))
+    return grid.withColumn("borders", borders).withColumn("path", path).withColumn("path_ids", known).withColumn("ids", F.when(F.array_contains("path_ids", _ID), F.flatten(each)).otherwise(F.col("path_ids")))
 
 
 def viterbi(unit: Column, edges: Column) -> Column:
@@ -191,7 +214,7 @@ def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     fits = F.length("unit") < MASK
     # dealt by unit before substrings are exploded, so that edges are grouped where they are made
     placed = units.where(fits).repartition(common.shuffle_parts(units.sparkSession), "unit")
-    short = packed_lattice(placed, pieces).select("unit", *names, merged(F.col("unit"), F.col("edges"), pieces).alias("ids"))
+    short = with_merged(packed_lattice(placed, pieces), pieces).select("unit", *names, "ids")
     long = lattice(units.where(~fits), pieces).select("unit", "edges", *names).mapInArrow(run, ", ".join(["unit string", *rest, "ids array<int>"]))
     return short.unionByName(long)
 
@@ -231,18 +254,15 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
     """
     spark = docs.sparkSession
     n = chunks or common.text_chunks(docs, text_col)
-    cut = pieces.units()
     parts = blobs(docs, n, id_col, text_col)
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(pieces)
         seen: dict[int, set[str]] = {}
         for batch in batches:
             for chunk, *blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 have = seen.setdefault(chunk, set())
-                new: set[str] = set()
-                for _, text in _texts(*blob):
-                    new.update(cut.findall(_marked(text)))
-                new -= have
+                new = set(cutter.units([t for _, t in _texts(*blob)])[0]) - have
                 have |= new
                 if len(have) > 1_500_000:
                     have.clear()
@@ -262,16 +282,19 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
         at = np.asarray(flat.offsets, np.int64) if len(words) else np.zeros(1, np.int64)
         values = np.asarray(flat.flatten(), np.uint32) if len(words) else np.empty(0, np.uint32)
         at = at - at[0]
+        cutter = Cutter(pieces)
         out_ids, out = [], []
         for blob in zip(*(docs_[c].to_pylist() for c in ("ids", "sizes", "z"))):
-            for i, text in _texts(*blob):
-                k = np.fromiter(map(index.__getitem__, cut.findall(_marked(text))), np.int64)
-                first = at[k]
-                size = at[k + 1] - first
-                ends = np.cumsum(size)
-                got = values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-                out_ids.append(i)
-                out.append(got.astype("<u4").tobytes())
+            ids, texts = zip(*_texts(*blob))
+            own, place, counts = cutter.units(list(texts))
+            k = np.fromiter(map(index.__getitem__, own), np.int64, len(own))[place]
+            first = at[k]
+            size = at[k + 1] - first
+            ends = np.cumsum(size)
+            got = values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+            bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
+            out_ids += ids
+            out += [x.tobytes() for x in np.split(got, bounds[:-1])]
         return pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "piece_ids"])
 
     return parts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(run, "id long, piece_ids binary")
