@@ -56,10 +56,10 @@ def release(spark: SparkSession) -> None:
 CHUNK_CHARS = 24_000_000
 
 
-def text_chunks(docs: DataFrame, text_col: str = "text") -> int:
+def text_chunks(docs: DataFrame, text_col: str = "text", chars: int = CHUNK_CHARS) -> int:
     """The number of chunks that the texts fill; only their total length comes to the driver."""
     total = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
-    return max(1, -(-total // CHUNK_CHARS))
+    return max(1, -(-total // chars))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -30,6 +30,8 @@ SPACE = "▁"
 MASK = 62
 #: Rows that the piece table may have to be broadcast; a larger one is joined by a shuffle.
 BROADCAST_PIECES = 1_000_000
+#: Characters of a chunk, and of the texts that are cut at once: a task holds a chunk's units and some of its texts.
+CHUNK_CHARS, CUT_CHARS = 12_000_000, 400_000
 
 
 @dataclass(frozen=True)
@@ -242,6 +244,21 @@ def _texts(ids: list, sizes: list[int], z: bytes) -> Iterator[tuple[int | None,
         at += n
 
 
+def _groups(ids: list, sizes: list[int], z: bytes) -> Iterator[tuple[list, list[str]]]:
+    """A blob's documents in groups of about CUT_CHARS characters: ids and texts."""
+    own: tuple[list, list[str]] = ([], [])
+    held = 0
+    for i, text in _texts(ids, sizes, z):
+        own[0].append(i)
+        own[1].append(text)
+        held += len(text)
+        if held >= CUT_CHARS:
+            yield own
+            own, held = ([], []), 0
+    if own[0]:
+        yield own
+
+
 def _marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -253,7 +270,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
     table gives no rows, and other columns are not read.
     """
     spark = docs.sparkSession
-    n = chunks or common.text_chunks(docs, text_col)
+    n = chunks or common.text_chunks(docs, text_col, CHUNK_CHARS)
     parts = blobs(docs, n, id_col, text_col)
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +279,10 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
         for batch in batches:
             for chunk, *blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 have = seen.setdefault(chunk, set())
-                new = set(cutter.units([t for _, t in _texts(*blob)])[0]) - have
+                new: set[str] = set()
+                for _, texts in _groups(*blob):
+                    new.update(cutter.units(texts)[0])
+                new -= have
                 have |= new
                 if len(have) > 1_500_000:
                     have.clear()
@@ -277,24 +297,24 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
     by_chunk = known.select(F.explode("chunks").alias("chunk"), "unit", "ids")
 
     def run(docs_: pa.Table, model: pa.Table) -> pa.Table:
-        words, flat = model["unit"].to_pylist(), model["ids"].combine_chunks()
-        index = dict(zip(words, range(len(words))))
-        at = np.asarray(flat.offsets, np.int64) if len(words) else np.zeros(1, np.int64)
-        values = np.asarray(flat.flatten(), np.uint32) if len(words) else np.empty(0, np.uint32)
+        index = dict(zip(model["unit"].to_pylist(), range(len(model))))
+        flat = model["ids"].combine_chunks()
+        at = np.asarray(flat.offsets, np.int64) if index else np.zeros(1, np.int64)
+        values = np.asarray(flat.flatten(), np.uint32) if index else np.empty(0, np.uint32)
         at = at - at[0]
         cutter = Cutter(pieces)
         out_ids, out = [], []
         for blob in zip(*(docs_[c].to_pylist() for c in ("ids", "sizes", "z"))):
-            ids, texts = zip(*_texts(*blob))
-            own, place, counts = cutter.units(list(texts))
-            k = np.fromiter(map(index.__getitem__, own), np.int64, len(own))[place]
-            first = at[k]
-            size = at[k + 1] - first
-            ends = np.cumsum(size)
-            got = values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
-            bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
-            out_ids += ids
-            out += [x.tobytes() for x in np.split(got, bounds[:-1])]
+            for ids, texts in _groups(*blob):
+                own, place, counts = cutter.units(texts)
+                k = np.fromiter(map(index.__getitem__, own), np.int64, len(own))[place]
+                first = at[k]
+                size = at[k + 1] - first
+                ends = np.cumsum(size)
+                got = values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+                bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
+                out_ids += ids
+                out += [x.tobytes() for x in np.split(got, bounds[:-1])]
         return pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "piece_ids"])
 
     return parts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(run, "id long, piece_ids binary")
