@@ -315,6 +315,8 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
                 bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
                 out_ids += ids
                 out += [x.tobytes() for x in np.split(got, bounds[:-1])]
+        del index, values
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "piece_ids"])
 
     return parts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(run, "id long, piece_ids binary")
