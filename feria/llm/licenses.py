@@ -20,7 +20,6 @@ EQUIVALENTS = [
     ("sub-license", "sublicense"),
     ("non-commercial", "noncommercial"),
     ("acknowledgment", "acknowledgement"),
-    ("merchantability", "merchantability"),
     ("favour", "favor"),
     ("fulfilment", "fulfillment"),
     ("copyright owner", "copyright holder"),
