@@ -3,14 +3,16 @@
 The model is of characters, for each language. One pass over the documents counts, in chunks of documents, every run of
 ORDER characters and how often trusted documents hold it. The counts of all orders, their contexts and discounts are
 DataFrames, sharded by language and run; joins of the runs that occur with these tables give each run's probability, and
-the probabilities go back to the chunks that hold the run, where they are added up for each document. A document is
-rejected if its perplexity is above its language's threshold: a high quantile of the trusted documents' perplexities.
+the probabilities go back to the chunks that hold the run, where they are added up for each document. Some trusted
+documents are held out of the counts. A document is rejected if its perplexity is above its language's threshold: a high
+quantile of the perplexities of those held out. Languages with few trusted documents share a model of all trusted text.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,9 @@ START = "\x02"
 #: Characters that each document's score is smoothed with, at the trusted mean; quantile of trusted documents that is
 #: still accepted, and by how much (in log perplexity) a document must be above it.
 PRIOR_CHARS, QUANTILE, MARGIN = 60, 0.995, 0.05
+#: Of so many trusted texts one is held out of the counts, for thresholds (every second one of a language that shares the
+#: pooled model). Trusted documents that a model of a language's own takes; the pooled model's name.
+HELD_OUT, FEW_HELD_OUT, MIN_TRUSTED, POOL = 10, 2, 50, "\x00pool"
 #: Characters counted at once, and different runs held before they are handed on.
 PIECE, HELD = 1_000_000, 1_500_000
 
@@ -37,33 +42,45 @@ def text_key(ident: Column, text: Column) -> Column:
 
 
 def zipped(docs: DataFrame, labels: DataFrame, chunks: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Rows of a few MB of documents: chunk, their ids, langs, trusted, keys (text_key) and sizes, and the compressed
-    texts, dealt to chunks by a checksum."""
+    """Rows of a few MB of documents: chunk, their ids, langs, models, trusted, held, extra, keys (text_key) and sizes, and
+    the compressed texts, dealt to chunks by a checksum. Held are trusted documents that are not counted; equal texts are
+    held together. Extra are second rows of held documents for the pooled model, if a language uses it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in common.pieces(batch, "t"):
-                raw, at = common.text_bytes(part.column(4))
+                raw, at = common.text_bytes(part.column(7))
                 z = c.compress(raw.tobytes())
-                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (*(part.column(k) for k in range(4)), pa.array(np.diff(at)))]
-                yield pa.RecordBatch.from_arrays([pa.array([(zlib.crc32(z) + len(z)) % chunks], pa.int64()), *lists, pa.array([z], pa.binary())], names=["chunk", "ids", "langs", "trusted", "keys", "sizes", "z"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (*(part.column(k) for k in range(7)), pa.array(np.diff(at)))]
+                yield pa.RecordBatch.from_arrays([pa.array([(zlib.crc32(z) + len(z)) % chunks], pa.int64()), *lists, pa.array([z], pa.binary())], names=["chunk", "ids", "langs", "models", "trusted", "held", "extra", "keys", "sizes", "z"])
 
     good = labels.where("id is not null and good is not null").groupBy("id").agg((F.min("good") == 1).alias("trusted"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), text.alias("t"))
-    rows = rows.join(good, "id", "left").select("id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), text_key(F.col("id"), F.col("t")).alias("key"), "t")
-    schema = "chunk long, ids array<long>, langs array<string>, trusted array<boolean>, keys array<long>, sizes array<long>, z binary"
+    rows = rows.join(good, "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    langs = rows.groupBy("lang").agg((F.count_if(F.col("trusted") & (F.col("t") != "")) >= MIN_TRUSTED).alias("own"))
+    langs = common.written(langs, "languages")
+    rows = rows.join(langs, "lang").withColumn("model", F.when(F.col("own"), F.col("lang")).otherwise(POOL))
+    every = F.when(F.col("own"), HELD_OUT).otherwise(FEW_HELD_OUT)
+    rows = rows.withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("t"), every) == 0))
+    extra = F.array(F.lit(False))
+    if not langs.where("not own").isEmpty():
+        extra = F.when(F.col("held") & F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(extra)
+    rows = rows.select("id", "lang", "model", "trusted", "held", F.explode(extra).alias("extra"), text_key(F.col("id"), F.col("t")).alias("key"), "t")
+    rows = rows.withColumn("model", F.when(F.col("extra"), POOL).otherwise(F.col("model")))
+    schema = "chunk long, ids array<long>, langs array<string>, models array<string>, trusted array<boolean>, held array<boolean>, extra array<boolean>, keys array<long>, sizes array<long>, z binary"
     return rows.mapInArrow(run, schema).repartition(chunks, "chunk")
 
 
 def _opened(blobs: pa.RecordBatch | pa.Table) -> Iterator[list[tuple]]:
-    """For each row of `zipped` its documents: chunk, id, lang, trusted, key, text."""
+    """For each row of `zipped` its documents: chunk, model, counted, columns (id, lang, model, trusted, held, extra, key), text."""
     d = zstandard.ZstdDecompressor()
-    for chunk, ids, langs, trusted, keys, sizes, z in zip(*(blobs[c].to_pylist() for c in ("chunk", "ids", "langs", "trusted", "keys", "sizes", "z"))):
+    names = ("ids", "langs", "models", "trusted", "held", "extra", "keys")
+    for chunk, sizes, z, *lists in zip(*(blobs[c].to_pylist() for c in ("chunk", "sizes", "z", *names))):
         raw, at, out = d.decompress(z), 0, []
-        for i, lang, t, key, n in zip(ids, langs, trusted, keys, sizes):
-            out.append((chunk, i, lang, t, key, raw[at : at + n].decode("utf-8", "surrogatepass")))
+        for n, *cols in zip(sizes, *lists):
+            out.append((chunk, cols[2], cols[3] and not cols[4], tuple(cols), raw[at : at + n].decode("utf-8", "surrogatepass")))
             at += n
         yield out
 
@@ -88,7 +105,7 @@ def _hashes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def run_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, lang, run and its count in trusted documents (0: none), from each task's share of a chunk."""
+    """chunk, lang (the model's), run and its count in trusted documents (0: none), from each task's share of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
@@ -96,14 +113,14 @@ def run_counts(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for docs in _opened(batch):
                 groups: dict[tuple, list] = {}
-                for chunk, _, lang, trusted, _, text in docs:
-                    groups.setdefault((chunk, lang, trusted), []).append(text)
-                for (chunk, lang, trusted), texts in groups.items():
+                for chunk, lang, counted, _, text in docs:
+                    groups.setdefault((chunk, lang, counted), []).append(text)
+                for (chunk, lang, counted), texts in groups.items():
                     for part in _parts(texts):
                         codes, at, _ = _runs(part)
                         h, where, n = np.unique(_hashes(codes, at), return_index=True, return_counts=True)
                         grams = codes[at[where][:, None] + np.arange(ORDER)]
-                        held.setdefault((chunk, lang), []).append((h, grams, n if trusted else np.zeros(len(n), np.int64)))
+                        held.setdefault((chunk, lang), []).append((h, grams, n if counted else np.zeros(len(n), np.int64)))
                         size += len(h)
                 if size > HELD:
                     held = {k: [_merged(v)] for k, v in held.items()}
@@ -214,17 +231,17 @@ def _scored(docs: pa.Table, model: pa.Table) -> pa.Table:
     tables: dict[str, _Lookup] = {}
     for opened in _opened(docs):
         by: dict[str, list] = {}
-        for _, i, lang, trusted, key, text in opened:
-            by.setdefault(lang, []).append(((i, lang, trusted, key), text))
+        for _, lang, _, cols, text in opened:
+            by.setdefault(lang, []).append((cols, text))
         for part in by.values():
             rows += _sums(part, tables, model)
-    kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
-    cols = list(zip(*rows)) or [()] * 6
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "lang", "trusted", "key", "n_runs", "minus_log"])
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+    cols = list(zip(*rows)) or [()] * 9
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "lang", "model", "trusted", "held", "extra", "key", "n_runs", "minus_log"])
 
 
 def _sums(part: list, tables: dict, model: pa.Table) -> list[tuple]:
-    lang = part[0][0][1]
+    lang = part[0][0][2]
     if lang not in tables:
         own = model.filter(pa.compute.equal(model["lang"], lang))
         codes = np.frombuffer("".join(own["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -239,11 +256,12 @@ def _sums(part: list, tables: dict, model: pa.Table) -> list[tuple]:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunks: int | None = None) -> DataFrame:
-    """id, lang, trusted, key (text_key of id and text), n_runs (characters) and minus_log (their summed costs) for each row.
+    """id, lang, model, trusted, held, extra, key (text_key of id and text), n_runs (characters) and minus_log (their summed
+    costs) for each row; `judged` reads the extra rows and leaves them out.
 
     `labels` has id and good (1: trusted), nulls ignored; of several labels the lowest counts. Null texts count as
-    empty and have no runs, a null language is one of its own, and a language without trusted text gets the uniform
-    model. Rows with equal ids are scored one by one; an empty table gives no rows.
+    empty and have no runs, a null language is one of its own, and a language with fewer than MIN_TRUSTED trusted
+    texts gets the pooled model. Rows with equal ids are scored one by one; an empty table gives no rows.
     """
     n = chunks or common.text_chunks(docs, text_col)
     parts = zipped(docs, labels, n, id_col, text_col, lang_col)
@@ -251,25 +269,45 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     whole = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     known = common.written(whole, "run-counts")
     common.release(docs.sparkSession)
-    p = common.written(probabilities(known, known.where("n > 0")), "run-probabilities")
+    seen = known.where("n > 0")
+    if not known.where(F.col("lang") == POOL).isEmpty():
+        seen = seen.where(F.col("lang") != POOL).unionByName(seen.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "gram", "n"))
+    p = common.written(probabilities(known, seen), "run-probabilities")
     common.release(docs.sparkSession)
     model = counts.join(p, ["lang", "gram"]).select("chunk", "lang", "gram", (-F.log("p")).alias("cost"))
-    return parts.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_scored, "id long, lang string, trusted boolean, key long, n_runs long, minus_log double")
+    return parts.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_scored, "id long, lang string, model string, trusted boolean, held boolean, extra boolean, key long, n_runs long, minus_log double")
 
 
 def judged(scores: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR_CHARS) -> DataFrame:
-    """Adds log_perplexity (smoothed), threshold and rejected. A language without trusted documents takes the threshold
-    of all trusted ones; without any nothing is rejected. Empty texts have the mean score, so they are kept."""
-    trusted = scores.where("trusted and n_runs > 0")
-    mean = trusted.groupBy("lang").agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean"))
-    every = trusted.agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean_all"))  # one row
+    """Adds log_perplexity (smoothed), threshold and rejected. Empty texts have the mean score, so they are kept.
+
+    Thresholds are of held-out documents: their quantile where they are enough to have one, else that of a normal
+    distribution with their mean and spread, as the highest of a few is often an outlier. In the pooled model a language also has no less than its own held-out mean and the pool's
+    spread give. A language without held-out documents has no threshold and nothing is rejected.
+    """
+    enough, z = 1 / (1 - quantile), NormalDist().inv_cdf(quantile)
+    held = scores.where("held and n_runs > 0")
+    mean = held.where("not extra").groupBy("lang").agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean"))
+    pooled = held.where(F.col("model") == POOL).agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean_all"))  # one row
     smooth = (F.col("minus_log") + prior * F.coalesce("mean", "mean_all", F.lit(0.0))) / (F.col("n_runs") + prior)
-    got = scores.join(mean, "lang", "left").crossJoin(F.broadcast(every)).withColumn("log_perplexity", smooth)
-    own = got.where("trusted and n_runs > 0")
-    line = own.groupBy("lang").agg(F.percentile_approx("log_perplexity", quantile, 10_000).alias("own"))
-    general = own.agg(F.percentile_approx("log_perplexity", quantile, 10_000).alias("general"))  # one row
-    got = got.join(line, "lang", "left").crossJoin(F.broadcast(general)).withColumn("threshold", F.coalesce("own", "general") + margin)
-    return got.withColumn("rejected", F.coalesce(F.col("log_perplexity") > F.col("threshold"), F.lit(False))).select("id", "key", "lang", "trusted", "n_runs", "log_perplexity", "threshold", "rejected")
+    got = scores.where("not extra").join(mean, "lang", "left").crossJoin(F.broadcast(pooled)).withColumn("log_perplexity", smooth)
+    # the pool's documents are smoothed at their own language's mean in the pool
+    there = held.where(F.col("model") == POOL)
+    there = there.join(there.groupBy("lang").agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean")), "lang")
+    there = there.withColumn("log_perplexity", (F.col("minus_log") + prior * F.col("mean")) / (F.col("n_runs") + prior))
+    x = F.col("log_perplexity")
+    stats = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("s"), F.percentile_approx(x, quantile, 10_000).alias("q")]
+
+    def line(n: Column, m: Column, s: Column, q: Column) -> Column:
+        return F.when(n >= enough, q).otherwise(m + z * s * F.sqrt(1 + 1 / n))
+
+    own = got.where("held and n_runs > 0").groupBy("lang", "model").agg(*stats)
+    pool = there.agg(*[c.alias(f"pool_{k}") for c, k in zip(stats, "nmsq")])  # one row
+    shared = line(*(F.col(f"pool_{k}") for k in "nmsq"))
+    few = F.greatest(shared, F.col("m") + z * F.greatest("s", "pool_s") * F.sqrt(1 + 1 / F.col("n")))
+    own = own.crossJoin(F.broadcast(pool)).select("lang", (F.when(F.col("model") == POOL, few).otherwise(line(*(F.col(k) for k in "nmsq"))) + margin).alias("threshold"))
+    got = got.join(own, "lang", "left")
+    return got.withColumn("rejected", F.coalesce(F.col("log_perplexity") > F.col("threshold"), F.lit(False))).select("id", "key", "lang", "trusted", "held", "n_runs", "log_perplexity", "threshold", "rejected")
 
 
 def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

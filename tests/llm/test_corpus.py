@@ -110,6 +110,28 @@ def test_quality_on_held_out(spark):
     assert quality.without_rejected(docs, labels.where("false")).count() == len(rows)
 
 
+def test_quality_without_and_with_few_trusted(spark):
+    """Languages without trusted text, or with little of it, keep their clean documents; thresholds are of held-out texts."""
+    rng = np.random.default_rng(8)
+    make = lambda letters: ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(300)]
+    words = {"en": make("aeiourstnl"), "el": make("αβγδεζηικλ"), "xx": make("бвгдежзикл")}
+    prose = lambda lang, n: [" ".join(rng.choice(words[lang], 80)) for _ in range(n)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "en") for t in prose("en", 260)] + [(t, "el") for t in prose("el", 30)] + [(t, "xx") for t in prose("xx", 10)] + [(None, None), (prose("xx", 1)[0], None)])]
+    rows += [(900 + i, t.upper().replace(" ", "%% "), "en") for i, t in enumerate(prose("en", 5))] + [(950, rows[0][1], "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(200), *range(260, 272)]], "id long, good int")
+    scores = common.written(quality.perplexities(docs, labels, chunks=2), "s")
+    got = {r.id: r for r in quality.judged(scores).collect()}
+    assert len(got) == len(rows) and {r.model for r in scores.collect()} == {"en", quality.POOL}
+    assert not any(got[i].rejected for i in range(302)) and not got[950].rejected
+    assert all(got[900 + i].rejected for i in range(5))
+    assert all(got[i].threshold is None for i in [*range(290, 302), 950]) and got[280].threshold is not None
+    held = [r.log_perplexity for r in got.values() if r.lang == "en" and r.held]
+    assert held and got[0].threshold > max(held)
+    kept = {r.doc_id for r in quality.without_rejected(docs, labels).collect()}
+    assert kept == {i for i, *_ in rows if not 900 <= i < 905}
+
+
 def test_licences(spark, none):
     mit = licenses.KNOWN[0][1]
     texts = [mit, "/* Copyright (c) 2020 Someone */\n" + mit.upper().replace(",", " ,"), mit.replace("license", "licence"), mit + " more", "Released under the MIT License.\nx", None, "", "..."]
