@@ -1,0 +1,15 @@
+"""Queries over all rows whose first versions read a part of them; those stay as their SQL is."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from feria.functions import text
+from feria.plans.queries import query
+from feria.sources import model
+
+
+@query("T1_T2_plain_text_whole", "SELECT doc_id, md5(lower(strip_accents(trim(text)))) AS h FROM documents", base=False)
+def _t1(spark, sf_dir):
+    """The whole text of every document."""
+    return model.read(spark, sf_dir, "documents").select("doc_id", F.md5(text.plain(F.col("text"))).alias("h"))

@@ -1,0 +1,21 @@
+"""Queries over all rows beside their SQL, on the smallest tables."""
+
+import duckdb
+from test_queries import SF, TABLES, pytestmark, rows  # noqa: F401
+
+from feria.plans import whole  # noqa: F401  registers its queries
+from feria.plans.queries import ORACLES, QUERIES
+
+
+def beside_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
+    assert rows(got) == rows(want)
+    return got, con
+
+
+def test_plain_text(spark):
+    got, con = beside_sql(spark, "T1_T2_plain_text_whole")
+    assert len(got) == con.sql("select count(*) from documents").fetchall()[0][0]
