@@ -46,12 +46,27 @@ def semantic_score(a: Column, b: Column) -> Column:
     return F.when(other_type | other_line, 0.0).otherwise(F.floor(score * 10_000 + 0.5) / 10_000)
 
 
-def candidates(left: DataFrame, right: DataFrame, words: str = "tokens", least: int = 3) -> DataFrame:
-    """Distinct id pairs of rows that share a word of `least` letters or more, by an equal join on the word."""
-    def posted(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(name), F.explode(F.array_distinct(F.filter(words, lambda t: F.length(t) >= least))).alias("word"))
-
-    return posted(left, "left_id").join(posted(right, "right_id"), "word").select("left_id", "right_id").distinct()
+def candidates(left: DataFrame, right: DataFrame, words: str = "tokens", least: int = 3, block: int = 1000) -> DataFrame:
+    """Distinct id pairs of rows that share a word of `least` letters or more, by an equal join on the word.
+
+    The rows of a word are dealt to blocks of about `block` rows a side, and each pair of blocks is a join key of its own.
+    A pair is made at its least shared word only.
+    """
+
+    def posted(df: DataFrame, side: str) -> DataFrame:
+        own = df.select("id", F.explode(F.filter(words, lambda t: F.length(t) >= least)).alias("word"))
+        own = own.groupBy("id").agg(F.collect_set("word").alias(f"{side}_words"))
+        return own.select(F.col("id").alias(f"{side}_id"), f"{side}_words", F.explode(f"{side}_words").alias("word"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    a, b = posted(left, "left"), posted(right, "right")
+    cells = blocks(a, "n_left").join(blocks(b, "n_right"), "word")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(cells, "word").select("word", "left_id", "left_words", F.pmod(F.hash("left_id"), "n_left").alias("i"), every("n_right").alias("j"))
+    b = b.join(cells, "word").select("word", "right_id", "right_words", every("n_left").alias("i"), F.pmod(F.hash("right_id"), "n_right").alias("j"))
+    return a.join(b, ["word", "i", "j"]).where(F.col("word") == F.array_min(F.array_intersect("left_words", "right_words"))).select("left_id", "right_id")
 
 
 def best_match(scored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feria.functions import text
+from feria.operators import matching
 from feria.plans.queries import query
 from feria.sources import model
 
@@ -13,3 +14,11 @@ from feria.sources import model
 def _t1(spark, sf_dir):
     """The whole text of every document."""
     return model.read(spark, sf_dir, "documents").select("doc_id", F.md5(text.plain(F.col("text"))).alias("h"))
+
+
+@query("J18_word_candidates_whole", """WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM part)
+  SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM w a JOIN w b USING (word) WHERE a.id < b.id AND length(word) >= 3""", base=False)
+def _j18(spark, sf_dir):
+    """Every pair of rows that share a word of their names; most pairs of a hot word are part of the result."""
+    rows = model.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
+    return matching.candidates(rows, rows).where("left_id < right_id")

@@ -19,3 +19,21 @@ def beside_sql(spark, name):
 def test_plain_text(spark):
     got, con = beside_sql(spark, "T1_T2_plain_text_whole")
     assert len(got) == con.sql("select count(*) from documents").fetchall()[0][0]
+
+
+def test_word_candidates(spark):
+    got, _ = beside_sql(spark, "J18_word_candidates_whole")
+    assert len(got) > len(QUERIES["J18_word_candidates"](spark, SF).toPandas())
+
+
+def test_hot_words_in_blocks(spark):
+    from feria.operators import matching
+
+    words = [(i, ["aaa", f"w{i % 7}x", "bb"][: 1 + i % 3]) for i in range(60)] + [(3, ["ccc"]), (61, ["ccc"]), (62, None)]
+    df = spark.createDataFrame(words, "id long, tokens array<string>")
+    has = {}
+    for i, w in words:
+        has.setdefault(i, set()).update(x for x in w or [] if len(x) >= 3)
+    want = sorted((a, b) for a in has for b in has if has[a] & has[b])
+    for block in (4, 1000):
+        assert sorted((r.left_id, r.right_id) for r in matching.candidates(df, df, block=block).collect()) == want
