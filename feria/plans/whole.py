@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feria.functions import text
 from feria.operators import matching
-from feria.plans.queries import query
+from feria.plans.queries import _doubles, _fresh, on_model, query
 from feria.sources import model
 
 
@@ -22,3 +23,61 @@ def _j18(spark, sf_dir):
     """Every pair of rows that share a word of their names; most pairs of a hot word are part of the result."""
     rows = model.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
     return matching.candidates(rows, rows).where("left_id < right_id")
+
+
+def _by_store(m: model.Model, products: DataFrame, offers: DataFrame) -> DataFrame:
+    """product_id, store_id and price (null without an offer) of each product in every store: a product's offers are
+    brought together first, so that the grid itself is never shuffled."""
+    priced = offers.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("store_id", "price"))).alias("by_store"))
+    grid = products.join(priced, "product_id", "left").crossJoin(F.broadcast(m.store.select("store_id")))
+    return grid.select("product_id", "store_id", F.try_element_at("by_store", F.col("store_id")).alias("price"))
+
+
+@on_model("J7_offers_of_every_store_whole", "SELECT p.product_id, s.store_id, f.price::DOUBLE AS price FROM product p CROSS JOIN store s LEFT JOIN fresh f USING (product_id, store_id)")
+def _j7(m):
+    """Card grid of all products by all stores."""
+    return _doubles(_by_store(m, m.product.select("product_id"), _fresh(m)), "price")
+
+
+@on_model("A16_basket_detail_whole", "SELECT s.store_id, r.product_id, f.price::DOUBLE AS price, f.price IS NULL AS is_missing FROM store s CROSS JOIN (SELECT DISTINCT product_id FROM fresh) r LEFT JOIN fresh f USING (store_id, product_id)")
+def _a16(m):
+    offers = _fresh(m)
+    got = _by_store(m, offers.select("product_id").distinct(), offers)
+    return got.withColumns({"is_missing": F.col("price").isNull(), "price": F.col("price").cast("double")})
+
+
+@on_model("A36_list_totals_whole", "+ o AS (SELECT product_id, list(DISTINCT price ORDER BY price) AS ps FROM fresh GROUP BY 1) SELECT product_id, ps[1] * 2 AS best, CASE WHEN len(ps) > 1 THEN round(list_sum(ps[2:]) * 2.0 / (len(ps) - 1), 3) ELSE ps[1] * 2.0 END AS others FROM o")
+def _a36(m):
+    """Products at quantity 2: the best price, and the average of the other distinct prices."""
+    o = _fresh(m).groupBy("product_id").agg(F.sort_array(F.collect_set("price")).alias("ps"))
+    rest = F.aggregate(F.slice("ps", 2, F.greatest(F.size("ps"), F.lit(1))), F.lit(0).cast("long"), lambda s, x: s + x)
+    others = F.when(F.size("ps") > 1, F.round(rest * F.lit(2.0) / (F.size("ps") - 1), 3)).otherwise(F.get("ps", F.lit(0)) * F.lit(2.0))
+    return o.select("product_id", (F.get("ps", F.lit(0)) * 2).alias("best"), others.alias("others"))
+
+
+@on_model("A37_list_by_store_whole", "SELECT store_id, sum(price * (1 + product_id % 3))::BIGINT AS subtotal FROM fresh GROUP BY 1")
+def _a37(m):
+    return _fresh(m).groupBy("store_id").agg(F.sum(F.col("price") * (1 + F.col("product_id") % 3)).alias("subtotal"))
+
+
+@on_model("U4_disjoint_store_sets_whole", "+ p AS (SELECT product_id, list(DISTINCT store_id) AS s FROM fresh GROUP BY 1) SELECT a.product_id AS id_a, b.product_id AS id_b FROM p a JOIN p b ON a.product_id + 4 = b.product_id WHERE NOT list_has_any(a.s, b.s)")
+def _u4(m):
+    p = _fresh(m).groupBy("product_id").agg(F.collect_set("store_id").alias("s"))
+    a, b = p.select(F.col("product_id").alias("id_a"), F.col("s").alias("x"), (F.col("product_id") + 4).alias("id_b")), p.select(F.col("product_id").alias("id_b"), F.col("s").alias("y"))
+    return a.join(b, "id_b").where(~F.arrays_overlap("x", "y")).select("id_a", "id_b")
+
+
+@query("S4_offer_pick_whole", """SELECT o_orderkey, list_filter(list_sort(list(struct_pack(price := l_extendedprice, qty := l_quantity))), lambda x: x.qty > 40)[1].price AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""", base=False)
+def _s4(spark, sf_dir):
+    """First offer of a nested JSON payload with enough stock."""
+    rows = model.read(spark, sf_dir, "lineitem").join(model.read(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    payload = rows.groupBy("o_orderkey").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"))))).alias("json"))
+    offers = payload.withColumn("o", F.from_json("json", "array<struct<price: double, qty: double>>"))
+    return offers.select("o_orderkey", F.get(F.filter("o", lambda x: x["qty"] > 40), 0)["price"].alias("price"))
+
+
+@query("X1_X3_nested_whole", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey) AS orders FROM orders GROUP BY 1", base=False)
+def _x1(spark, sf_dir):
+    """A list by an order of its own, through JSON and back."""
+    rows = model.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), F.col("o_orderkey").alias("k"))))).alias("j"))
+    return rows.select("o_custkey", F.array_join(F.transform(F.from_json("j", "array<struct<p: double, k: bigint>>"), lambda x: x["k"].cast("string")), ",").alias("orders"))
