@@ -58,6 +58,11 @@ def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return common.span_hashes(common.byte_values(raw), starts, ends), first, starts, ends
 
 
+def _lesser(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of places, a left of b, the one with the lesser value."""
+    return np.where(values[b] < values[a], b, a)
+
+
 def _segments(words: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of rows of words: each segment's row, first word (within all words), number of windows, anchor and content."""
     counts = np.diff(first)
@@ -65,14 +70,12 @@ def _segments(words: np.ndarray, first: np.ndarray, width: int, gram: int) -> tu
     if n < width:
         return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2))
     grams = common.span_hashes(words, np.arange(n - gram + 1), np.arange(gram, n + 1))
-    low = (np.uint64(1) << np.uint64(22)) - np.uint64(1)  # the leftmost of equal ones, by place; a batch has fewer words
-    v = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     w = width - gram + 1
-    least, span = v, 1
+    least, span = np.arange(len(grams)), 1  # places of the least, the leftmost of equal ones
     while span * 2 <= w:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
+        least, span = _lesser(grams, least[:-span], least[span:]), span * 2
     if w > span:
-        least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
+        least = _lesser(grams, least[: len(least) - (w - span)], least[w - span :])
     windows = np.maximum(counts - width + 1, 0)
     row = np.repeat(np.arange(len(counts)), windows)
     place = np.repeat(first[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(len(row))
@@ -81,7 +84,7 @@ def _segments(words: np.ndarray, first: np.ndarray, width: int, gram: int) -> tu
     new[1:] = (got[1:] != got[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(row)))
-    anchor = grams[(got[at] & low).astype(np.int64)]
+    anchor = grams[got[at]]
     content = common.span_hashes(common.mix64(words ^ np.uint64(0x5555555555555555)), place[at], place[at] + size + width - 1)
     return row[at], place[at], size, anchor, content
 

@@ -125,6 +125,22 @@ def test_substrings(docs, rows, options):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_anchors_in_long_texts():
+    """Anchors of a passage are the same wherever it stands, also beyond 2**22 words and with small gram hashes."""
+    rng = np.random.default_rng(12)
+    passage = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    text = np.concatenate([passage, np.arange((1 << 22) + 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), passage])
+    row, place, size, anchor, content = substring_dedup._segments(text, np.array([0, len(text)]), 35, 6)
+    lone = substring_dedup._segments(passage, np.array([0, 300]), 35, 6)
+    inner = set(zip(lone[3].tolist()[1:-1], lone[4].tolist()[1:-1]))  # segments whose bounds lie in the passage
+    late = set(zip(anchor[place > 1 << 22].tolist(), content[place > 1 << 22].tolist()))
+    early = set(zip(anchor[place < 300].tolist(), content[place < 300].tolist()))
+    assert inner and inner <= late and inner <= early
+    grams = substring_dedup.common.span_hashes(passage, np.arange(295), np.arange(6, 301))
+    for a, n, p in zip(lone[3].tolist(), lone[2].tolist(), lone[1].tolist()):
+        assert all(a == int(grams[k : k + 30].min()) for k in range(p, p + n))
+
+
 def test_substrings_of_nothing(none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
