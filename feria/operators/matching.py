@@ -31,19 +31,24 @@ def unit_factor(a: Column, b: Column) -> Column:
     return F.when(silent, F.lit(None)).when(no_a | no_b, 0.8).when(_lookup(_KIND, a["unit"]) != _lookup(_KIND, b["unit"]), 0.6).when(ratio >= 0.9, 1.05).when(ratio < 0.5, 0.05).otherwise(0.5)
 
 
-def semantic_score(a: Column, b: Column) -> Column:
-    """Score of two `text.normalized` structs: name likeness, with blocks by type and exclusive variants, and factors for
-    size, type and brand; four places, at most 1."""
-    base = text.dice(a["name"], b["name"])
+def semantic_score(a: Column, b: Column, *, name: Column | None = None, context: Column | None = None, other_brand: Column | None = None) -> Column:
+    """Score of two `text.normalized` structs: name likeness, with blocks by type and variants, and factors for size, type
+    and brand; four places, at most 1. `name` is the names' likeness where it is known, `context` that of the contexts
+    (null if one lacks), a quarter of the score; `other_brand` says that both declare a brand and not the same."""
+    base = text.dice(a["name"], b["name"]) if name is None else name
+    if context is not None:
+        base = F.coalesce(base * 0.75 + context * 0.25, base)
     typed = (F.size(a["types"]) > 0) & (F.size(b["types"]) > 0)
     other_type = typed & ~F.arrays_overlap(a["types"], b["types"])
     xa, xb = text.exclusive(a["variants"]), text.exclusive(b["variants"])
     other_line = (F.size(F.array_except(xa, xb)) > 0) | (F.size(F.array_except(xb, xa)) > 0)
+    other_kind = (F.size(a["variants"]) > 0) & (F.size(b["variants"]) > 0) & ~F.arrays_overlap(a["variants"], b["variants"])
+    other_brand = F.lit(False) if other_brand is None else F.coalesce(other_brand, F.lit(False))
     size = F.when(presentation_conflict(a["pack"], b["pack"]), 0.05).otherwise(F.coalesce(unit_factor(a["unit"], b["unit"]), F.lit(1.0)))
     same_type = F.when(F.get(a["types"], F.lit(0)) == F.get(b["types"], F.lit(0)), 1.05).otherwise(1.0)
     same_brand = F.when(a["brand"] == b["brand"], 1.04).otherwise(1.0)
     score = F.least(base * size * same_type * same_brand, F.lit(1.0))
-    return F.when(other_type | other_line, 0.0).otherwise(F.floor(score * 10_000 + 0.5) / 10_000)
+    return F.when(other_type | other_brand | other_line | other_kind, 0.0).otherwise(F.floor(score * 10_000 + 0.5) / 10_000)
 
 
 def candidates(left: DataFrame, right: DataFrame, words: str = "tokens", least: int = 3, block: int = 1000) -> DataFrame:
@@ -80,6 +85,64 @@ def routed(score: Column, by_ean: Column, conflict: Column, rules: Rules = RULES
     return F.when(by_ean, F.when(doubtful, "pending_review").otherwise("auto")).when(score >= rules.auto_match, "auto").when(score >= rules.review_match, "pending_review").otherwise("new")
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """The rows with whether their code is valid, and a key of all that a score is made of."""
+    rows = rows.withColumn("valid", text.ean_valid(F.coalesce("ean", F.lit(""))))
+    return rows.withColumn("key", F.to_json(F.struct("n", "declared", "context", "valid")))
+
+
+def _alike(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the Dice likeness of two columns, counted once for each pair of texts; null if a text is."""
+    once = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct().where("_a is not null and _b is not null")
+    once = once.select("_a", "_b", text.dice(F.col("_a"), F.col("_b")).alias(name))
+    return pairs.join(once, (pairs[a] == once["_a"]) & (pairs[b] == once["_b"]), "left").drop("_a", "_b")
+
+
+def match(listings: DataFrame, products: DataFrame, rules: Rules = RULES, block: int = 1000) -> DataFrame:
+    """left_id, right_id, score, by_ean and status for each listing; both tables have id (unique), n (`text.normalized`),
+    declared (brand or null), context (or null) and ean (13 digits or null).
+
+    A product with the listing's code comes first, the most alike of several. Other listings are scored against products
+    that share a word and do not declare another brand, but for products with a valid code if their own is valid. Equal
+    texts are scored once. Without a candidate a listing is new and has neither product nor score. Texts and pairs are
+    checkpointed, as they are read more than once.
+    """
+    left, right = _texts(listings).checkpoint(), _texts(products).checkpoint()
+    fields = [F.first(c).alias(c) for c in ("n", "declared", "context", "valid")]
+    x, y = (d.groupBy("key").agg(F.min("id").alias("id"), *fields) for d in (left, right))
+    x, y = x.checkpoint(), y.checkpoint()
+
+    def words(d: DataFrame, branded: bool) -> DataFrame:
+        long = F.filter(d["n.tokens"], lambda t: F.length(t) >= 3)
+        return d.select("id", (F.transform(long, lambda t: F.concat("declared", F.lit("\x00"), t)) if branded else long).alias("tokens"))
+
+    has, lacks = "declared is not null", "declared is null"
+    pairs = candidates(words(x.where(has), True), words(y.where(has), True), block=block)
+    pairs = pairs.unionByName(candidates(words(x.where(lacks), False), words(y, False), block=block))
+    pairs = pairs.unionByName(candidates(words(x.where(has), False), words(y.where(lacks), False), block=block))
+
+    def side(d: DataFrame, name: str) -> DataFrame:
+        return d.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), F.col("n.name").alias(f"{name}_name"), F.col("declared").alias(f"{name}_declared"), F.col("context").alias(f"{name}_context"), F.col("valid").alias(f"{name}_valid"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id")
+        rows = _alike(_alike(rows, "left_name", "right_name", "alike"), "left_context", "right_context", "near")
+        other = F.col("left_declared") != F.col("right_declared")
+        rows = rows.checkpoint()
+        return rows.withColumn("score", semantic_score(F.col("left_n"), F.col("right_n"), name=F.col("alike"), context=F.col("near"), other_brand=other))
+
+    by_word = best_match(scored(pairs.checkpoint()).where("score > 0 and not (left_valid and right_valid)"))
+    same = left.select("id", "key").join(x.select("key", F.col("id").alias("left_id")), "key")
+    by_word = same.join(by_word, "left_id", "left").select("id", "right_id", "score")
+    hits = left.select(F.col("id").alias("left_id"), "ean").join(right.select(F.col("id").alias("right_id"), "ean"), "ean").select("left_id", "right_id").checkpoint()
+    hits = scored(hits).withColumn("conflict", presentation_conflict(F.col("left_n.pack"), F.col("right_n.pack")))
+    top = hits.groupBy("left_id").agg(F.max_by(F.struct("right_id", "alike", "conflict"), F.struct("score", -F.col("right_id"))).alias("h")).select(F.col("left_id").alias("id"), "h")
+    got = by_word.join(top, "id", "left").withColumn("by_ean", F.col("h").isNotNull())
+    status = routed(F.when(F.col("by_ean"), F.col("h.alike")).otherwise(F.coalesce("score", F.lit(0.0))), F.col("by_ean"), F.coalesce("h.conflict", F.lit(False)), rules)
+    pick = lambda a, b: F.when(F.col("by_ean"), a).otherwise(F.col(b))
+    return got.select(F.col("id").alias("left_id"), pick(F.col("h.right_id"), "right_id").alias("right_id"), pick(F.lit(1.0), "score").alias("score"), "by_ean", status.alias("status"))
+
+
 def blocked_pairs(rows: DataFrame, block: list[str]) -> DataFrame:
     """Pairs id_a < id_b of rows with equal block keys; nulls block nothing."""
     a, b = (rows.select(*block, *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in block]) for s in "ab")

@@ -599,13 +599,19 @@ def _e1(spark, sf_dir):
 
 @query("E4_E7_match_routing")
 def _e4(spark, sf_dir):
-    """Rows only: listings scored against products that share a word, the best one routed."""
-    part = model.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.normalized(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit(" gr")))).alias("n"))
-    left, right = part.where("id % 20 = 0"), part.where("id % 20 = 1")
-    pairs = matching.candidates(left.select("id", "n.tokens"), right.select("id", "n.tokens"))
-    scored = pairs.join(left.select(F.col("id").alias("left_id"), F.col("n").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("n").alias("b")), "right_id")
-    best = matching.best_match(scored.select("left_id", "right_id", matching.semantic_score(F.col("a"), F.col("b")).alias("score")))
-    return best.withColumn("status", matching.routed(F.col("score"), F.lit(False), F.lit(False)))
+    """Rows only: every listing by its code, else by the best score of products that share a word, and routed. Listings
+    have their product's texts; those whose link is by code have it."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
+    m = model.from_star(spark, sf_dir)
+    digits = F.lpad(F.col("product_id").cast("string"), 12, "0")
+    odd = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda s, i: s + F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1))
+    described = text.normalized(F.concat_ws(" ", "name", "brand", F.concat(F.col("size").cast("string"), F.lit(" gr"))))
+    products = m.product.join(m.category.select("category_id", F.col("path").alias("context")), "category_id", "left")
+    products = products.select(F.col("product_id").alias("id"), described.alias("n"), F.col("brand").alias("declared"), "context", F.concat(digits, ((10 - odd % 10) % 10).cast("string")).alias("ean"))
+    coded = m.link.where("method = 'ean'").select("sku_id", F.lit(True).alias("coded"))
+    listings = m.sku.join(coded, "sku_id", "left").join(products.withColumnRenamed("id", "product_key"), "product_key")
+    return matching.match(listings.select(F.col("sku_id").alias("id"), "n", "declared", "context", F.when(F.col("coded"), F.col("ean")).alias("ean")), products)
 
 
 @on_model("E12_merge_equal", "+ k AS (SELECT product_id, name, brand, size, count(l.sku_id) AS links FROM product LEFT JOIN link l USING (product_id) GROUP BY ALL) SELECT product_id, first_value(product_id) OVER (PARTITION BY name, brand, size ORDER BY links DESC, length(name) DESC, product_id) AS keep_id FROM k")

@@ -48,3 +48,27 @@ def test_without_subsets(spark, name):
         assert got.subtotal.sum() > part.subtotal.sum()
     else:
         assert len(got) > len(part)
+
+
+def test_match_routing(spark):
+    """Every listing has one row; codes come first, in doubt where texts or packs differ; brands and variants block."""
+    from pyspark.sql import functions as F
+
+    from feria.functions import text
+    from feria.operators import matching
+
+    schema = "id long, t string, declared string, context string, ean string"
+    products = [(1, "yerba suave 500 g", "uno", "almacen", "7790000000012"), (2, "yerba suave 500 g", "dos", "almacen", None), (3, "galletitas dulces 6 unidades", "tres", None, "7790000000036"), (4, "arroz largo fino 1 kg", None, "almacen", None)]
+    listings = [(10, "yerba suave 500 g", "uno", "almacen", None), (11, "yerba suave 500 g", "dos", None, "7790000000012"), (12, "galletitas dulces", "tres", None, "7790000000036"), (13, "yerba fuerte 500 g", "dos", "almacen", None), (14, "arroz largo fino 1000 g", "cuatro", "almacen", None), (15, "nada", None, None, None), (16, "yerba suave 500 g", "uno", "almacen", None), (17, "arroz largo fino 1 kg", None, "bazar", None)]
+    make = lambda rows: spark.createDataFrame(rows, schema).withColumn("n", text.normalized(F.col("t")))
+    got = {r.left_id: r for r in matching.match(make(listings), make(products), block=2).collect()}
+    assert set(got) == set(range(10, 18))
+    assert [(got[i].right_id, got[i].by_ean, got[i].status) for i in (10, 11, 12, 14, 16)] == [(1, False, "auto"), (1, True, "auto"), (3, True, "pending_review"), (4, False, "auto"), (1, False, "auto")]
+    assert got[13].status == "new" and got[15].right_id is None and got[17].score < got[14].score
+
+
+def test_match_routing_of_all_listings(spark):
+    every = QUERIES["E4_E7_match_routing"](spark, SF).toPandas()
+    con = duckdb.connect()
+    assert len(every) == con.sql(f"select count(distinct l_partkey * 100000 + l_suppkey) from '{SF}/lineitem.parquet'").fetchall()[0][0]
+    assert every.left_id.is_unique and every.by_ean.any() and not every.by_ean.all()
