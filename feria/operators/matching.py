@@ -22,13 +22,22 @@ def presentation_conflict(a: Column, b: Column) -> Column:
     return (a["is_pack"] != b["is_pack"]) | F.coalesce(a["count"] != b["count"], F.lit(False))
 
 
+def base_amount(u: Column) -> Column:
+    """The amount of a size (a struct of amount and unit) in grams, millilitres or articles."""
+    return u["amount"] * _lookup(_SCALE, u["unit"])
+
+
+def base_kind(u: Column) -> Column:
+    return _lookup(_KIND, u["unit"])
+
+
 def unit_factor(a: Column, b: Column) -> Column:
     """What the sizes of two presentations do to their score; null where they say nothing."""
     no_a, no_b = a["unit"].isNull() | a["amount"].isNull(), b["unit"].isNull() | b["amount"].isNull()
-    x, y = a["amount"] * _lookup(_SCALE, a["unit"]), b["amount"] * _lookup(_SCALE, b["unit"])
+    x, y = base_amount(a), base_amount(b)
     ratio = F.least(x, y) / F.greatest(x, y)
     silent = (no_a & no_b) | ((a["unit"] == "un") & (b["unit"] == "un"))
-    return F.when(silent, F.lit(None)).when(no_a | no_b, 0.8).when(_lookup(_KIND, a["unit"]) != _lookup(_KIND, b["unit"]), 0.6).when(ratio >= 0.9, 1.05).when(ratio < 0.5, 0.05).otherwise(0.5)
+    return F.when(silent, F.lit(None)).when(no_a | no_b, 0.8).when(base_kind(a) != base_kind(b), 0.6).when(ratio >= 0.9, 1.05).when(ratio < 0.5, 0.05).otherwise(0.5)
 
 
 def semantic_score(a: Column, b: Column, *, name: Column | None = None, context: Column | None = None, other_brand: Column | None = None) -> Column:

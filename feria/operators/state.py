@@ -9,14 +9,16 @@ from feria.sources.model import rank
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key: new rows win over old ones, among new ones the highest `order`."""
+    """The last row of each key: new rows win over old ones, among new ones the highest `order`, and among equal ones the
+    greatest by all other columns, so that a result never depends on the order of rows."""
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return rows.withColumn("_r", rank(key, [F.col("_new").desc(), F.col(order).desc()])).where("_r = 1").drop("_r", "_new")
+    return rows.withColumn("_r", rank(key, [F.col("_new").desc(), F.col(order).desc(), *[F.col(c).desc() for c in old.columns if c not in (*key, order)]])).where("_r = 1").drop("_r", "_new")
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Old rows, and of the new ones the first of each key that is not there yet."""
-    first = new.withColumn("_r", rank(key, [F.col(order).asc()])).where("_r = 1").drop("_r")
+    """Old rows, and of the new ones the first of each key that is not there yet (of equal `order` the least by all other
+    columns)."""
+    first = new.withColumn("_r", rank(key, [F.col(order).asc(), *[F.col(c).asc() for c in new.columns if c not in (*key, order)]])).where("_r = 1").drop("_r")
     return old.unionByName(first.join(old.select(*key), key, "left_anti"))
 
 

@@ -5,8 +5,10 @@ Prices are whole cents, so sums and rounded averages are exact on any engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Model:
-    """Tables of one snapshot of the data, and the time that counts as now."""
+    """Tables of one snapshot of the data, and the time that counts as now, or a function that finds it when it is asked
+    for. `listed` may have the price records with what they would be joined with: product_id and status (null without a
+    link), store_id and corrected; then nothing is joined."""
 
     product: DataFrame
     store: DataFrame
@@ -23,7 +27,12 @@ class Model:
     link: DataFrame
     price: DataFrame
     correction: DataFrame
-    now: datetime
+    clock: datetime | Callable[[], datetime]
+    listed: DataFrame | None = None
+
+    @cached_property
+    def now(self) -> datetime:
+        return self.clock() if callable(self.clock) else self.clock
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,15 +56,24 @@ def from_star(spark: SparkSession, sf_dir: str) -> Model:
         F.timestamp_add("SECOND", F.col("l_orderkey") % 86_400, F.col("l_shipdate").cast("timestamp")).alias("captured_at"),
         (F.col("l_discount") >= 0.05).alias("promo"), (F.col("l_returnflag") == "R").alias("suspect"),
     )
-    sku = rows.groupBy("sku_id").agg(F.first("l_partkey").alias("product_key"), F.first("l_suppkey").alias("store_id"), F.max("captured_at").alias("last_seen_at"))
+    own = [F.expr("sku_id div 100000").alias("product_key"), (F.col("sku_id") % 100_000).alias("store_id")]
+    sku = rows.groupBy("sku_id").agg(F.max("captured_at").alias("last_seen_at")).select("sku_id", *own, "last_seen_at")
     m = F.col("sku_id") % 7
     status = F.when(m == 0, "pending_review").when(m == 1, "rejected").when(m == 2, "confirmed").otherwise("auto")
     link = sku.where("sku_id % 11 != 0").select("sku_id", F.col("product_key").alias("product_id"), status.alias("status"), F.when(m < 3, "ean").otherwise("semantic").alias("method"))
-    # one record for each listing, time and kind: the cheapest, as a later one with the same key changes nothing
-    price = rows.groupBy("sku_id", "captured_at", "promo").agg(F.min(F.struct("price", "suspect")).alias("r")).select("sku_id", "captured_at", "promo", "r.price", "r.suspect")
-    correction = price.where("price % 97 = 0").select("sku_id", "captured_at").distinct()
-    now = lineitem.agg(F.max("l_shipdate")).first()[0]  # one value
-    return Model(product, store, roots.unionByName(leaves), sku, link, price, correction, now)
+    # one record for each listing, time and kind: the cheapest, as a later one with the same key changes nothing; both kinds
+    # come from one aggregation by listing and time, which also tells whether the time was corrected
+    best = lambda kind: F.min(F.when(F.col("promo") == kind, F.struct("price", "suspect"))).alias("yes" if kind else "no")
+    odd = lambda kind: F.coalesce(F.col(f"{kind}.price") % 97 == 0, F.lit(False))
+    both = rows.groupBy("sku_id", "captured_at").agg(best(True), best(False)).withColumn("corrected", odd("yes") | odd("no"))
+    kinds = F.array(F.struct(F.lit(True).alias("promo"), F.col("yes").alias("r")), F.struct(F.lit(False).alias("promo"), F.col("no").alias("r")))
+    flat = both.select("sku_id", "captured_at", "corrected", F.explode(F.filter(kinds, lambda k: k["r"].isNotNull())).alias("k"))
+    price = flat.select("sku_id", "captured_at", "k.promo", "k.r.price", "k.r.suspect", "corrected")
+    correction = both.where("corrected").select("sku_id", "captured_at")
+    linked = F.col("sku_id") % 11 != 0
+    listed = price.select("*", F.when(linked, F.expr("sku_id div 100000")).alias("product_id"), F.when(linked, status).alias("status"), own[1])
+    clock = lambda: lineitem.agg(F.max("l_shipdate")).first()[0]  # noqa: E731  one value
+    return Model(product, store, roots.unionByName(leaves), sku, link, price.drop("corrected"), correction, clock, listed)
 
 
 #: The same projection as common table expressions.

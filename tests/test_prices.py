@@ -1,5 +1,6 @@
 """Aggregates on a small scenario with known answers."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -37,7 +38,7 @@ def model(spark):
         link=spark.createDataFrame(links, "sku_id bigint, product_id bigint, status string"),
         price=spark.createDataFrame(rows, "sku_id bigint, captured_at timestamp, promo boolean, price bigint, suspect boolean"),
         correction=spark.createDataFrame([(41, ago(h=1))], "sku_id bigint, captured_at timestamp"),
-        now=NOW,
+        clock=NOW,
     )
 
 
@@ -57,7 +58,7 @@ def test_refresh_is_idempotent(model):
 
 
 def test_order_does_not_matter(model):
-    shuffled = Model(**{**model.__dict__, "price": model.price.repartition(5, F.rand(1))})
+    shuffled = replace(model, price=model.price.repartition(5, F.rand(1)))
     assert sorted(map(tuple, prices.price_aggregate(shuffled).collect())) == sorted(map(tuple, prices.price_aggregate(model).collect()))
 
 
