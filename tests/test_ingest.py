@@ -21,10 +21,44 @@ def test_stream_ingest(spark, tmp_path):
     assert set(got) == {"a", "e", "f"} and got["e"].ean is None and got["f"].ean == "4006381333931"
     bad = {r.externalId: r.reason for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()}
     assert bad == {"b": "invalid_price", "c": "below_min_price", "d": "invalid_source_url", "": "invalid_snapshot"}
-    again = spark.read.parquet(str(tmp_path / "out/prices")).drop("batch")
+    again = spark.read.parquet(str(tmp_path / "out/prices")).drop("batch", "run")
     assert ingest.not_yet(again, again).isEmpty()
 
 
+def test_runs_meet_what_is_known(spark, tmp_path):
+    """Two batches and a later run: the first of a run counts, a replay adds nothing, jumps are suspects of the later run
+    only, and products made by one batch are found by the next."""
+    (tmp_path / "in").mkdir()
+
+    def at(i, amount, hour, text="Arroz Largo Fino 1 kg", ean=None, kind="list"):
+        return {**snapshot(i, amount, ean=ean, kind=kind), "rawDescription": text, "capturedAt": f"2026-08-24T{hour:02}:00:00+00:00"}
+
+    def ingest_files(name, *files):
+        for k, rows in enumerate(files):
+            (tmp_path / f"in/{name}-{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        ingest.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), ["example.com"], run_id=name, files=1, now=F.lit("2026-08-25").cast("timestamp")).awaitTermination()
+
+    log = lambda t: ingest.log(spark, str(tmp_path / "out"), t)
+    ingest_files("one", [at("a", 2000.0, 2), at("a", 1000.0, 1), at("b", 900.0, 1, ean="4006381333931")], [at("a", 1500.0, 3), at("c", 800.0, 1, "Otra cosa", "4006381333931")])
+    assert sorted((r.externalId, r.price, r.is_suspect) for r in log("prices").collect()) == [("a", 100000, False), ("b", 90000, False), ("c", 80000, False)]
+    links = {r.externalId: (r.method, r.slug) for r in log("links").collect()}
+    assert links["c"] == ("ean", links["b"][1]) and links["a"][1] != links["b"][1] and log("products").count() == 2
+    ingest_files("two", [at("a", 1000.0, 1), at("b", 9000.0, 5, ean="4006381333931"), at("c", 850.0, 5, "Otra cosa", "4006381333931")])
+    two = log("prices").where("run = 'two'").collect()
+    assert sorted((r.externalId, r.price, r.is_suspect) for r in two) == [("b", 900000, True), ("c", 85000, False)]
+    assert log("links").count() == 3 and log("products").count() == 2
+    assert ingest.current(log("listings"), "externalId", "last_seen_at").count() == 3
+
+
+def test_alerts(spark):
+    hour = lambda n: F.timestamp_seconds(F.lit(n * 3600))
+    runs = spark.createDataFrame([(1, 1, False, 0, 0), (1, 2, False, 0, 0), (1, 3, False, 0, 9), (2, 3, True, 70, 30), (3, 3, True, 99, 1)], "store_id int, t int, ok boolean, captured int, rejected int").withColumn("started_at", F.timestamp_seconds(F.col("t") * 3600))
+    stores = spark.createDataFrame([(1, 3), (2, 3), (3, 3), (4, None)], "store_id int, t int").withColumn("last_at", F.timestamp_seconds(F.col("t") * 3600))
+    got = lambda now: sorted(map(tuple, ingest.alerts(stores, runs, hour(now)).collect()))
+    assert got(4) == [(1, "failed"), (1, "quarantine"), (1, "rejection"), (2, "rejection"), (4, "stale")]
+    assert got(90) == [(1, "failed"), (1, "rejection"), (1, "stale"), (2, "rejection"), (2, "stale"), (3, "stale"), (4, "stale")]
+
+
 def test_quarantine(spark):
     runs = spark.createDataFrame([(1, 1, False), (1, 2, False), (1, 3, False), (2, 1, False), (2, 2, True), (2, 3, False)], "store_id int, t int, ok boolean")
     runs = runs.withColumn("started_at", F.timestamp_seconds(F.col("t") * 3600))
