@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words, as bytes.
@@ -17,7 +19,7 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 #: Rows in an Arrow batch: texts can be long, so a batch is kept to a few MB.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, "4m"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -36,14 +38,37 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a Python worker holds a few MB of text at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def written(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFrame:
-    """Write to the shared folder as Parquet and read back: lineage is cut and survives lost executors."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder as Parquet and read back: lineage is cut and survives lost executors. `discard` deletes
+    the folder once every reader has ended."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.step_path = path
+    return got
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a step's folder, through Spark's own view of the file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete written steps that nothing reads any more, and let Spark drop the shuffle files of what read them."""
+    for step in steps:
+        delete(step.sparkSession, step.step_path)
+    if steps:
+        release(steps[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -52,6 +77,41 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key with more than one row in so many is hot: there are at most so many hot keys, whatever the input.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of `rows` with `one`, which has a row for each key and the key's number of rows in the column `size`.
+
+    Rows of hot keys (over 1 / HOT_SHARE of all rows) meet their key where they are, by a broadcast of HOT_SHARE rows at
+    most; all others by a shuffle, in which no key is large. Both inputs are read twice, so they should be written steps.
+    """
+    total = one.agg(F.sum(size)).first()[0] or 0
+    hot = one.where(F.col(size) * HOT_SHARE > total)
+    plain = one.where(F.col(size) * HOT_SHARE <= total)
+    few = F.broadcast(hot.select(*keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(plain.hint("merge"), keys))
+
+
+def text_key(ident: Column, text: Column) -> Column:
+    """A hash of id and text that tells rows with equal ids apart."""
+    return F.xxhash64(ident, text)
+
+
+def rows_of(docs: DataFrame, keep: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that `keep` names by id, key (text_key of the id as long and the text, null as empty) and copies
+    (rows with this id and text): one row for each, all columns as they were."""
+    mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("_i"), text_key(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_k"), F.struct("*").alias("_row"))
+    same = lambda k: mine["_k"].eqNullSafe(k["key"]) & mine["_i"].eqNullSafe(k["id"])
+    once, often = keep.where("copies = 1"), keep.where("copies > 1")
+    got = mine.join(once, same(once), "left_semi").select("_row.*")
+    if often.isEmpty():
+        return got
+    rest = mine.join(often, same(often), "left_semi").groupBy("_k", "_i").agg(F.first("_row").alias("_row"))
+    return got.unionByName(rest.select("_row.*"))
+
+
 #: Characters of text in a chunk: what one task holds a dictionary for.
 CHUNK_CHARS = 24_000_000
 
@@ -62,6 +122,31 @@ def text_chunks(docs: DataFrame, text_col: str = "text", chars: int = CHUNK_CHAR
     return max(1, -(-total // chars))
 
 
+def trim() -> None:
+    """Hand memory that a worker no longer uses back to the system: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over the batches of a task, or over the tables of a group, that trims its worker when it ends."""
+
+    @functools.wraps(run)
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    def over_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = run(left, right)
+        trim()
+        return got
+
+    return over_groups if run.__code__.co_argcount == 2 else over_batches
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -138,11 +223,15 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64(got + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def byte_values(raw: np.ndarray) -> np.ndarray:
-    return _TABLE[raw]
+_OTHER = mix64(_TABLE ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
+def byte_values(raw: np.ndarray, *, other: bool = False) -> np.ndarray:
+    """A 64-bit value for each byte; `other` gives those of a second, independent hash."""
+    return (_OTHER if other else _TABLE)[raw]
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     _, at = text_bytes(batch.column(batch.schema.get_field_index(text)))
     row = 0

@@ -10,7 +10,6 @@ quantile of the perplexities of those held out. Languages with few trusted docum
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -33,56 +32,52 @@ PRIOR_CHARS, QUANTILE, MARGIN = 60, 0.995, 0.05
 #: pooled model). Trusted documents that a model of a language's own takes; the pooled model's name.
 HELD_OUT, FEW_HELD_OUT, MIN_TRUSTED, POOL = 10, 2, 50, "\x00pool"
 #: Characters counted at once, and different runs held before they are handed on.
-PIECE, HELD = 1_000_000, 1_500_000
+PIECE, HELD = 500_000, 600_000
 
 
-def text_key(ident: Column, text: Column) -> Column:
-    """A hash of id and text that tells rows with equal ids apart."""
-    return F.xxhash64(ident, text)
-
-
-def zipped(docs: DataFrame, labels: DataFrame, chunks: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Rows of a few MB of documents: chunk, their ids, langs, models, trusted, held, extra, keys (text_key) and sizes, and
-    the compressed texts, dealt to chunks by a checksum. Held are trusted documents that are not counted; equal texts are
-    held together. Extra are second rows of held documents for the pooled model, if a language uses it."""
+def zipped(docs: DataFrame, langs: DataFrame, chunks: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """chunk, id, lang, own (whether the language has a model of its own), lot (whether the text is held out if trusted;
+    equal texts alike), key (common.text_key) and the compressed text. Chunks are dealt by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in common.pieces(batch, "t"):
-                raw, at = common.text_bytes(part.column(7))
-                z = c.compress(raw.tobytes())
-                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (*(part.column(k) for k in range(7)), pa.array(np.diff(at)))]
-                yield pa.RecordBatch.from_arrays([pa.array([(zlib.crc32(z) + len(z)) % chunks], pa.int64()), *lists, pa.array([z], pa.binary())], names=["chunk", "ids", "langs", "models", "trusted", "held", "extra", "keys", "sizes", "z"])
-
-    good = labels.where("id is not null and good is not null").groupBy("id").agg((F.min("good") == 1).alias("trusted"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), text.alias("t"))
-    rows = rows.join(good, "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    langs = rows.groupBy("lang").agg((F.count_if(F.col("trusted") & (F.col("t") != "")) >= MIN_TRUSTED).alias("own"))
-    langs = common.written(langs, "languages")
-    rows = rows.join(langs, "lang").withColumn("model", F.when(F.col("own"), F.col("lang")).otherwise(POOL))
-    every = F.when(F.col("own"), HELD_OUT).otherwise(FEW_HELD_OUT)
-    rows = rows.withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("t"), every) == 0))
-    extra = F.array(F.lit(False))
-    if not langs.where("not own").isEmpty():
-        extra = F.when(F.col("held") & F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(extra)
-    rows = rows.select("id", "lang", "model", "trusted", "held", F.explode(extra).alias("extra"), text_key(F.col("id"), F.col("t")).alias("key"), "t")
-    rows = rows.withColumn("model", F.when(F.col("extra"), POOL).otherwise(F.col("model")))
-    schema = "chunk long, ids array<long>, langs array<string>, models array<string>, trusted array<boolean>, held array<boolean>, extra array<boolean>, keys array<long>, sizes array<long>, z binary"
-    return rows.mapInArrow(run, schema).repartition(chunks, "chunk")
-
-
-def _opened(blobs: pa.RecordBatch | pa.Table) -> Iterator[list[tuple]]:
-    """For each row of `zipped` its documents: chunk, model, counted, columns (id, lang, model, trusted, held, extra, key), text."""
+                raw, at = common.text_bytes(part.column(6))
+                flat = memoryview(raw)
+                z = pa.array([c.compress(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], z], names=["chunk", "id", "lang", "own", "lot", "key", "z"])
+
+    rows = _named(docs, id_col, text_col, lang_col).join(langs, "lang")
+    lot = F.pmod(F.xxhash64("t"), F.when(F.col("own"), HELD_OUT).otherwise(FEW_HELD_OUT)) == 0
+    rows = rows.select(F.pmod("key", F.lit(chunks)).alias("chunk"), "id", "lang", "own", lot.alias("lot"), "key", "t")
+    return rows.mapInArrow(common.trimmed(run), "chunk long, id long, lang string, own boolean, lot boolean, key long, z binary")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(ident.alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), common.text_key(ident, text).alias("key"), text.alias("t"))
+
+
+def _opened(docs: pa.Table, trusted: np.ndarray, pooled: bool) -> Iterator[tuple[list[tuple], list[str]]]:
+    """A chunk's documents in parts of about PIECE characters: columns (id, lang, model, trusted, held, extra, key) and texts.
+    Held are trusted documents that are not counted; extra are second rows of held documents, for the pooled model if a
+    language uses it."""
     d = zstandard.ZstdDecompressor()
-    names = ("ids", "langs", "models", "trusted", "held", "extra", "keys")
-    for chunk, sizes, z, *lists in zip(*(blobs[c].to_pylist() for c in ("chunk", "sizes", "z", *names))):
-        raw, at, out = d.decompress(z), 0, []
-        for n, *cols in zip(sizes, *lists):
-            out.append((chunk, cols[2], cols[3] and not cols[4], tuple(cols), raw[at : at + n].decode("utf-8", "surrogatepass")))
-            at += n
-        yield out
+    known = np.isin(docs["key"].to_numpy(), trusted).tolist()
+    cols, texts, size = [], [], 0
+    for good, i, lang, own, lot, key, z in zip(known, *(docs[c].to_pylist() for c in ("id", "lang", "own", "lot", "key", "z"))):
+        texts.append(d.decompress(z).decode("utf-8", "surrogatepass"))
+        cols.append((i, lang, lang if own else POOL, good, good and lot, False, key))
+        if good and lot and own and pooled:
+            cols.append((i, lang, POOL, True, True, True, key))
+            texts.append(texts[-1])
+        size += len(texts[-1])
+        if size >= PIECE:
+            yield cols, texts
+            cols, texts, size = [], [], 0
+    if cols:
+        yield cols, texts
 
 
 def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,45 +99,33 @@ def _hashes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def run_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, lang (the model's), run and its count in trusted documents (0: none), from each task's share of a chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        size = 0
-        for batch in batches:
-            for docs in _opened(batch):
-                groups: dict[tuple, list] = {}
-                for chunk, lang, counted, _, text in docs:
-                    groups.setdefault((chunk, lang, counted), []).append(text)
-                for (chunk, lang, counted), texts in groups.items():
-                    for part in _parts(texts):
-                        codes, at, _ = _runs(part)
-                        h, where, n = np.unique(_hashes(codes, at), return_index=True, return_counts=True)
-                        grams = codes[at[where][:, None] + np.arange(ORDER)]
-                        held.setdefault((chunk, lang), []).append((h, grams, n if counted else np.zeros(len(n), np.int64)))
-                        size += len(h)
-                if size > HELD:
-                    held = {k: [_merged(v)] for k, v in held.items()}
-                    size = sum(len(v[0][0]) for v in held.values())
-                    if size > HELD // 2:
-                        yield from _counted(held)
-                        held, size = {}, 0
-        yield from _counted(held)
-
-    return chunks.mapInArrow(run, "chunk long, lang string, gram string, n long")
-
-
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= PIECE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _chunk_counts(docs: pa.Table, marks: pa.Table, pooled: bool) -> pa.Table:
+    """chunk, lang (the model's), run and its count in trusted documents (0: none) in one chunk of documents."""
+    chunk, trusted = docs["chunk"][0].as_py() if len(docs) else 0, marks["key"].to_numpy()
+    held: dict[str, list] = {}
+    out: list[pa.RecordBatch] = []
+    size = 0
+    for cols, texts in _opened(docs, trusted, pooled):
+        groups: dict[tuple, list] = {}
+        for (_, _, lang, good, apart, _, _), text in zip(cols, texts):
+            groups.setdefault((lang, good and not apart), []).append(text)
+        for (lang, counted), part in groups.items():
+            codes, at, _ = _runs(part)
+            h, where, n = np.unique(_hashes(codes, at), return_index=True, return_counts=True)
+            grams = codes[at[where][:, None] + np.arange(ORDER)]
+            held.setdefault(lang, []).append((h, grams, n if counted else np.zeros(len(n), np.int64)))
+            size += len(h)
+        if size > HELD:
+            held = {k: [_merged(v)] for k, v in held.items()}
+            size = sum(len(v[0][0]) for v in held.values())
+            if size > HELD // 2:
+                out += _counted(chunk, held)
+                held, size = {}, 0
+    out += _counted(chunk, held)
+    return pa.Table.from_batches(out, _RUNS)
+
+
+_RUNS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
 
 def _merged(parts: list[tuple]) -> tuple:
@@ -151,14 +134,12 @@ def _merged(parts: list[tuple]) -> tuple:
     return h, np.concatenate([p[1] for p in parts])[where], np.bincount(back, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
 
 
-def _counted(held: dict) -> Iterator[pa.RecordBatch]:
-    for (chunk, lang), parts in held.items():
+def _counted(chunk: int, held: dict) -> Iterator[pa.RecordBatch]:
+    for lang, parts in held.items():
         h, grams, n = _merged(parts)
         flat = np.ascontiguousarray(grams).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         text = pa.array([flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], pa.string())
-        for i in range(0, len(h), 50_000):
-            m = len(h[i : i + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array([lang] * m, pa.string()), text.slice(i, m), pa.array(n[i : i + m])], names=["chunk", "lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array([lang] * len(h), pa.string()), text, pa.array(n)], schema=_RUNS)
 
 
 def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
@@ -226,13 +207,16 @@ class _Lookup:
         return self.values[got]
 
 
-def _scored(docs: pa.Table, model: pa.Table) -> pa.Table:
+def _scored(docs: pa.Table, side: pa.Table, pooled: bool) -> pa.Table:
+    """Scores of a chunk; `side` has the keys of its trusted documents (no run) and the costs of its runs."""
+    marks = side.filter(pa.compute.is_null(side["gram"]))
+    model = side.filter(pa.compute.is_valid(side["gram"]))
     rows: list[tuple] = []
     tables: dict[str, _Lookup] = {}
-    for opened in _opened(docs):
+    for cols, texts in _opened(docs, marks["key"].to_numpy(), pooled):
         by: dict[str, list] = {}
-        for _, lang, _, cols, text in opened:
-            by.setdefault(lang, []).append((cols, text))
+        for c, text in zip(cols, texts):
+            by.setdefault(c[2], []).append((c, text))
         for part in by.values():
             rows += _sums(part, tables, model)
     kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
@@ -261,21 +245,33 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     `labels` has id and good (1: trusted), nulls ignored; of several labels the lowest counts. Null texts count as
     empty and have no runs, a null language is one of its own, and a language with fewer than MIN_TRUSTED trusted
-    texts gets the pooled model. Rows with equal ids are scored one by one; an empty table gives no rows.
+    texts gets the pooled model. Rows with equal ids or texts are scored one by one, texts of any length whole; an empty
+    table gives no rows.
     """
     n = chunks or common.text_chunks(docs, text_col)
-    parts = zipped(docs, labels, n, id_col, text_col, lang_col)
-    counts = common.written(run_counts(parts).groupBy("chunk", "lang", "gram").agg(F.sum("n").alias("n")), "runs")
-    whole = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    known = common.written(whole, "run-counts")
+    good = labels.where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good")).where("good = 1").select("id")
+    named = _named(docs, id_col, text_col, lang_col).select("id", "lang", "key", (F.col("t") != "").alias("some"))
+    marked = common.written(named.join(good.withColumn("trusted", F.lit(True)), "id", "left"), "trusted-rows")
+    langs = common.written(marked.groupBy("lang").agg((F.count_if(F.col("trusted") & F.col("some")) >= MIN_TRUSTED).alias("own")), "languages")
+    marks = common.written(marked.where("trusted").select(F.pmod("key", F.lit(n)).alias("chunk"), "key").distinct(), "trusted-keys")
+    common.discard(marked)
+    pooled = not langs.where("not own").isEmpty()
+    parts = zipped(docs, langs, n, id_col, text_col, lang_col)
+    counts = common.written(parts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(common.trimmed(lambda docs, marks: _chunk_counts(docs, marks, pooled)), "chunk long, lang string, gram string, n long"), "runs")
+    common.release(docs.sparkSession)
+    known = common.written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "run-counts")
     common.release(docs.sparkSession)
     seen = known.where("n > 0")
     if not known.where(F.col("lang") == POOL).isEmpty():
         seen = seen.where(F.col("lang") != POOL).unionByName(seen.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "gram", "n"))
     p = common.written(probabilities(known, seen), "run-probabilities")
-    common.release(docs.sparkSession)
-    model = counts.join(p, ["lang", "gram"]).select("chunk", "lang", "gram", (-F.log("p")).alias("cost"))
-    return parts.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_scored, "id long, lang string, model string, trusted boolean, held boolean, extra boolean, key long, n_runs long, minus_log double")
+    common.discard(known)
+    model = counts.join(p, ["lang", "gram"]).select("chunk", F.lit(None).cast("long").alias("key"), "lang", "gram", (-F.log("p")).alias("cost"))
+    side = model.unionByName(marks, allowMissingColumns=True)
+    got = parts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(common.trimmed(lambda docs, side: _scored(docs, side, pooled)), "id long, lang string, model string, trusted boolean, held boolean, extra boolean, key long, n_runs long, minus_log double")
+    scores = common.written(got, "scores")
+    common.discard(langs, marks, counts, p)
+    return scores
 
 
 def judged(scores: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR_CHARS) -> DataFrame:
@@ -287,10 +283,15 @@ def judged(scores: DataFrame, *, quantile: float = QUANTILE, margin: float = MAR
     """
     enough, z = 1 / (1 - quantile), NormalDist().inv_cdf(quantile)
     held = scores.where("held and n_runs > 0")
-    mean = held.where("not extra").groupBy("lang").agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean"))
+    of_own = (F.col("held")) & (F.col("n_runs") > 0)
+    mean = F.sum(F.when(of_own, F.col("minus_log"))) / F.sum(F.when(of_own, F.col("n_runs")))
+    langs = common.written(scores.where("not extra").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), mean.alias("mean")), "language-means")
     pooled = held.where(F.col("model") == POOL).agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean_all"))  # one row
     smooth = (F.col("minus_log") + prior * F.coalesce("mean", "mean_all", F.lit(0.0))) / (F.col("n_runs") + prior)
-    got = scores.where("not extra").join(mean, "lang", "left").crossJoin(F.broadcast(pooled)).withColumn("log_perplexity", smooth)
+
+    def smoothed(rows: DataFrame, one: DataFrame) -> DataFrame:
+        return common.hot_join(rows, one, ["lang"], "documents").crossJoin(F.broadcast(pooled)).withColumn("log_perplexity", smooth)
+
     # the pool's documents are smoothed at their own language's mean in the pool
     there = held.where(F.col("model") == POOL)
     there = there.join(there.groupBy("lang").agg((F.sum("minus_log") / F.sum("n_runs")).alias("mean")), "lang")
@@ -301,12 +302,13 @@ def judged(scores: DataFrame, *, quantile: float = QUANTILE, margin: float = MAR
     def line(n: Column, m: Column, s: Column, q: Column) -> Column:
         return F.when(n >= enough, q).otherwise(m + z * s * F.sqrt(1 + 1 / n))
 
-    own = got.where("held and n_runs > 0").groupBy("lang", "model").agg(*stats)
+    own = smoothed(held.where("not extra"), langs).groupBy("lang", "model").agg(*stats)
     pool = there.agg(*[c.alias(f"pool_{k}") for c, k in zip(stats, "nmsq")])  # one row
     shared = line(*(F.col(f"pool_{k}") for k in "nmsq"))
     few = F.greatest(shared, F.col("m") + z * F.greatest("s", "pool_s") * F.sqrt(1 + 1 / F.col("n")))
     own = own.crossJoin(F.broadcast(pool)).select("lang", (F.when(F.col("model") == POOL, few).otherwise(line(*(F.col(k) for k in "nmsq"))) + margin).alias("threshold"))
-    got = got.join(own, "lang", "left")
+    every = common.written(langs.join(own, "lang", "left"), "language-thresholds")
+    got = smoothed(scores.where("not extra"), every)
     return got.withColumn("rejected", F.coalesce(F.col("log_perplexity") > F.col("threshold"), F.lit(False))).select("id", "key", "lang", "trusted", "held", "n_runs", "log_perplexity", "threshold", "rejected")
 
 
@@ -315,15 +317,15 @@ def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, lang and more) that are not rejected."""
-    scores = common.written(perplexities(docs, labels), "scores")
-    out = judged(scores).where("rejected").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    key = text_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    """The rows of docs (doc_id, text, lang and more) that are not rejected, all columns as they were."""
+    out = judged(perplexities(docs, labels)).where("rejected").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    out = common.written(out, "rejected")
+    key = common.text_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     return docs.join(out, (key == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: perplexity and verdict for each of `documents`, by a model of those labelled as good."""
     common.tune(spark)
-    scores = common.written(perplexities(common.load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir)), "scores")
+    scores = perplexities(common.load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir))
     return judged(scores).select(F.col("id").alias("doc_id"), "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), (~F.col("rejected")).alias("kept"))
