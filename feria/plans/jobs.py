@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
+from operator import add
 
 from pyspark.sql import functions as F
 
 from feria.functions import text
-from feria.operators import jobs, prices
+from feria.operators import catalog, jobs, prices
 from feria.plans.more import NOW, deals, on_deals
 from feria.plans.queries import TEST, _agg, _fresh, on_model, query
 from feria.sources import model
@@ -19,9 +21,11 @@ _CODES = f"codes AS (SELECT product_id, product_id % 10 <> 0 AS valid, {_DIGITS}
 
 
 def code(product_id: F.Column) -> F.Column:
-    digits = F.lpad(F.floor(product_id / 3).cast("string"), 12, "0")
-    odd = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda s, i: s + F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1))
-    return F.concat(digits, (((10 - odd % 10) % 10 + F.when(product_id % 10 == 0, 1).otherwise(0)) % 10).cast("string"))
+    def digits(n: F.Column) -> F.Column:
+        odd = reduce(add, [F.floor(n / 10 ** (12 - i)) % 10 * (3 if i % 2 == 0 else 1) for i in range(1, 13)])
+        return F.concat(F.lpad(n.cast("string"), 12, "0"), (((10 - odd % 10) % 10 + F.when(product_id % 10 == 0, 1).otherwise(0)) % 10).cast("string"))
+
+    return F.get(F.transform(F.array(F.floor(product_id / 3)), digits), 0)
 
 
 def _coded(m: model.Model):
@@ -341,3 +345,102 @@ def _k9(spark, sf_dir):
     bad = F.col("event_type") == "error"
     n = model.read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(bad).alias("b"), F.count_if(~bad).alias("g"), F.min("ts").alias("from"), F.max("ts").alias("to"))
     return n.select("user_id", (F.unix_timestamp("to") - F.unix_timestamp("from")).alias("seconds"), F.when(F.col("b") == 0, "success").when(F.col("g") > 0, "partial").otherwise("failed").alias("status"))
+
+
+# --- the public functions
+
+_Q = "small plate"
+
+
+def _grams(t: str) -> str:
+    return f"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"len(list_intersect({_grams(a)}, {_grams(b)}))::DOUBLE / len(list_distinct(list_concat({_grams(a)}, {_grams(b)})))"
+
+
+_FOUND = f"""+ sim AS (SELECT name, {_alike('name', repr(_Q))} AS score FROM (SELECT DISTINCT name FROM product)),
+found AS (SELECT p.slug, p.name, p.brand, c.path AS category, a.best_price, a.stores, a.best_captured_at, score FROM product p JOIN sim USING (name) JOIN category c USING (category_id) JOIN agg a USING (product_id)
+  WHERE (score > 0.3 OR contains(p.name, '{_Q}') OR contains(lower(p.brand), '{_Q}')) AND (c.path = 'asia' OR starts_with(c.path, 'asia/')) AND stores >= 2 AND best_price >= 500000
+    AND product_id IN (SELECT product_id FROM fresh WHERE store_id BETWEEN 1 AND 60))"""
+
+
+def _asked(m, limit: int, offset: int):
+    stores = [f"supplier-{i:09d}" for i in range(1, 61)]
+    return catalog.request(_Q, limit, "asia", stores, catalog.cursor(offset))
+
+
+@on_model("N1_search_products", _FOUND + " SELECT * EXCLUDE (score) FROM found ORDER BY score DESC, best_price, slug LIMIT 20 OFFSET 3")
+def _n1(m):
+    """A page of a search by name within a category and some stores."""
+    return catalog.search_products(m, _asked(m, 20, 3), TEST)
+
+
+@on_model("O11_search_total", _FOUND + " SELECT count(*) AS total FROM found")
+def _o11(m):
+    return catalog.search_total(m, _asked(m, 12, 0), TEST)
+
+
+_SLUG = "(SELECT slug FROM product WHERE product_id = (SELECT min(product_id) FROM agg WHERE stores >= 2))"
+
+
+def _some_slug(m) -> str:
+    least = prices.publishable(_agg(m), TEST).agg(F.min("product_id").alias("product_id"))
+    return m.product.join(least, "product_id").select("slug").first()[0]  # one value, as a reader would ask for
+
+
+@on_model("N2_product_detail", f"""+ one AS (SELECT * FROM product WHERE slug = {_SLUG}),
+rec AS (SELECT p.*, l.product_id, k.store_id FROM price p JOIN link l USING (sku_id) JOIN sku k USING (sku_id) WHERE NOT p.suspect AND l.status IN ('auto', 'confirmed') AND l.product_id IN (SELECT product_id FROM one)),
+offers AS (SELECT DISTINCT ON (store_id) store_id, price FROM rec ORDER BY store_id, captured_at DESC, promo DESC, price, sku_id)
+SELECT slug, name, category, best_price, stores, (SELECT string_agg(s.slug || ':' || price, ',' ORDER BY price, s.slug) FROM offers JOIN store s USING (store_id) WHERE s.is_active) AS offers
+FROM (SELECT o.slug, o.name, c.path AS category, a.best_price, a.stores FROM one o JOIN agg a USING (product_id) LEFT JOIN category c USING (category_id))""")
+def _n2(m):
+    """The card of the first published product."""
+    got = catalog.product_detail(m, _some_slug(m), TEST)
+    offers = F.array_join(F.transform("offers", lambda o: F.concat(o["store"], F.lit(":"), o["price"].cast("string"))), ",")
+    return got.select("slug", "name", "category", "aggregate.best_price", "aggregate.stores", offers.alias("offers"))
+
+
+@on_model("N3_product_history", f"""+ d AS (SELECT strftime(captured_at, '%Y-%m-%d') AS day, min(price) AS low FROM price JOIN link USING (sku_id) WHERE NOT suspect AND status IN ('auto', 'confirmed') AND product_id = (SELECT min(product_id) FROM agg WHERE stores >= 2) GROUP BY 1)
+SELECT {_SLUG} AS slug, string_agg(day || ':' || low, ',' ORDER BY day) AS series, min(low)::DOUBLE AS low, max(low)::DOUBLE AS high FROM d""")
+def _n3(m):
+    got = catalog.product_history(m, _some_slug(m), "all", TEST)
+    series = F.array_join(F.transform("series", lambda d: F.concat(d["day"].cast("string"), F.lit(":"), d["min_price"].cast("string"))), ",")
+    return got.select("slug", series.alias("series"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
+
+
+@on_model("T20_sql_functions", "SELECT product_id, split_part(slug, '-', 1) AS first_part, left(name, 5) AS head, lpad(product_id::VARCHAR, 8, '0') AS padded, regexp_matches(name, '^[a-m]') AS early, coalesce(nullif(brand, 'Brand#11'), '-') AS brand FROM product")
+def _t20(m):
+    brand = F.coalesce(F.nullif("brand", F.lit("Brand#11")), F.lit("-"))
+    return m.product.select("product_id", F.split_part("slug", F.lit("-"), F.lit(1)).alias("first_part"), F.left("name", F.lit(5)).alias("head"), F.lpad(F.col("product_id").cast("string"), 8, "0").alias("padded"), F.col("name").rlike("^[a-m]").alias("early"), brand.alias("brand"))
+
+
+@on_model("A29_link_diagnosis", "SELECT store_id, count(*) AS listings, count(l.sku_id) AS linked, round(count(l.sku_id) * 100.0 / count(*), 4) AS pct, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS share FROM sku k LEFT JOIN link l USING (sku_id) GROUP BY store_id")
+def _a29(m):
+    n = m.sku.join(m.link.select("sku_id", F.lit(1).alias("hit")), "sku_id", "left").groupBy("store_id").agg(F.count(F.lit(1)).alias("listings"), F.count("hit").alias("linked"))
+    whole = n.agg(F.sum("listings").alias("t"))  # one row
+    rate = lambda a, b: F.round(F.col(a) * 100.0 / F.col(b), 4).cast("double")
+    return n.crossJoin(F.broadcast(whole)).select("store_id", "listings", "linked", rate("linked", "listings").alias("pct"), rate("listings", "t").alias("share"))
+
+
+@query("P20_seeded", "SELECT n_nationkey AS id, n_name AS name FROM nation", base=False)
+def _p20(spark, sf_dir):
+    """A seed of all rows over some that are there, twice: what is there stays."""
+    from feria.operators import state
+
+    rows = model.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    once = state.insert_new(rows.where("id % 2 = 0"), rows, ["id"], "name")
+    return state.insert_new(once, rows, ["id"], "name")
+
+
+@query("C2_web_search", "SELECT q, CASE WHEN length(trim(q)) BETWEEN 2 AND 64 THEN least(greatest(n, 1), 20) END::DOUBLE AS n FROM (VALUES ('ab', 5), (' a ', 5), ('yerba', 0), ('yerba', 99)) v(q, n)", base=False)
+def _c2(spark, sf_dir):
+    """Which requests the lenient search takes, and with what limit."""
+    rows = []
+    for q, n in (("ab", 5), (" a ", 5), ("yerba", 0), ("yerba", 99)):
+        try:
+            rows.append((q, float(catalog.request(q, n, lenient=True).limit)))
+        except catalog.InvalidQuery:
+            rows.append((q, None))
+    return spark.createDataFrame(rows, "q string, n double")

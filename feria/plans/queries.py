@@ -533,9 +533,13 @@ def _t13(spark, sf_dir):
     return model.read(spark, sf_dir, "part").select("p_partkey", text.forge_slug(F.col("p_name"), F.col("p_partkey").cast("string")).alias("slug"))
 
 
-@query("T22_trigram_similarity")
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_A, _B = _GRAMS.format("p_name"), _GRAMS.format("'cold gear'")
+
+
+@query("T22_trigram_similarity", f"SELECT p_partkey, likeness FROM (SELECT p_partkey, len(list_intersect({_A}, {_B}))::DOUBLE / len(list_distinct(list_concat({_A}, {_B}))) AS likeness FROM part) WHERE likeness > 0.3", base=False)
 def _t22(spark, sf_dir):
-    """Rows only: names that are alike to a text by trigrams."""
+    """Names that are alike to a text by trigrams."""
     return model.read(spark, sf_dir, "part").select("p_partkey", text.trigram_similarity(F.col("p_name"), F.lit("cold gear")).alias("likeness")).where("likeness > 0.3")
 
 
@@ -619,9 +623,9 @@ def _e12(m):
     return rows.join(matching.keepers(rows, m.link), "group").select("product_id", "keep_id")
 
 
-@query("E14_components")
+@query("E14_components", "SELECT node, component FROM (SELECT p_partkey AS node, min(p_partkey) OVER w AS component, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_name, p_size)) WHERE n > 1", base=False)
 def _e14(spark, sf_dir):
-    """Rows only: components of products that are linked by equal names within a brand and size."""
+    """Components of products that are linked by equal names within a brand and size."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
     pairs = QUERIES["J17_blocked_pairs"](spark, sf_dir)
@@ -674,10 +678,18 @@ def _k8(m):
     return prices.publishable(_agg(m), TEST).join(m.product.select("product_id", "slug"), "product_id").where("slug > 'd'").select("slug").orderBy("slug").limit(100)
 
 
-@on_model("R10_alerts", "SELECT store_id, 'stale' AS alert FROM (SELECT store_id, max(captured_at) AS last_at FROM store LEFT JOIN sku USING (store_id) LEFT JOIN price USING (sku_id) GROUP BY 1), clock WHERE last_at IS NULL OR epoch(now) - epoch(last_at) > 72 * 3600")
+@on_model("R10_alerts", """+ seen AS (SELECT store_id, max(captured_at) AS last_at FROM store LEFT JOIN sku USING (store_id) LEFT JOIN price USING (sku_id) GROUP BY 1),
+runs AS (SELECT store_id, i, store_id % 4 <> 0 OR i < 1 AS ok, store_id % 3 * 20 AS rejected FROM store, range(4) r(i))
+SELECT store_id, 'stale' AS alert FROM seen, clock WHERE last_at IS NULL OR epoch(now) - epoch(last_at) > 72 * 3600
+UNION ALL SELECT store_id, 'quarantine' FROM store WHERE store_id % 4 = 0 UNION ALL SELECT store_id, 'failed' FROM store WHERE store_id % 4 = 0
+UNION ALL SELECT store_id, 'rejection' FROM runs WHERE i = 3 AND rejected / (rejected + 100.0) > 0.2""")
 def _r10(m):
-    age = F.unix_timestamp(F.lit(m.now)) - F.unix_timestamp("last_at")
-    return _j8(m).where(F.col("last_at").isNull() | (age > TEST.stale_hours * 3600)).select("store_id", F.lit("stale").alias("alert"))
+    """Four runs a store, an hour apart: of each fourth store all but the first fail, and some reject a lot."""
+    from feria.streaming import ingest
+
+    runs = m.store.select("store_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    runs = runs.select("store_id", (F.lit(m.now) - F.make_dt_interval(hours=4 - F.col("i"))).alias("started_at"), ((F.col("store_id") % 4 != 0) | (F.col("i") < 1)).alias("ok"), F.lit(100).alias("captured"), (F.col("store_id") % 3 * 20).alias("rejected"))
+    return ingest.alerts(_j8(m), runs, F.lit(m.now), TEST)
 
 
 @on_model("C1_search", "SELECT product_id, best_price FROM product JOIN agg USING (product_id) JOIN category USING (category_id) WHERE contains(lower(product.name), 'gear') AND (path = 'asia' OR starts_with(path, 'asia/')) AND stores >= 2 ORDER BY best_price, product_id LIMIT 12")
