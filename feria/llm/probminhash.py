@@ -18,10 +18,9 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = common.mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingles(raw: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `size` words of each row, and the row of each. A row with fewer words has one run."""
-    starts, ends, first = common.word_bounds(raw, at)
-    words = common.span_hashes(common.byte_values(raw), starts, ends)
+def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` words (given by hashes) of each row, and the row of each, from each row's first word.
+    A row with fewer words has one run."""
     counts = np.diff(first)
     runs = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     row = np.repeat(np.arange(len(counts)), runs)
