@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import uuid
@@ -20,11 +21,31 @@ from feria.llm import common, simple8b
 END_ID = 2
 #: Words whose ids a worker remembers; then it starts afresh.
 CACHE_WORDS = 1_200_000
-#: Lower-case ASCII letters and ASCII signs but the apostrophe: the vocabulary's rules part them in any case.
+#: The rules of a tokenizer file under which a text's ids are those of its words one after the other, and
+#: under which ASCII letters may be lower-cased first. A file with other rules gets its texts whole.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Lower-case ASCII letters and ASCII signs but the apostrophe: those rules part them in any case.
 _SPLIT = re.compile(rb"([a-z]+)([!-&(-/:-@[-`{-~]+)")
 _state: dict = {}
 
 
+def by_words(rules: dict) -> bool:
+    """Whether a tokenizer file's texts may be encoded word by word (words between ASCII white space)."""
+    own = [(rules.get(k) or {}).get(part) for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    plain = all(a["content"].isascii() and "<|" in a["content"] and not re.search(r"\s", a["content"]) and not (a["lstrip"] or a["rstrip"] or a["single_word"]) for a in rules.get("added_tokens", []))
+    return own == [NORMALIZERS, PRE_TOKENIZERS] and plain and rules.get("model", {}).get("type") == "BPE" and not rules.get("truncation") and not rules.get("padding")
+
+
+def case_matters(text: bytes) -> bool:
+    """Whether ASCII capitals may not be lower-cased before encoding: where a special token's string may stand, and where
+    combining marks (U+0300 to U+036F, the bytes CC and CD) may first be composed with the letter before them."""
+    return b"<|" in text or b"\xcc" in text or b"\xcd" in text
+
+
 class _Words:
     """Ids of words, each encoded once: word i has ids flat[at[i]:at[i + 1]]."""
 
@@ -33,6 +54,8 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            self.by_word = by_words(json.load(f))
         self.clear()
 
     def clear(self) -> None:
@@ -66,12 +89,14 @@ class _Words:
 
 
 def _ids_of(texts: list[bytes], path: str) -> list[np.ndarray]:
-    """Token ids of each text. The vocabulary's rules lower-case and never join characters over ASCII white space, so
-    a text's ids are those of its words in order. Where a text may hold a special token's string its case is kept."""
+    """Token ids of each text, those of its words in order where the tokenizer's rules allow it: they never join
+    characters over ASCII white space."""
     if _state.get("path") != path:
         _state.update(path=path, words=_Words(path))
     known: _Words = _state["words"]
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    if not known.by_word:
+        return [np.array(e.ids, np.uint32) for e in known.tok.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    split = [(t if case_matters(t) else t.lower()).split() for t in texts]
     if len(known.index) > CACHE_WORDS:
         known.clear()
     new = set(itertools.chain.from_iterable(split)).difference(known.index)
@@ -89,7 +114,8 @@ def write(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int = END_ID
 
     File i holds the i-th range of ids. Returns the manifest: file_no, path, n_docs, n_ids and first_id, the number of
     ids in the files before. A task that runs again writes another file; only files in the manifest count. Rows with
-    equal ids come in text order, rows with a null id first, and an empty table gives an empty manifest.
+    equal ids come in text order, rows with a null id first, texts of any length are encoded whole, and an empty table
+    gives an empty manifest.
     """
     spark = docs.sparkSession
     n = files or common.shuffle_parts(spark)
@@ -115,7 +141,7 @@ def write(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int = END_ID
             sink.close()
             yield pa.RecordBatch.from_pydict({"file_no": [no], "path": [path], "n_docs": [len(out.ids)], "n_ids": [out.total]})
 
-    made = rows.mapInArrow(run, "file_no long, path string, n_docs long, n_ids long")
+    made = rows.mapInArrow(common.trimmed(run), "file_no long, path string, n_docs long, n_ids long")
     manifest = common.written(made, "token-manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -141,7 +167,7 @@ def read(spark: SparkSession, manifest: DataFrame, *, tasks: int | None = None)
                     yield _batch(rows)
 
     few = manifest.select("path", "first_id", "file_no").repartitionByRange(tasks or common.shuffle_parts(spark), "file_no").select("path", "first_id")
-    return few.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return few.mapInArrow(common.trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
