@@ -1,12 +1,14 @@
 """Operator 6: documents that are a known licence, by the digest of their canonical text.
 
-A text is made canonical by lower-casing, dropping copyright lines, joining equivalent spellings and turning every run
+A text is made canonical by lower-casing, dropping copyright notices, joining equivalent spellings and turning every run
 of other characters than letters and digits into one blank; its SHA-256 is looked up among those of the known texts by
-a hash join. The same lookup is made for each line that mentions a licence, so notices inside other texts are found.
+a hash join. The same lookup is made for each line that may be a known one-line notice, so notices inside other texts are
+found.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +31,11 @@ EQUIVALENTS = [
     ("https:", "http:"),
     ("&", " and "),
 ]
-#: A whole line that begins with a copyright mark, whatever comment signs stand before it.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words that follow "copyright" in a licence's own sentences, whose lines may begin there however they are wrapped.
+OWN_WORDS = "notice|notices|holder|holders|owner|owners|law|laws|license|licence|licenses|and|or|in|is|of|to|the|protection|interest|interests|statement|statements|disclaimer|treaties|treaty|act|ownership|status|rights|permission|permissions|claims|attribution"
+#: A line that is a copyright notice, whatever comment signs stand before it: a mark with what it is followed by (a year, a
+#: sign or a name, not one of OWN_WORDS), or the reservation of rights alone.
+NOTICE_LINE = rf"(?:^|\n)[^a-z0-9\n(©]*(?:(?:copyright|copyrighted)(?=[ \t]*(?:[(©:,]|[0-9]|$|\n)|[ \t]+(?!(?:by[ \t]+)?(?:{OWN_WORDS})\b)[^\s])[^\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{{4}})[^\n]*|all rights reserved[^a-z0-9\n]*(?=\n|$))"
 OTHER_CHARS = r"[^\p{L}\p{N}]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -82,35 +87,65 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
-#: Every one-line notice among the known texts has this after lower-casing and joining spellings.
-MARK = "licen"
+#: Known texts that a table may hold; beyond this it is no list of licences.
+MOST_KNOWN = 100_000
 
 
 def canonical(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
+    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, NOTICE_LINE, "\n")).otherwise(low)
     low = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENTS, low)
     return F.trim(F.regexp_replace(low, OTHER_CHARS, " "))
 
 
+def known_from_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """License and text of each file of a folder: the file's name without its ending is the licence's id."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
+    rows = spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("license"), F.col("value").alias("known"))
+    return [tuple(r) for r in rows.limit(MOST_KNOWN).collect()]  # a list of licences, of bounded size
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license and digest of each known text; two licences may not share a canonical text."""
+    """license, digest and line (whether the known text is a single line) of each known text; two licences may not share
+    a canonical text."""
     rows = spark.createDataFrame(known or KNOWN, "license string, known string")
-    return rows.select("license", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
+    return rows.select("license", F.sha2(canonical(F.col("known")), 256).alias("digest"), (~F.col("known").rlike(r"\S\s*\n\s*\S")).alias("line")).distinct()
 
 
-def scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marks(known: list[tuple[str, str]] | None = None) -> str:
+    """A pattern that every line equal to a known one-line notice has: of their words of four letters or more the fewest
+    that are in all of them, with every spelling that becomes the word."""
+    lines = [set(re.findall("[a-z]{4,}", t.lower())) or {""} for _, t in known or KNOWN if "\n" not in t.strip()]
+    for a, b in EQUIVALENTS:
+        lines = [{w.replace(a, b) for w in words} for words in lines]
+    chosen: list[str] = []
+    while lines:
+        best = max(sorted(set().union(*lines)), key=lambda w: sum(any(w in x for x in words) for words in lines))
+        chosen.append(best)
+        lines = [words for words in lines if not any(best in x for x in words)]
+    out = []
+    for w in chosen:
+        pattern = re.escape(w)
+        for a, b in EQUIVALENTS:
+            if b.strip() in w:
+                pattern = pattern.replace(re.escape(b), f"(?:{re.escape(a)}|{re.escape(b)})")
+        out.append(pattern)
+    return "|".join(out) or r"\b\B"
+
+
+def scan(docs: DataFrame, known: DataFrame, *, line_marks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest, license (of the entire text, else null) and notices (licences of single lines, sorted, distinct).
 
-    Null counts as empty; a text without letters or digits has no licence. The known table is a constant of a few rows
-    here; a large one is joined by a shuffle, as Spark decides by its size.
+    `known` is of known_digests, and `line_marks` the marks of the same list. Null counts as empty; a text without
+    letters or digits has no licence, equal rows get equal results, texts and lines of any length are read whole, and an
+    empty table gives no rows. The known table is a list of licences; Spark joins it by its size.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.contains(F.lower(s), F.lit(MARK))), lambda s: F.sha2(canonical(s), 256)))
+    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.lower(s).rlike(line_marks or marks())), lambda s: F.sha2(canonical(s), 256)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(canonical(text), 256).alias("digest"), lines.alias("lines"))
     rows = common.written(rows, "licence-digests")
-    found = rows.select("row", F.explode("lines").alias("digest")).join(known, "digest").groupBy("row").agg(F.sort_array(F.collect_set("license")).alias("notices"))
-    whole = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
+    found = rows.select("row", F.explode("lines").alias("digest")).join(known.where("line"), "digest").groupBy("row").agg(F.sort_array(F.collect_set("license")).alias("notices"))
+    whole = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).select("digest", "license").distinct()
     got = rows.join(whole, "digest", "left").join(found, "row", "left")
     return got.select("id", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
@@ -122,9 +157,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    """`canonical` as SQL."""
+    """`canonical` as SQL: lines are judged one by one, by what stands after their comment signs."""
+    bare = "regexp_replace(l, '^[^a-z0-9(©]*', '')"
+    after = f"regexp_extract({bare}, '^copyright(?:ed)?(.*)$', 1)"
+    word = f"regexp_extract({after}, '^[ \\t]+(?:by[ \\t]+)?([a-z]+)\\b', 1)"
+    own = ", ".join(f"'{w}'" for w in [*OWN_WORDS.split("|")])
+    mark = f"({bare} LIKE 'copyright%' AND (regexp_matches({after}, '^[ \\t]*([(©:,0-9]|$)') OR (regexp_matches({after}, '^[ \\t]+[^\\s]') AND {word} NOT IN ({own}))))"
+    notice = f"({mark} OR regexp_matches({bare}, '^(\\(c\\)|©)[ \\t]*(copyright|[0-9]{{4}})') OR regexp_matches({bare}, '^all rights reserved[^a-z0-9]*$'))"
     low = f"lower(coalesce({text}, ''))"
-    low = f"regexp_replace({low}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+    low = f"array_to_string(list_filter(string_split({low}, chr(10)), lambda l: NOT {notice}), chr(10))"
     for a, b in EQUIVALENTS:
         low = f"replace({low}, '{a}', '{b}')"
     return f"trim(regexp_replace({low}, '{OTHER_CHARS}', ' ', 'g'))"
@@ -135,12 +176,12 @@ def _quoted(text: str) -> str:
 
 
 ORACLE = f"""
-WITH known AS (SELECT DISTINCT license, sha256({_sql('t')}) AS digest FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS k(license, t)),
+WITH known AS (SELECT DISTINCT license, sha256({_sql('t')}) AS digest, NOT regexp_matches(t, '\\S\\s*\\n\\s*\\S') AS line FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS k(license, t)),
 lines AS (
   SELECT DISTINCT doc_id, sha256({_sql('line')}) AS digest
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(lower(line), '{MARK}')),
-notices AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id),
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(lower(line), 'licen[cs]e')),
+notices AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) WHERE line GROUP BY doc_id),
 d AS (SELECT doc_id, sha256({_sql('text')}) AS digest FROM documents)
 SELECT d.doc_id, d.digest AS canonical_sha256, k.license, coalesce(n.notices, '') AS notices
-FROM d LEFT JOIN known k ON d.digest = k.digest AND d.digest <> sha256('') LEFT JOIN notices n ON n.doc_id = d.doc_id
+FROM d LEFT JOIN (SELECT DISTINCT digest, license FROM known) k ON d.digest = k.digest AND d.digest <> sha256('') LEFT JOIN notices n ON n.doc_id = d.doc_id
 """
