@@ -109,7 +109,7 @@ def winnow(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_id", t
             got = fingerprints([t or "" for t in batch.column(1).to_pylist()], k, w)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype(np.int64) for h, _ in got], pa.list_(pa.int64())), pa.array([p for _, p in got], pa.list_(pa.int64()))], names=["id", "hashes", "positions"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, "id long, hashes array<long>, positions array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(common.trimmed(run), "id long, hashes array<long>, positions array<long>")
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -158,7 +158,7 @@ def compare_edits(docs: DataFrame, *, parts: int, k: int = K, w: int = W) -> Dat
                     yield _compared(pairs, k, w)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_entries long"
-    return with_next(docs, parts).select("doc_id", "text", "place", "extra").mapInArrow(run, schema)
+    return with_next(docs, parts).select("doc_id", "text", "place", "extra").mapInArrow(common.trimmed(run), schema)
 
 
 def _compared(pairs: list[tuple], k: int, w: int) -> pa.RecordBatch:
