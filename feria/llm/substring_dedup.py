@@ -5,7 +5,8 @@ segment. Equal windows have equal anchors, so they meet in one shard. Segments w
 Equal segments are combined and weighted before anything is sent. A shard's distinct segments are indexed by an
 FM-index and streamed through it: backward search finds the first and the last window of each that occurs twice, and as
 all windows of a segment overlap, what lies between is covered. An anchor with very many different segments is cut up
-into its windows, sharded by their outer words as well.
+into its windows: equal ones are combined before the shuffle, one of each is indexed in a shard of its own hash, and what
+is found goes back to the segments.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ def _zipped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["row", "id", "z"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    return rows.mapInArrow(run, "row long, id long, z binary")
+    return rows.mapInArrow(common.trimmed(run), "row long, id long, z binary")
 
 
-def _unzipped(batch: pa.RecordBatch, name: str = "z", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _unzipped(batch: pa.RecordBatch, name: str = "z", most: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with their texts' bytes and bounds."""
     d = zstandard.ZstdDecompressor()
     held, size, begin = [], 0, 0
@@ -100,13 +101,13 @@ def occurrences(base: DataFrame, width: int, gram: int) -> DataFrame:
                 rows = part.column(0).to_numpy()[row]
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array((place - first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=["row", "start", "windows", "anchor", "content"])
 
-    return base.select("row", "z").mapInArrow(run, "row long, start int, windows int, anchor long, content long")
+    return base.select("row", "z").mapInArrow(common.trimmed(run), "row long, start int, windows int, anchor long, content long")
 
 
 def sharded(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """shard key, segment (anchor, content), offset, windows, weight and 32-bit word codes of the segments to index,
-    read from one occurrence of each; a hot anchor's windows one by one."""
-    per_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "weight", "hot")).alias("segs"))
+    """shard key, segment (anchor, content), windows, weight and 32-bit word codes of the segments to index, read from one
+    occurrence of each."""
+    per_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "weight")).alias("segs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,27 +118,47 @@ def sharded(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
                 for f, segs in zip(first.tolist(), part.column(1).to_pylist()):
                     for s in segs:
                         a, n = f + s["start"], s["windows"]
-                        if s["hot"]:
-                            for j in range(n):
-                                key = common.mix64(words[a + j : a + j + 1] * np.uint64(3) + words[a + j + width - 1 : a + j + width])
-                                out.append((int(key.view(np.int64)[0]) ^ s["anchor"], s["anchor"], s["content"], j, 1, s["weight"], code[a + j : a + j + width].tobytes()))
-                        else:
-                            out.append((s["anchor"], s["anchor"], s["content"], 0, n, s["weight"], code[a : a + n + width - 1].tobytes()))
+                        out.append((s["anchor"], s["anchor"], s["content"], n, s["weight"], code[a : a + n + width - 1].tobytes()))
                         if len(out) >= 20_000:
                             yield _rows(out)
                             out = []
                 if out:
                     yield _rows(out)
 
-    return base.join(per_row, "row").select("z", "segs").mapInArrow(run, _SHARD)
+    return base.join(per_row, "row").select("z", "segs").mapInArrow(common.trimmed(run), _SHARD)
 
 
-_SHARD = "shard long, anchor long, content long, offset int, windows int, weight long, codes binary"
+_SHARD = "shard long, anchor long, content long, windows int, weight long, codes binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "anchor", "content", "offset", "windows", "weight", "codes"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "anchor", "content", "windows", "weight", "codes"])
+
+
+def hot_windows(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
+    """Every window of the segments of hot anchors: two independent hashes of it, its segment (anchor, content), offset,
+    the segment's weight and 32-bit word codes."""
+    per_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "weight")).alias("segs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in _unzipped(batch):
+                words, first, starts, ends = _words(raw, at)
+                other = common.span_hashes(common.byte_values(raw, other=True), starts, ends)
+                code = (words >> np.uint64(32)).astype(np.uint32)
+                for f, segs in zip(first.tolist(), part.column(1).to_pylist()):
+                    n = np.array([s["windows"] for s in segs])
+                    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    place = np.repeat([f + s["start"] for s in segs], n) + offset
+                    keys = [common.span_hashes(w, place, place + width).view(np.int64) for w in (words, other)]
+                    each = [np.repeat([s[k] for s in segs], n) for k in ("anchor", "content", "weight")]
+                    for i in range(0, len(place), 20_000):
+                        at_ = slice(i, i + 20_000)
+                        codes = pa.array([code[p : p + width].tobytes() for p in place[at_].tolist()], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_]), pa.array(keys[1][at_]), pa.array(each[0][at_]), pa.array(each[1][at_]), pa.array(offset[at_].astype(np.int32)), pa.array(each[2][at_]), codes], names=["k1", "k2", "anchor", "content", "offset", "weight", "codes"])
+
+    return base.join(per_row, "row").select("z", "segs").mapInArrow(common.trimmed(run), "k1 long, k2 long, anchor long, content long, offset int, weight long, codes binary")
 
 
 def searched(segments: DataFrame, width: int, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -146,35 +167,33 @@ def searched(segments: DataFrame, width: int, index_words: int = INDEX_WORDS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, shard = [], 0, None
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if size >= index_words and r[0] != shard:
                     yield from _search(held, width)
                     held, size = [], 0
                 shard = r[0]
                 held.append(r)
-                size += len(r[6]) // 4 + 1
+                size += len(r[5]) // 4 + 1
         if held:
             yield from _search(held, width)
 
-    got = segments.mapInArrow(run, "anchor long, content long, first int, last int")
-    return got.groupBy("anchor", "content").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return segments.mapInArrow(common.trimmed(run), "anchor long, content long, first int, last int")
 
 
 def _search(rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
     end = np.zeros(1, np.uint32)
-    codes = np.concatenate([x for r in rows for x in (np.frombuffer(r[6], np.uint32), end)])
-    sizes = np.array([len(r[6]) // 4 + 1 for r in rows])
+    codes = np.concatenate([x for r in rows for x in (np.frombuffer(r[5], np.uint32), end)])
+    sizes = np.array([len(r[5]) // 4 + 1 for r in rows])
     stops = np.cumsum(sizes) - 1
     known, text = np.unique(codes, return_inverse=True)
     text = text.astype(np.int64) + 1
     text[stops] = 0
     index = FMIndex(text, len(known) + 1)
-    weight = np.array([r[5] for r in rows])
-    windows = np.array([r[4] for r in rows])
+    weight = np.array([r[4] for r in rows])
+    windows = np.array([r[3] for r in rows])
     first, last = repeated_ends(index, text, stops - sizes + 1, windows, weight, width)
     at = np.flatnonzero(first >= 0)
-    off = np.array([r[3] for r in rows])
-    yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in at], pa.int64()), pa.array([rows[i][2] for i in at], pa.int64()), pa.array((first[at] + off[at]).astype(np.int32)), pa.array((last[at] + off[at]).astype(np.int32))], names=["anchor", "content", "first", "last"])
+    yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in at], pa.int64()), pa.array([rows[i][2] for i in at], pa.int64()), pa.array(first[at].astype(np.int32)), pa.array(last[at].astype(np.int32))], names=["anchor", "content", "first", "last"])
 
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, index_words: int = INDEX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +203,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     A word is removed if a window of `width` words of its own text holds it whose word sequence also starts anywhere
     else, in this text or another. Words are runs of other characters than ASCII white space. Null and empty texts have
     no words; equal texts of `width` words or more lose all of them; an empty table gives no rows. Words count as equal
-    when 32 bits of their hashes are, for all words of a window, and its segment's 64-bit anchor.
+    when 32 bits of their hashes are, for all words of a window, and its segment's 64-bit anchor. Texts of any length are
+    read whole, and repeated rows are texts of their own.
     """
     spark = docs.sparkSession
     base = common.written(_zipped(docs, id_col, text_col), "texts")
@@ -194,11 +214,24 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     common.release(spark)
     anchors = distinct.groupBy("anchor").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").drop("all")
     found = common.written(distinct.join(anchors, "anchor").select("anchor", "content", "weight", "windows", "at.row", "at.start", (F.col("kinds") > hot).alias("hot")), "met-segments")
-    common.release(spark)
+    common.discard(distinct)
     parts = common.shuffle_parts(spark)
-    segments = sharded(found, base.select("row", "z"), width).repartition(parts, "shard").sortWithinPartitions("shard")
-    ranges = common.written(searched(segments, width, index_words), "ranges")
+    cut = lambda rows: rows.repartition(parts, "shard").sortWithinPartitions("shard")
+    ranges = common.written(searched(cut(sharded(found.where("not hot"), base, width)), width, index_words), "ranges")
     common.release(spark)
+    if not found.where("hot").isEmpty():
+        windows = hot_windows(found.where("hot"), base, width)
+        once = windows.groupBy("k1", "k2").agg(F.sum("weight").alias("weight"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("n"))
+        once = common.written(once, "hot-windows")
+        again = searched(cut(once.select(F.col("k1").alias("shard"), F.col("k1").alias("anchor"), F.col("k2").alias("content"), F.lit(1).alias("windows"), "weight", "codes")), width, index_words)
+        again = common.written(again.select(F.col("anchor").alias("k1"), F.col("content").alias("k2")).join(once.select("k1", "k2", "n"), ["k1", "k2"]), "hot-repeats")
+        places = common.written(windows.select("k1", "k2", "anchor", "content", "offset"), "hot-places")
+        common.discard(once)
+        more = common.hot_join(places, again, ["k1", "k2"], "n").groupBy("anchor", "content").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+        more = common.written(more, "hot-ranges")
+        common.discard(places, again)
+        ranges = ranges.unionByName(more)
+    common.discard(found)
     spans = occ.join(ranges, ["anchor", "content"]).select("row", F.struct((F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + width).alias("e")).alias("span"))
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
@@ -226,7 +259,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "n_words", "n_removed", "kept", "spans"])
 
     schema = "id long, n_words long, n_removed long, kept binary, spans array<struct<start: long, end: long>>"
-    return base.join(per_row, "row", "left").select("id", "z", "spans").mapInArrow(run, schema).withColumn("kept", F.col("kept").cast("string"))
+    return base.join(per_row, "row", "left").select("id", "z", "spans").mapInArrow(common.trimmed(run), schema).withColumn("kept", F.col("kept").cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
