@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,17 +160,27 @@ def blocked_pairs(rows: DataFrame, block: list[str]) -> DataFrame:
     return a.join(b, block).where("id_a < id_b")
 
 
-def min_labels(edges: DataFrame) -> DataFrame:
-    """Connected components (node, component) of edges a, b by least labels; each round is checkpointed."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"))
+def min_labels(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(), drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Connected components (node and component, its least node) of edges a, b.
+
+    Each round takes the least label among a node's neighbours, combined before the shuffle, then follows labels to their
+    own labels; the loop ends when no label changes. `keep` cuts a round's lineage (a checkpoint, or a written table), and
+    `drop` removes what it kept once it is not read any more.
+    """
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    kept = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")))
+    labels = kept.select("a", "l")
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         up = labels.select(F.col("a").alias("l"), F.col("l").alias("top"))
-        step = step.join(up, "l").select("a", F.least("l", "top").alias("l"), "old").checkpoint()
-        labels = step.select("a", "l")
+        step = keep(step.join(up, "l").select("a", F.least("l", "top").alias("l"), "old"))
+        if drop:
+            drop(kept)
+        kept, labels = step, step.select("a", "l")
         if step.where("l != old").isEmpty():
+            if drop:
+                drop(both)
             return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
 
 
