@@ -1,28 +1,13 @@
-"""Connected components of a table of links, by least labels and pointer jumping."""
+"""Connected components of a table of links, its rounds written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from feria.llm import common
+from feria.operators.matching import min_labels
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (its least node) for every node of the links (columns a and b).
-
-    Each round takes the least label among a node's neighbours, combined before the shuffle, then follows labels to
-    their own labels. A round is written to the shared folder; the loop ends when no label changes.
-    """
-    both = common.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = step = common.written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), "l"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        up = labels.select(F.col("node").alias("l"), F.col("l").alias("top"))
-        jumped = common.written(lower.join(up, "l").select("node", F.least("l", "top").alias("l"), "old"), "labels")
-        common.discard(step)
-        step, labels = jumped, jumped.select("node", "l")
-        if jumped.where("l != old").isEmpty():
-            common.discard(both)
-            return labels.select("node", F.col("l").alias("component"))
+    """node and component (its least node) for every node of the links (columns a and b)."""
+    return min_labels(links, keep=lambda df: common.written(df, "labels"), drop=common.discard)
