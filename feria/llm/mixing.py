@@ -10,7 +10,7 @@ from feria.llm import common
 SEED = "mix-1"
 #: A Poisson mean above this is drawn as a sum of equal parts, each with a hash of its own.
 PART = 64.0
-#: Sources whose rates are broadcast; more are joined by a shuffle.
+#: Sources whose rates are broadcast; of more, those with most documents are, and the others joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 _HEX = 13
 
@@ -21,12 +21,12 @@ def draw(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", text_col: str = "text", total: float | None = None) -> DataFrame:
-    """source, size (characters of text) and rate: how often a document of the source is to appear on average.
+    """source, size (characters of text), documents and rate: how often a document of the source is to appear on average.
 
     A source with weight w of all weights W gets w / W of `total` characters (the corpus's own size if not given). No
     weights: each source weighs the same. Sources without a weight get rate 0; a source without any text gets rate 1.
     """
-    size = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.sum(F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("size"))
+    size = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.sum(F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("size"), F.count(F.lit(1)).alias("documents"))
     weight = F.lit(1.0)
     if weights is not None:
         weight = F.coalesce(*[F.when(F.col("source") == k, F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
@@ -34,7 +34,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, source_co
     whole = one.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))  # one row
     got = one.crossJoin(F.broadcast(whole))
     share = F.col("weight") * (F.lit(float(total)) if total is not None else F.col("all_size").cast("double")) / F.col("all_weight")
-    return got.select("source", "size", F.when(F.col("size") > 0, share / F.col("size")).otherwise(1.0).alias("rate"))
+    return got.select("source", "size", "documents", F.when(F.col("size") > 0, share / F.col("size")).otherwise(1.0).alias("rate"))
 
 
 def with_steps(rate: DataFrame) -> DataFrame:
@@ -56,17 +56,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: str =
     """Each document as often as its draw says, in one global random order.
 
     Columns doc (a struct of all columns of docs), rate, copy_no (from 0) and order_key, the number that the order goes
-    by. The draw depends on the seed and the id
-    only, so it is the same after a lost executor, and rows with equal ids (or null ids) are drawn alike. A null source
-    is a source of its own; an empty table stays empty. Columns of docs may have any names.
+    by. The draw depends on the seed and the id only, so it is the same after a lost executor, and rows with equal ids (or
+    null ids) are drawn alike. A null source is a source of its own, null texts count as empty, texts of any length are
+    carried whole; an empty table stays empty. Columns of docs may have any names.
     """
     ident = F.col("ident")
     rate = with_steps(rates(docs, weights, source_col=source_col, text_col=text_col, total=total))
-    rate = common.written(rate.select("source", "rate", "parts", "steps"), "source-rates")
-    if rate.count() <= BROADCAST_SOURCES:
-        rate = F.broadcast(rate)
+    rate = common.written(rate.select("source", "documents", "rate", "parts", "steps"), "source-rates")
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("ident"), F.col(f"`{source_col}`").alias("own_source"))
-    joined = rows.join(rate, F.col("own_source").eqNullSafe(F.col("source")))
+    if rate.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(rate), F.col("own_source").eqNullSafe(F.col("source")))
+    else:
+        named = lambda df, c: df.withColumn("source_key", F.coalesce(F.col(c), F.lit("\x00")))
+        joined = common.hot_join(named(rows, "own_source"), named(rate, "source"), ["source_key"], "documents")
 
     def count(part: Column) -> Column:
         u = draw(F.lit(seed), ident, part.cast("string")) / F.lit(float(16**_HEX))

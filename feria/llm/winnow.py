@@ -102,7 +102,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def winnow(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hashes and positions of each row's fingerprint. Null counts as empty; equal texts get equal fingerprints."""
+    """id, hashes and positions of each row's fingerprint. Null counts as empty, and an empty text has no entries; equal texts
+    get equal fingerprints, also where ids are equal or null. Texts of any length are read whole, and an empty table gives
+    no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +142,9 @@ def compare_edits(docs: DataFrame, *, parts: int, k: int = K, w: int = W) -> Dat
     """For each document its fingerprint, that of its edited text (the last half of its code points replaced by the
     first as many of the next document, in descending id order), and their likenesses.
 
-    A single document is its own next one; an empty table gives no rows.
+    Null ids come last; documents with equal ids follow each other in descending text order, and equal rows are documents
+    of their own. Null counts as empty, texts of any length are read whole, a single document is its own next one, and an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
