@@ -2,7 +2,8 @@
 
 Texts are cut into units that no piece crosses. Each distinct unit's substrings, up to the longest piece, are exploded
 and joined to the piece table; the matches are the unit's lattice edges, grouped by unit, and a higher-order aggregate
-folds them into the best path. Units' ids go back to the chunks of documents that hold the unit.
+folds them into the best path. Units' ids go back to the chunks of documents that hold the unit. Units of MASK characters
+or more are merged in tasks from an agenda of pairs, which for a BPE model gives the same path.
 
 The fold follows the model's kind. For a unigram model it is Viterbi: edges by end, best sum of scores for each end. The
 model at hand is a BPE model, for which the best sum is not what SentencePiece returns, so there the edges are folded
@@ -13,6 +14,7 @@ piece's parts always score better than it does, one pass over the edges gives wh
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +28,17 @@ from pyspark.sql import functions as F
 from feria.llm import common
 
 SPACE = "▁"
-#: Units up to this length are folded with a 64-bit mask of borders inside Spark; longer ones by the same rule in tasks.
+#: Units below this length are folded with a 64-bit mask of borders inside Spark. Longer ones, which natural text hardly
+#: has, would be lattices of any size in a row; they are merged by the same rule in tasks, from an agenda of pairs.
 MASK = 62
 #: Rows that the piece table may have to be broadcast; a larger one is joined by a shuffle.
 BROADCAST_PIECES = 1_000_000
+#: Chunks that are listed beside a unit in one row; a unit of more chunks has several rows.
+BLOCK = 1000
+#: Tasks that the lattices of a chunk's units are dealt to: a task then sorts its edges in memory.
+LATTICE_TASKS = 8
 #: Characters of a chunk, and of the texts that are cut at once: a task holds a chunk's units and some of its texts.
-CHUNK_CHARS, CUT_CHARS = 12_000_000, 400_000
+CHUNK_CHARS, CUT_CHARS = 24_000_000, 800_000
 
 
 @dataclass(frozen=True)
@@ -62,8 +69,9 @@ class Cutter:
             k = self.kind[[ord(c) for c in p]]
             self.joined[k[:-1], k[1:]] = True
 
-    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The distinct units of some texts, the place among them of each unit, and each text's number of units."""
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """The hash of each unit of some texts in order, each text's number of units, and the units' places: all texts
+        as UTF-8, begin and end of each unit."""
         marked = [_marked(t) for t in texts]
         whole = "".join(marked)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -74,11 +82,11 @@ class Cutter:
         cut[1:] = ~self.joined[kind[:-1], kind[1:]]
         cut[first[sizes > 0]] = True
         starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(codes))
-        h = common.span_hashes(codes.astype(np.uint64) + np.uint64(1), starts, ends)
-        _, at, place = np.unique(h, return_index=True, return_inverse=True)
-        own = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        return own, place, np.diff(np.searchsorted(starts, np.append(first, len(codes))))
+        at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+        begin, end = at[starts], at[np.append(starts[1:], len(codes))]
+        flat = whole.encode("utf-8", "surrogatepass")
+        h = common.span_hashes(common.byte_values(np.frombuffer(flat, np.uint8)), begin, end)
+        return h, np.diff(np.searchsorted(starts, np.append(first, len(codes)))), flat, begin, end
 
 
 def load_pieces(path: str) -> Pieces:
@@ -129,19 +137,20 @@ def _other(pieces: Pieces, piece: Column) -> Column:
 
 
 def packed_lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of `units` (unit: distinct, up to MASK characters) and edges, numbers that hold rank, order, end,
+    """All columns of `units` (unit: up to MASK characters, distinct, or with `block` if there is one) and edges, numbers that hold rank, order, end,
     start and id from the highest bits down, so that their own order is the fold's."""
     met = _met(units, pieces)
     tie, o = _order(F.col("piece"), F.col("s"), F.col("e"))
     word = F.lit(0).cast("long")
     for part, bits in ((F.col("rank"), 19), (tie, 6), (o, 6), (F.col("e"), 6), (F.col("s"), 6), (F.coalesce("id", F.lit(_ID)), 20)):
         word = F.shiftleft(word, bits).bitwiseOR(part.cast("long"))
-    keep = [F.first(c).alias(c) for c in units.columns if c != "unit"]
-    return met.select(*units.columns, word.alias("x")).groupBy("unit").agg(F.sort_array(F.collect_list("x")).alias("edges"), *keep)
+    by = [c for c in ("unit", "block") if c in units.columns]
+    keep = [F.first(c).alias(c) for c in units.columns if c not in by]
+    return met.select(*units.columns, word.alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("edges"), *keep)
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of `units` (unit: distinct) and edges: an array of structs with s, e and ids, in fold order."""
+    """All columns of `units` (unit: distinct, or with `block`) and edges: an array of structs with s, e and ids, in fold order."""
     met = _met(units, pieces)
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_other(pieces, F.col("piece")))
     tie, o = _order(F.col("piece"), F.col("s"), F.col("e"))
@@ -149,8 +158,9 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     if pieces.unigram:
         worst = F.lit(min(s for _, _, s in pieces.table) - 10.0)
         edge = F.struct("e", "s", (-F.coalesce("score", worst)).alias("rank"), ids.alias("ids"))
-    keep = [F.first(c).alias(c) for c in units.columns if c != "unit"]
-    return met.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *keep)
+    by = [c for c in ("unit", "block") if c in units.columns]
+    keep = [F.first(c).alias(c) for c in units.columns if c not in by]
+    return met.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"), *keep)
 
 
 def with_merged(grid: DataFrame, pieces: Pieces) -> DataFrame:
@@ -190,34 +200,66 @@ def viterbi(unit: Column, edges: Column) -> Column:
     return F.element_at(F.aggregate(edges, start, step), -1)["ids"]
 
 
-def _fold(n: int, edges: list[dict]) -> list[int]:
-    border = bytearray(b"\x01" * (n + 1))
-    for x in edges:
-        s, e = x["s"], x["e"]
-        if e - s > 1 and border[s] and border[e] and border.count(1, s + 1, e) == 1:
-            border[s + 1 : e] = bytes(e - s - 1)
-    own = {(x["s"], x["e"]): x["ids"] for x in edges}
-    cut = [i for i in range(n + 1) if border[i]]
-    return [i for s, e in zip(cut, cut[1:]) for i in own[s, e]]
+class Merger:
+    """Ids of one unit by a BPE model: of all neighbours that make a piece the best, leftmost pair is joined, until none is
+    left. The neighbours wait in a heap, so a unit of n characters takes n log n steps."""
 
-
-def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of `units` (unit: distinct, not empty) and ids."""
+    def __init__(self, pieces: Pieces) -> None:
+        self.score = {p: s for p, _, s in pieces.table}
+        self.id = {p: i for p, i, _ in pieces.table}
+        self.byte_ids, self.unknown = pieces.byte_ids, pieces.unknown
+
+    def ids(self, unit: str) -> list[int]:
+        n = len(unit)
+        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))  # by start of a part
+        agenda: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < n and (score := self.score.get(unit[a : end[b]])) is not None:
+                heapq.heappush(agenda, (-score, a, b, end[b]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        alive = bytearray(b"\x01" * n)
+        while agenda:
+            _, a, b, stop = heapq.heappop(agenda)
+            if not (alive[a] and alive[b]) or after[a] != b or end[b] != stop:
+                continue
+            alive[b], end[a], after[a] = 0, stop, after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            offer(before[a], a)
+            offer(a, after[a])
+        out: list[int] = []
+        a = 0
+        while a < n:
+            part = unit[a : end[a]]
+            out += [self.id[part]] if part in self.id else [self.byte_ids[x] for x in part.encode()] if self.byte_ids else [self.unknown]
+            a = end[a]
+        return out
+
+
+def encoded_units(units: DataFrame, pieces: Pieces, tasks: int | None = None) -> DataFrame:
+    """All columns of `units` (unit: not empty, distinct, or with `block` if there is one) and ids; the lattices are dealt
+    to so many tasks."""
     if pieces.unigram:
         return lattice(units, pieces).withColumn("ids", viterbi(F.col("unit"), F.col("edges"))).drop("edges")
     rest = [f.simpleString().replace(":", " ", 1) for f in units.schema.fields if f.name != "unit"]
     names = [c for c in units.columns if c != "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = None
         for batch in batches:
-            ids = [_fold(len(u), x) for u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.list_(pa.int32()))], names=["unit", *names, "ids"])
+            for part in common.pieces(batch, "unit"):
+                merger = merger or Merger(pieces)
+                ids = [merger.ids(u) for u in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=["unit", *names, "ids"])
 
     fits = F.length("unit") < MASK
     # dealt by unit before substrings are exploded, so that edges are grouped where they are made
-    placed = units.where(fits).repartition(common.shuffle_parts(units.sparkSession), "unit")
+    placed = units.where(fits).repartition(max(tasks or 0, common.shuffle_parts(units.sparkSession)), "unit")
     short = with_merged(packed_lattice(placed, pieces), pieces).select("unit", *names, "ids")
-    long = lattice(units.where(~fits), pieces).select("unit", "edges", *names).mapInArrow(run, ", ".join(["unit string", *rest, "ids array<int>"]))
+    long = units.where(~fits).select("unit", *names).mapInArrow(common.trimmed(run), ", ".join(["unit string", *rest, "ids array<int>"]))
     return short.unionByName(long)
 
 
@@ -225,7 +267,7 @@ def blobs(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame
     """chunk, ids, sizes and the compressed texts of a few MB of documents to a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=3)
+        c = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             for part in common.pieces(batch, "t"):
                 raw, at = common.text_bytes(part.column(1))
@@ -234,7 +276,7 @@ def blobs(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([z], pa.binary())], names=["chunk", "ids", "sizes", "z"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, z binary").repartition(chunks, "chunk")
+    return rows.mapInArrow(common.trimmed(run), "chunk long, ids array<long>, sizes array<long>, z binary").repartition(chunks, "chunk")
 
 
 def _texts(ids: list, sizes: list[int], z: bytes) -> Iterator[tuple[int | None, str]]:
@@ -266,60 +308,66 @@ def _marked(text: str) -> str:
 def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and piece_ids (little-endian unsigned 32-bit integers) for each row, as SentencePiece gives them.
 
-    Null counts as empty, and an empty text has no ids. Rows with equal ids or texts are encoded one by one, an empty
-    table gives no rows, and other columns are not read.
+    Null counts as empty, and an empty text has no ids. Rows with equal ids or texts are encoded one by one, texts of any
+    length whole, an empty table gives no rows, and other columns are not read. A chunk's units are told apart by 64 bits
+    of hash.
     """
     spark = docs.sparkSession
     n = chunks or common.text_chunks(docs, text_col, CHUNK_CHARS)
     parts = blobs(docs, n, id_col, text_col)
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(pieces)
-        seen: dict[int, set[str]] = {}
+        cutter, at, seen = Cutter(pieces), None, np.empty(0, np.uint64)
         for batch in batches:
             for chunk, *blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                have = seen.setdefault(chunk, set())
-                new: set[str] = set()
+                if chunk != at:  # a task's chunks come one after the other
+                    at, seen = chunk, np.empty(0, np.uint64)
                 for _, texts in _groups(*blob):
-                    new.update(cutter.units(texts)[0])
-                new -= have
-                have |= new
-                if len(have) > 1_500_000:
-                    have.clear()
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array(np.full(len(new), chunk), pa.int64())], names=["unit", "chunk"])
-
-    units = parts.mapInArrow(units_of, "unit string, chunk long").groupBy("unit").agg(F.collect_set("chunk").alias("chunks"))
+                    h, _, flat, begin, end = cutter.units(texts)
+                    values, where = np.unique(h, return_index=True)
+                    place = np.searchsorted(seen, values)
+                    lacks = np.append(seen, values[-1:] + np.uint64(1))[place] != values
+                    new = where[lacks]
+                    if len(new):
+                        seen = np.insert(seen, place[lacks], values[lacks])
+                        own = pa.array([flat[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())], pa.binary()).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(new), chunk), pa.int64())], names=["unit", "chunk"])
+
+    held = parts.sortWithinPartitions("chunk").mapInArrow(common.trimmed(units_of), "unit string, chunk long")
+    units = held.groupBy("unit", F.floor(F.col("chunk") / BLOCK).alias("block")).agg(F.collect_list("chunk").alias("chunks"))
     units = common.written(units, "units")
     common.release(spark)
-    known = common.written(encoded_units(units, pieces), "unit-ids")
-    common.release(spark)
+    known = common.written(encoded_units(units, pieces, LATTICE_TASKS * n).select("unit", "chunks", "ids"), "unit-ids")
+    common.discard(units)
     by_chunk = known.select(F.explode("chunks").alias("chunk"), "unit", "ids")
 
     def run(docs_: pa.Table, model: pa.Table) -> pa.Table:
-        index = dict(zip(model["unit"].to_pylist(), range(len(model))))
+        model = model.combine_chunks()
+        raw, place = common.text_bytes(model["unit"])
+        h = common.span_hashes(common.byte_values(raw), place[:-1], place[1:])
+        order = np.argsort(h)
+        h = h[order]
         flat = model["ids"].combine_chunks()
-        at = np.asarray(flat.offsets, np.int64) if index else np.zeros(1, np.int64)
-        values = np.asarray(flat.flatten(), np.uint32) if index else np.empty(0, np.uint32)
+        at = np.asarray(flat.offsets, np.int64) if len(model) else np.zeros(1, np.int64)
+        values = np.asarray(flat.flatten(), np.uint32) if len(model) else np.empty(0, np.uint32)
         at = at - at[0]
         cutter = Cutter(pieces)
         out_ids, out = [], []
         for blob in zip(*(docs_[c].to_pylist() for c in ("ids", "sizes", "z"))):
             for ids, texts in _groups(*blob):
-                own, place, counts = cutter.units(texts)
-                k = np.fromiter(map(index.__getitem__, own), np.int64, len(own))[place]
+                mine, counts, *_ = cutter.units(texts)
+                k = order[np.searchsorted(h, mine)] if len(mine) else np.empty(0, np.int64)
                 first = at[k]
                 size = at[k + 1] - first
                 ends = np.cumsum(size)
                 got = values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
                 bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
                 out_ids += ids
-                out += [x.tobytes() for x in np.split(got, bounds[:-1])]
-        del index, values
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "piece_ids"])
+                out.append(pa.array([x.tobytes() for x in np.split(got, bounds[:-1])], pa.large_binary()))
+        got = pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.chunked_array(out, pa.large_binary()).cast(pa.binary())], names=["id", "piece_ids"])
+        return got
 
-    return parts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(run, "id long, piece_ids binary")
+    return parts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(common.trimmed(run), "id long, piece_ids binary")
 
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -334,7 +382,7 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
                 texts.append(text[1:] if text[:1] == " " else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return rows.select("id", "piece_ids").mapInArrow(run, "id long, text string")
+    return rows.select("id", "piece_ids").mapInArrow(common.trimmed(run), "id long, text string")
 
 
 def summary(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -351,7 +399,7 @@ def summary(rows: DataFrame, pieces: Pieces) -> DataFrame:
                 sha.append(hashlib.sha256(text[1:] if text[:1] == b" " else text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
-    return rows.select("id", "piece_ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return rows.select("id", "piece_ids").mapInArrow(common.trimmed(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
