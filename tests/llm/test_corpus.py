@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import textwrap
 import zlib
 
 import duckdb
@@ -49,12 +50,37 @@ def test_tokens_of_odd_words():
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_marks_and_random_texts():
+    """Capitals with every combining mark, and random texts of letters, marks, signs and white space."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = Tokenizer.from_file(path), np.random.default_rng(9)
+    texts = [chr(c) + chr(m) + " x" + chr(c) + "y" for c in range(65, 91) for m in range(0x300, 0x370)]
+    signs = list("abcXYZ 0129'.,<|>-_\t\n\u00a0ÉßİǅΣςﬁé日本") + [chr(c) for c in (0x300, 0x308, 0x301, 0x323, 0x344, 0x5B0, 0x1DC4, 0x20DD, 0x212A)]
+    texts += ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(20_000)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = token_files._ids_of([t.encode() for t in texts], path)
+    assert [t for t, a, b in zip(texts, got, want) if a.tolist() != b] == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words", "A\u0308 x", ""]
+    got = token_files._ids_of([t.encode() for t in texts], path)
+    assert [g.tolist() for g in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces(docs, rows, none, spark):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_pieces(path)
-    odd = [(i, t) for i, t in enumerate(["", " ", "  a   b" + " " * 37 + "c", "a\n\n b\t\tc\r\n", "x" * 300, "é﷽\x00x ▁ ▁▁b", "https://www.example.com/a_b?c=d" * 4])]
+    rng = np.random.default_rng(3)
+    long = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (62, 63, 500, 1_000_000)] + ["ab" * 40 + "é﷽" * 30 + "ab" * 40]
+    odd = [(i, t) for i, t in enumerate([*long, "", " ", "  a   b" + " " * 37 + "c", "a\n\n b\t\tc\r\n", "x" * 300, "é﷽\x00x ▁ ▁▁b", "https://www.example.com/a_b?c=d" * 4])]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     encoded = common.written(pieces.encode(both, model), "e")
     want = sorted((str(i), sp.encode(t or "")) for i, t in [r[:2] for r in rows] + odd)
@@ -142,6 +168,30 @@ def test_licences(spark, none):
     assert licenses.scan(none, licenses.known_digests(spark)).count() == 0
 
 
+def test_licences_however_they_are_wrapped(spark):
+    """Every known full text, wrapped at 60 to 100 characters, below each kind of notice."""
+    full = [(name, t) for name, t in licenses.KNOWN if "\n" in t]
+    heads = ["", "Copyright (c) 2001-2020, The Someone\n", "Copyright 2019 Someone. All rights reserved.\n", " * Copyright Jane Doe\n", "(c) 2020 Someone\nAll rights reserved.\n\n", "© 1999 A\n"]
+    rows = []
+    for width in range(60, 101):
+        for k, (name, t) in enumerate(full):
+            wrapped = "\n\n".join(textwrap.fill(part, width) for part in t.split("\n\n"))
+            rows.append((name, heads[(width + k) % len(heads)] + wrapped))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.id: r.license for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert [rows[i][0] for i in sorted(got) if got[i] != rows[i][0]] == []
+
+
+def test_licences_from_files(spark, tmp_path):
+    """Known texts of the user's own, with a notice that no built-in mark fits."""
+    (tmp_path / "Own-1.0.txt").write_text("You may do\nas you like.\n")
+    (tmp_path / "Short-2.txt").write_text("Free for everybody!\n")
+    known = licenses.known_from_files(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "Copyright 2020 Me\nYou may do as\nyou like"), (2, "x\n# free for EVERYBODY\ny"), (3, "free for everybody"), (4, None)], "doc_id long, text string")
+    got = {r.id: (r.license, r.notices) for r in licenses.scan(docs, licenses.known_digests(spark, known), line_marks=licenses.marks(known)).collect()}
+    assert got == {1: ("Own-1.0", []), 2: (None, ["Short-2"]), 3: ("Short-2", ["Short-2"]), 4: (None, [])}
+
+
 def test_winnowing(docs, rows, none):
     got = winnow.compare_edits(docs, parts=4).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
@@ -187,6 +237,14 @@ def test_mixing(docs, rows, none):
     assert big.parts == 16 and abs(big.steps[-1] - 1) < 1e-9
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    """Beyond the bound of what is broadcast the result is the same."""
+    want = mixing.mix(docs, total=90_000.0).toPandas()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    got = mixing.mix(docs, total=90_000.0).toPandas()
+    assert len(got) and got.order_key.tolist() == want.order_key.tolist()
+
+
 def test_urls(spark):
     urls = ["http://a.com/en/1", "http://EXAMPLE.com/en/70", "https://x.example.com/en/7", "ftp://example.net/de/8?q", "http://b.net/de/9#x", "http://c.org/es/", "http://xcom/en/1", "no scheme", None, "http://h", "http://q.dev/" + "/".join("abcdefghijkl")]
     urls += [f"http://spam.dev/buy/{i}" for i in range(40)] + [f"http://spam.dev/news/{i}" for i in range(40)]
@@ -219,3 +277,20 @@ def test_pipeline(spark, rows, tmp_path):
     texts = {r[0]: r[1] or "" for r in rows}
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in docs.collect())
     assert zlib.crc32(b"") == 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, none, rows, tmp_path):
+    """Null ids, texts and languages, repeated rows and extra columns; and an empty table."""
+    duckdb.sql(f"COPY (SELECT i AS doc_id, 1::INT AS quality, 0::INT AS toxic FROM range(40) r(i)) TO '{tmp_path}/labels.parquet'")
+    few = docs.where("doc_id is null or doc_id < 12 or doc_id between 60 and 64 or doc_id >= 85").where("n_chars < 9000")
+    now = few
+    for name, stage in corpus_pipeline.STAGES:
+        before = {(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()}
+        got = common.written(stage(spark, now, str(tmp_path)), "odd-stage")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == corpus_pipeline.COLUMNS
+            assert {(r.doc_id, r.text) for r in got.select("doc_id", "text").collect()} <= before
+        else:
+            assert got.count() == now.count()
+        now = got
+        assert stage(spark, none, str(tmp_path)).count() == 0

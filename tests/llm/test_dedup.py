@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from feria.llm import fm_index, near_dedup, probminhash, stream_dedup, substring_dedup
+from feria.llm import common, fm_index, near_dedup, probminhash, stream_dedup, substring_dedup
 
 
 def lower_az(t):
@@ -21,9 +21,9 @@ def test_exact(docs, rows, none):
     got = stream_dedup.dedup(docs, carry=["doc_id", "row"], files_per_batch=1).collect()
     assert len(got) == len(rows)
     for r in got:
-        own = groups[bytes(r.content).decode()]
+        own = groups[lower_az(r.text)]
         assert r.group_size == len(own) and r.keep_id == max((i for i in own if i is not None), default=None)
-    kept = Counter(bytes(r.content) for r in got if r.row == r.keep_row)
+    kept = Counter(lower_az(r.text) for r in got if r.kept)
     assert set(kept.values()) == {1} and len(kept) == len(groups)
     assert stream_dedup.dedup(none).count() == 0
 
@@ -32,8 +32,25 @@ def test_exact_with_colliding_digests(docs, rows):
     """A digest of a few values: contents are compared in full and grouped by themselves."""
     got = stream_dedup.dedup(docs, digest=lambda b: bytes([len(b) % 3])).collect()
     want = Counter(lower_az(t) for _, t, *_ in rows)
-    assert all(r.group_size == want[bytes(r.content).decode()] for r in got)
-    assert sum(r.row == r.keep_row for r in got) == len(want)
+    assert all(r.group_size == want[lower_az(r.text)] for r in got)
+    assert sum(r.kept for r in got) == len(want)
+
+
+def test_exact_over_calls(spark):
+    """A second call meets the state and contents of the first, also where digests collide."""
+    home = common.shared_dir(spark, "state")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda b: bytes([len(b)])
+    first = {r.id: r for r in stream_dedup.dedup(frame([(1, "a"), (2, "A"), (3, "bb")]), home=home, digest=weak).collect()}
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in first.items()} == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
+    second = {r.id: r for r in stream_dedup.dedup(frame([(0, "a"), (9, "BB"), (7, "cc"), (8, None)]), home=home, digest=weak).collect()}
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in second.items()} == {0: (2, 3, False), 9: (9, 2, True), 7: (7, 1, True), 8: (8, 1, True)}
+
+
+def test_exact_keeps_rows_whole(docs, rows):
+    got = stream_dedup.distinct(docs)
+    assert got.columns == docs.columns and got.count() == len({lower_az(t) for _, t, *_ in rows})
+    assert {(r.doc_id, r.text) for r in got.collect()} <= {r[:2] for r in rows}
 
 
 def shingles(t):
@@ -73,7 +90,8 @@ def test_near(docs, rows, none):
     assert sorted(sorted(g, key=str) for g in groups.values()) == near_classes(rows)
     assert all(r.class_size == len(groups[r.class_row]) for r in got)
     assert near_dedup.classes(none).count() == 0
-    assert near_dedup.one_of_each(docs).columns == docs.columns
+    one = near_dedup.one_of_each(docs)
+    assert one.columns == docs.columns and one.count() == len(groups)
 
 
 def test_star_of_near_copies(spark):
