@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: quality, exact and near duplicates, source weights, token ids."""
+"""A training corpus from raw documents: quality, exact and near duplicates, source weights, token ids.
+
+Every stage takes null ids, texts, languages and sources, empty and very long texts, repeated rows, an empty table and
+extra columns of any name (which it leaves out): null texts count as empty, rows that are equal throughout are copies of
+each other of which one stays.
+"""
 
 from __future__ import annotations
 
@@ -49,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again."""
-    docs = common.load(spark, sf_dir, "documents")
+    """All stages over `documents`, each written as Parquet and read again. A stage's file goes when the next is written."""
+    docs, last = common.load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        common.discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
