@@ -105,7 +105,8 @@ def dedup(docs: DataFrame, *, home: str | None = None, id_col: str = "doc_id", t
         many = many.join(mine.select("digest").distinct(), "digest", "left_semi")
     hits = common.written(common.hot_join(rows.select("call", "row", "digest"), many, ["digest"], "n").where("row != keep.row or call != keep.call"), "hits")
     need = hits.select("call", "row").union(many.select("keep.call", "keep.row")).distinct()
-    texts = common.written(rows.select("call", "row", content_of(F.col("text")).alias("content")).join(need, ["call", "row"], "left_semi"), "hit-texts")
+    texts = rows.select("call", "row", "text").join(need, ["call", "row"], "left_semi")
+    texts = common.written(texts.select("call", "row", content_of(F.col("text")).alias("content")), "hit-texts")
     common.release(spark)
     retained = texts.select(F.struct("call", "row").alias("at"), F.col("content").alias("was"))
     compared = hits.withColumn("at", F.struct("keep.call", "keep.row")).join(texts, ["call", "row"]).join(retained, "at")
