@@ -334,7 +334,8 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
                         yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(new), chunk), pa.int64())], names=["unit", "chunk"])
 
     held = parts.sortWithinPartitions("chunk").mapInArrow(common.trimmed(units_of), "unit string, chunk long")
-    units = held.groupBy("unit", F.floor(F.col("chunk") / BLOCK).alias("block")).agg(F.collect_list("chunk").alias("chunks"))
+    # as many tasks as the lattices have, so that each holds few units
+    units = held.repartition(max(LATTICE_TASKS * n, common.shuffle_parts(spark)), "unit").groupBy("unit", F.floor(F.col("chunk") / BLOCK).alias("block")).agg(F.collect_list("chunk").alias("chunks"))
     units = common.written(units, "units")
     common.release(spark)
     known = common.written(encoded_units(units, pieces, LATTICE_TASKS * n).select("unit", "chunks", "ids"), "unit-ids")
