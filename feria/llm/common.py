@@ -77,19 +77,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: A key with more than one row in so many is hot: there are at most so many hot keys, whatever the input.
+#: A key with more than one row in so many is hot, and so is one with more than a quarter of what a shuffle's task gets on
+#: average: there are at most so many hot keys, or four for each task, whatever the input.
 HOT_SHARE = 1000
 
 
 def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Inner join of `rows` with `one`, which has a row for each key and the key's number of rows in the column `size`.
 
-    Rows of hot keys (over 1 / HOT_SHARE of all rows) meet their key where they are, by a broadcast of HOT_SHARE rows at
-    most; all others by a shuffle, in which no key is large. Both inputs are read twice, so they should be written steps.
+    Rows of hot keys (over 1 / HOT_SHARE of all rows, or a quarter of a task's) meet their key where they are, by a
+    broadcast of as many rows at most; all others by a shuffle, in which no key is large. Both inputs are read twice, so
+    they should be written steps.
     """
     total = one.agg(F.sum(size)).first()[0] or 0
-    hot = one.where(F.col(size) * HOT_SHARE > total)
-    plain = one.where(F.col(size) * HOT_SHARE <= total)
+    share = max(HOT_SHARE, 4 * shuffle_parts(rows.sparkSession))
+    hot = one.where(F.col(size) * share > total)
+    plain = one.where(F.col(size) * share <= total)
     few = F.broadcast(hot.select(*keys))
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(plain.hint("merge"), keys))
 
@@ -170,9 +173,10 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of each maximal run of non-space bytes within a row, and each row's first word."""
-    word = ~_SPACE[raw]
+def word_bounds(raw: np.ndarray, at: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of each maximal run of the bytes marked in `inside` (without: of non-space bytes) within a row,
+    and each row's first word."""
+    word = inside[raw]
     edge = np.empty(len(raw), bool)
     if len(raw):
         edge[0] = word[0]
