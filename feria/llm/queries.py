@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from feria.llm import licenses, mixing, near_dedup, pieces, prefix_trie, quality, stream_dedup, substring_dedup, token_files, url_filter, winnow
+from feria.llm import licenses, mixing, near_dedup, pieces, prefix_trie, quality, spelling, stream_dedup, substring_dedup, token_files, url_filter, winnow
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_spelling": spelling.query,
     "op13_prefix_trie": prefix_trie.query,
     "op2_stream_dedup": stream_dedup.query,
     "op3_token_files": token_files.query,
