@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from feria.llm import common, spelling
+from feria.llm import spelling
 
 
 def edits(w, letters):
@@ -86,4 +86,3 @@ def test_query(spark, tmp_path):
     got = got_of(spelling.query(spark, str(tmp_path)).select("word", "form", "root", "n", "n_near", "form_n"))
     want = plain(counted(rows, thin=97))
     assert got == want and sum(r[1] is not None for r in want) > 5
-    assert common.exists(spark, str(tmp_path))
