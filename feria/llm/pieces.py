@@ -38,7 +38,9 @@ BLOCK = 1000
 #: Tasks that the lattices of a chunk's units are dealt to: a task then sorts its edges in memory.
 LATTICE_TASKS = 8
 #: Characters of a chunk, and of the texts that are cut at once: a task holds a chunk's units and some of its texts.
-CHUNK_CHARS, CUT_CHARS = 24_000_000, 800_000
+CHUNK_CHARS, CUT_CHARS = 16_000_000, 800_000
+#: Bytes of texts that a task deals to chunks at once.
+BLOB_BYTES = 12_000_000
 
 
 @dataclass(frozen=True)
@@ -264,18 +266,37 @@ def encoded_units(units: DataFrame, pieces: Pieces, tasks: int | None = None) ->
 
 
 def blobs(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame:
-    """chunk, ids, sizes and the compressed texts of a few MB of documents to a row."""
+    """chunk, ids, sizes and the compressed texts of some documents to a row. A document's chunk depends on its id and text
+    alone, so it is the same whenever the documents are read again, in whatever order they come."""
+    names = ["chunk", "ids", "sizes", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=9)
-        for batch in batches:
-            for part in common.pieces(batch, "t"):
-                raw, at = common.text_bytes(part.column(1))
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            chunk = table["chunk"].to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            edges = np.flatnonzero(np.diff(chunk[order])) + 1
+            for own in np.split(order, edges):
+                part = table.take(pa.array(own)).combine_chunks()
+                raw, at = common.text_bytes(part["t"])
                 z = c.compress(raw.tobytes())
-                chunk = (zlib.crc32(z) + len(z)) % chunks
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([z], pa.binary())], names=["chunk", "ids", "sizes", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[own[0]]], pa.int64()), pa.array([part["i"].to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([z], pa.binary())], names=names)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+        for batch in batches:
+            for part in common.pieces(batch, "t"):
+                held.append(part)
+                size += part.nbytes
+                if size >= BLOB_BYTES:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.pmod(common.text_key(ident, text), F.lit(chunks)).cast("long").alias("chunk"), ident.alias("i"), text.alias("t"))
     return rows.mapInArrow(common.trimmed(run), "chunk long, ids array<long>, sizes array<long>, z binary").repartition(chunks, "chunk")
 
 
@@ -310,7 +331,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
 
     Null counts as empty, and an empty text has no ids. Rows with equal ids or texts are encoded one by one, texts of any
     length whole, an empty table gives no rows, and other columns are not read. A chunk's units are told apart by 64 bits
-    of hash.
+    of hash. The documents are read twice, in any order; should a text differ the second time, it is an error.
     """
     spark = docs.sparkSession
     n = chunks or common.text_chunks(docs, text_col, CHUNK_CHARS)
@@ -357,22 +378,25 @@ def encode(docs: DataFrame, pieces: Pieces, *, chunks: int | None = None, id_col
         for blob in zip(*(docs_[c].to_pylist() for c in ("ids", "sizes", "z"))):
             for ids, texts in _groups(*blob):
                 mine, counts, *_ = cutter.units(texts)
-                k = order[np.searchsorted(h, mine)] if len(mine) else np.empty(0, np.int64)
+                k = np.searchsorted(h, mine)
+                if len(mine) and not (len(h) and (h[np.minimum(k, len(h) - 1)] == mine).all()):
+                    raise RuntimeError("a unit of the chunk has no ids: the documents changed while they were read")
+                k = order[k]
                 first = at[k]
                 size = at[k + 1] - first
                 ends = np.cumsum(size)
                 got = values[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
                 bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
                 out_ids += ids
-                out.append(pa.array([x.tobytes() for x in np.split(got, bounds[:-1])], pa.large_binary()))
-        got = pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.chunked_array(out, pa.large_binary()).cast(pa.binary())], names=["id", "piece_ids"])
-        return got
+                out.append(pa.array([x.tobytes() for x in np.split(got, bounds[:-1])], pa.binary()))
+        return pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.chunked_array(out, pa.binary())], names=["id", "piece_ids"])
 
     return parts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(common.trimmed(run), "id long, piece_ids binary")
 
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """id and text of rows with id and piece_ids; bytes that are not UTF-8 become replacement characters."""
+    """id and text of rows with id and piece_ids; bytes that are not UTF-8 become replacement characters. No ids or null
+    give an empty text, rows are decoded one by one, and an empty table stays empty."""
     out_of: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.table} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,13 +411,15 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def summary(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 and decoded_sha256, the checksum of the text that the ids decode to."""
+    """doc_id, n_pieces, ids_crc32 and decoded_sha256, the checksum of the text that the ids decode to; for no ids 0, 0 and
+    the empty text's. Rows with null or equal ids are summed up one by one, an empty table stays empty."""
     out = {i: p.replace(SPACE, " ").encode() for p, i, _ in pieces.table} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, crc, sha = [], [], []
             for x in batch.column(1).to_pylist():
+                x = x or b""
                 text = b"".join(map(out.__getitem__, np.frombuffer(x, "<u4").tolist()))
                 n.append(len(x) // 4)
                 crc.append(zlib.crc32(x))
