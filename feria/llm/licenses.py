@@ -31,11 +31,8 @@ EQUIVALENTS = [
     ("https:", "http:"),
     ("&", " and "),
 ]
-#: Words that follow "copyright" in a licence's own sentences, whose lines may begin there however they are wrapped.
-OWN_WORDS = "notice|notices|holder|holders|owner|owners|law|laws|license|licence|licenses|and|or|in|is|of|to|the|protection|interest|interests|statement|statements|disclaimer|treaties|treaty|act|ownership|status|rights|permission|permissions|claims|attribution"
-#: A line that is a copyright notice, whatever comment signs stand before it: a mark with what it is followed by (a year, a
-#: sign or a name, not one of OWN_WORDS), or the reservation of rights alone.
-NOTICE_LINE = rf"(?:^|\n)[^a-z0-9\n(©]*(?:(?:copyright|copyrighted)(?=[ \t]*(?:[(©:,]|[0-9]|$|\n)|[ \t]+(?!(?:by[ \t]+)?(?:{OWN_WORDS})\b)[^\s])[^\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{{4}})[^\n]*|all rights reserved[^a-z0-9\n]*(?=\n|$))"
+#: What a line that is a copyright notice begins with, whatever comment signs stand before it.
+_LEAD, _WORD, _SIGN = r"[^a-z0-9\n(©]*(?:(?:portions|parts)[ \t]+(?:are[ \t]+)?)?", r"copyright(?:ed)?", r"(?:\(c\)|©)"
 OTHER_CHARS = r"[^\p{L}\p{N}]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -91,25 +88,51 @@ KNOWN = [
 MOST_KNOWN = 100_000
 
 
-def canonical(text: Column) -> Column:
+def own_starts(known: list[tuple[str, str]] | None = None) -> tuple[list[str], list[str]]:
+    """The words that follow "copyright", and those that follow "(c)", within known texts, two at a time in all equivalent
+    spellings: a line that begins so continues a licence's own sentence, however it is wrapped, and is no notice."""
+    found: tuple[set, set] = (set(), set())
+    for _, t in known or KNOWN:
+        low = t.lower()
+        for a, b in (("", ""), *EQUIVALENTS, *((b, a) for a, b in EQUIVALENTS if a != "&")):
+            spelled = low.replace(a, b) if a else low
+            for pairs, sign in zip(found, (_WORD, _SIGN)):
+                pairs.update(re.findall(rf"{sign}[^a-z0-9(©]+([a-z]+)[^a-z0-9]+([a-z0-9]+)", spelled))
+    return tuple(sorted(rf"{a}(?:[^a-z0-9\n]+{b}(?:[^a-z0-9]|$)|[^a-z0-9\n]*(?:\n|$))" for a, b in pairs) for pairs in found)
+
+
+def notice_line(known: list[tuple[str, str]] | None = None) -> str:
+    """A pattern of lines that are copyright notices: a mark and what is no run of a known text, or the reservation of
+    rights alone."""
+    word, sign = own_starts(known)
+    unless = lambda starts: rf"(?![^a-z0-9\n]*(?:{'|'.join(starts)}))" if starts else ""
+    return rf"(?:^|\n){_LEAD}(?:{_WORD}{unless(word)}(?=[ \t]*(?:[(©:,]|[0-9]|$|\n)|[ \t]+\S)[^\n]*|{_SIGN}{unless(sign)}[^\n]*|all rights reserved[^a-z0-9\n]*(?=\n|$))"
+
+
+def canonical(text: Column, notices: str | None = None) -> Column:
+    """The canonical form of texts; `notices` is the `notice_line` of the known list."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, NOTICE_LINE, "\n")).otherwise(low)
+    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, notices or notice_line(), "\n")).otherwise(low)
     low = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENTS, low)
     return F.trim(F.regexp_replace(low, OTHER_CHARS, " "))
 
 
-def known_from_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """License and text of each file of a folder: the file's name without its ending is the licence's id."""
+def known_from_files(spark: SparkSession, folder: str, most: int = MOST_KNOWN) -> list[tuple[str, str]]:
+    """License and text of each file of a folder: the file's name without its ending is the licence's id. Empty files are
+    texts too, which no document equals; a folder of more files than `most` is no list of licences and an error."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1)
     rows = spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("license"), F.col("value").alias("known"))
-    return [tuple(r) for r in rows.limit(MOST_KNOWN).collect()]  # a list of licences, of bounded size
+    got = [tuple(r) for r in rows.limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{folder} has more than {most} files")
+    return got
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license, digest and line (whether the known text is a single line) of each known text; two licences may not share
-    a canonical text."""
+    """license, digest and line (whether the known text is a single line) of each known text (no list: the built-in one);
+    two licences may not share a canonical text. Equal entries count once; an empty text has the empty text's digest."""
     rows = spark.createDataFrame(known or KNOWN, "license string, known string")
-    return rows.select("license", F.sha2(canonical(F.col("known")), 256).alias("digest"), (~F.col("known").rlike(r"\S\s*\n\s*\S")).alias("line")).distinct()
+    return rows.select("license", F.sha2(canonical(F.col("known"), notice_line(known)), 256).alias("digest"), (~F.col("known").rlike(r"\S\s*\n\s*\S")).alias("line")).distinct()
 
 
 def marks(known: list[tuple[str, str]] | None = None) -> str:
@@ -133,16 +156,18 @@ def marks(known: list[tuple[str, str]] | None = None) -> str:
     return "|".join(out) or r"\b\B"
 
 
-def scan(docs: DataFrame, known: DataFrame, *, line_marks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest, license (of the entire text, else null) and notices (licences of single lines, sorted, distinct).
 
-    `known` is of known_digests, and `line_marks` the marks of the same list. Null counts as empty; a text without
-    letters or digits has no licence, equal rows get equal results, texts and lines of any length are read whole, and an
-    empty table gives no rows. The known table is a list of licences; Spark joins it by its size.
+    `known` has licence and text of each known text, the built-in ones if none are given; which lines are looked up and
+    which are copyright notices follows from it. Null counts as empty; a text without letters or digits has no licence,
+    equal rows get equal results, texts and lines of any length are read whole, an empty table gives no rows, and other
+    columns are not read. The known table is a list of licences; Spark joins it by its size.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.lower(s).rlike(line_marks or marks())), lambda s: F.sha2(canonical(s), 256)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(canonical(text), 256).alias("digest"), lines.alias("lines"))
+    notice, marked, known = notice_line(known), marks(known), known_digests(docs.sparkSession, known)
+    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.lower(s).rlike(marked)), lambda s: F.sha2(canonical(s, notice), 256)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(canonical(text, notice), 256).alias("digest"), lines.alias("lines"))
     rows = common.written(rows, "licence-digests")
     found = rows.select("row", F.explode("lines").alias("digest")).join(known.where("line"), "digest").groupBy("row").agg(F.sort_array(F.collect_set("license")).alias("notices"))
     whole = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).select("digest", "license").distinct()
@@ -152,18 +177,17 @@ def scan(docs: DataFrame, known: DataFrame, *, line_marks: str | None = None, id
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: licences of `documents`."""
-    got = scan(common.load(spark, sf_dir, "documents"), known_digests(spark))
+    got = scan(common.load(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), F.col("digest").alias("canonical_sha256"), "license", F.array_join("notices", ",").alias("notices"))
 
 
 def _sql(text: str) -> str:
-    """`canonical` as SQL: lines are judged one by one, by what stands after their comment signs."""
-    bare = "regexp_replace(l, '^[^a-z0-9(©]*', '')"
-    after = f"regexp_extract({bare}, '^copyright(?:ed)?(.*)$', 1)"
-    word = f"regexp_extract({after}, '^[ \\t]+(?:by[ \\t]+)?([a-z]+)\\b', 1)"
-    own = ", ".join(f"'{w}'" for w in [*OWN_WORDS.split("|")])
-    mark = f"({bare} LIKE 'copyright%' AND (regexp_matches({after}, '^[ \\t]*([(©:,0-9]|$)') OR (regexp_matches({after}, '^[ \\t]+[^\\s]') AND {word} NOT IN ({own}))))"
-    notice = f"({mark} OR regexp_matches({bare}, '^(\\(c\\)|©)[ \\t]*(copyright|[0-9]{{4}})') OR regexp_matches({bare}, '^all rights reserved[^a-z0-9]*$'))"
+    """`canonical` as SQL: lines are judged one by one, by what they begin with."""
+    lead = "^" + _LEAD.replace("\\n", "")
+    word, sign = (rf"{lead}{mark}[^a-z0-9]*({'|'.join(starts)})" for mark, starts in zip((_WORD, _SIGN), own_starts()) if starts or True)
+    mark = rf"(regexp_matches(l, '{lead}{_WORD}([ \t]*([(©:,0-9]|$)|[ \t]+[^\s])') AND NOT regexp_matches(l, '{word}'))"
+    signed = rf"regexp_matches(l, '{lead}{_SIGN}')" + (rf" AND NOT regexp_matches(l, '{sign}')" if own_starts()[1] else "")
+    notice = rf"({mark} OR ({signed}) OR regexp_matches(l, '{lead}all rights reserved[^a-z0-9]*$'))"
     low = f"lower(coalesce({text}, ''))"
     low = f"array_to_string(list_filter(string_split({low}, chr(10)), lambda l: NOT {notice}), chr(10))"
     for a, b in EQUIVALENTS:

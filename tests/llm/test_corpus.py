@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,32 @@ def test_pieces(docs, rows, none, spark):
     assert pieces.encode(none, model).count() == 0
 
 
+def test_pieces_of_rows_in_changing_order(spark):
+    """Documents that come in another order, cut into other batches, whenever they are read; and texts that change."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_pieces(path)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 9))) for _ in range(rng.integers(0, 200)))) for i in range(300)]
+
+    def mixed(tables):
+        for batch in tables:
+            own = np.random.default_rng().permutation(batch.num_rows)
+            for part in np.array_split(own, np.random.default_rng().integers(1, 5)):
+                yield batch.take(part)
+
+    def changed(tables):
+        for batch in tables:
+            yield batch.set_column(1, "text", pa.array(["".join(np.random.default_rng().choice(list("etaoinshrdlu"), 15))] * batch.num_rows))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pieces.encode(docs.mapInArrow(mixed, docs.schema), model, chunks=4).collect()
+    assert sorted((r.id, np.frombuffer(r.piece_ids, "<u4").tolist()) for r in got) == [(i, sp.encode(t)) for i, t in rows]
+    with pytest.raises(Exception, match="changed while they were read"):
+        pieces.encode(docs.mapInArrow(changed, docs.schema), model, chunks=1).collect()
+
+
 def test_unigram_viterbi(spark):
     """Best sums of scores beside all cuts of a unit."""
     table = (("a", 1, -2.0), ("b", 2, -2.5), ("ab", 3, -3.0), ("ba", 4, -3.5), ("aab", 5, -4.6), ("▁", 6, -1.0), ("▁a", 7, -2.2))
@@ -162,33 +189,45 @@ def test_licences(spark, none):
     mit = licenses.KNOWN[0][1]
     texts = [mit, "/* Copyright (c) 2020 Someone */\n" + mit.upper().replace(",", " ,"), mit.replace("license", "licence"), mit + " more", "Released under the MIT License.\nx", None, "", "..."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit(0))
-    got = {r.id: (r.license, r.notices) for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    got = {r.id: (r.license, r.notices) for r in licenses.scan(docs).collect()}
     assert [got[i][0] for i in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, None]
     assert got[4][1] == ["MIT"]
-    assert licenses.scan(none, licenses.known_digests(spark)).count() == 0
+    assert licenses.scan(none).count() == 0
 
 
 def test_licences_however_they_are_wrapped(spark):
     """Every known full text, wrapped at 60 to 100 characters, below each kind of notice."""
     full = [(name, t) for name, t in licenses.KNOWN if "\n" in t]
     heads = ["", "Copyright (c) 2001-2020, The Someone\n", "Copyright 2019 Someone. All rights reserved.\n", " * Copyright Jane Doe\n", "(c) 2020 Someone\nAll rights reserved.\n\n", "© 1999 A\n"]
+    heads += ["Copyright The Kubernetes Authors.\n", "Copyright the original author or authors.\n", "Portions Copyright (c) 2001 X Corp\n", "(c) Jane Doe\n", "// Copyright and Sons Ltd\n", "Copyright Holding AG\n", "Parts are copyrighted by of the People Inc.\n"]
     rows = []
     for width in range(60, 101):
         for k, (name, t) in enumerate(full):
             wrapped = "\n\n".join(textwrap.fill(part, width) for part in t.split("\n\n"))
-            rows.append((name, heads[(width + k) % len(heads)] + wrapped))
+            rows += [(name, heads[(width + k + j) % len(heads)] + wrapped) for j in (0, 5)]
+    rows += [(None, heads[3] + full[0][1].replace("hereby", "never")), (None, "Copyright notice\n" + full[0][1])]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
-    got = {r.id: r.license for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    got = {r.id: r.license for r in licenses.scan(docs).collect()}
     assert [rows[i][0] for i in sorted(got) if got[i] != rows[i][0]] == []
 
 
+def test_a_licence_with_lettered_clauses(spark):
+    """"(c)" before a known clause is a letter of a list, before a name a sign; a very long text is read whole."""
+    clauses = [("L-1", "You may copy:\n(a) for free;\n(b) for a fee;\n(c) for both at once, if the copyright law\nsays so.")]
+    texts = [clauses[0][1].replace("\n", " ").replace(" (c)", "\n(c)"), clauses[0][1].replace("if the copyright", "if the\ncopyright"), "(c) Jane\n" + clauses[0][1], clauses[0][1].replace("(c)", "(d)"), "word " * 400_000, "word " * 400_000 + "\n" + clauses[0][1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "digest", "license", "lines", "id")})
+    assert [r.license for r in licenses.scan(docs, clauses).orderBy("id").collect()] == ["L-1", "L-1", "L-1", None, None, None]
+
+
 def test_licences_from_files(spark, tmp_path):
     """Known texts of the user's own, with a notice that no built-in mark fits."""
     (tmp_path / "Own-1.0.txt").write_text("You may do\nas you like.\n")
     (tmp_path / "Short-2.txt").write_text("Free for everybody!\n")
     known = licenses.known_from_files(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="more than 1 files"):
+        licenses.known_from_files(spark, str(tmp_path), most=1)
     docs = spark.createDataFrame([(1, "Copyright 2020 Me\nYou may do as\nyou like"), (2, "x\n# free for EVERYBODY\ny"), (3, "free for everybody"), (4, None)], "doc_id long, text string")
-    got = {r.id: (r.license, r.notices) for r in licenses.scan(docs, licenses.known_digests(spark, known), line_marks=licenses.marks(known)).collect()}
+    got = {r.id: (r.license, r.notices) for r in licenses.scan(docs, known).collect()}
     assert got == {1: ("Own-1.0", []), 2: (None, ["Short-2"]), 3: ("Short-2", ["Short-2"]), 4: (None, [])}
 
 
