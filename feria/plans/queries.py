@@ -74,6 +74,12 @@ def on_model(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoints go to the folder that the session names; only a local session may have one of its own."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
+
+
 def _agg(m: model.Model) -> DataFrame:
     return prices.price_aggregate(m, TEST)
 

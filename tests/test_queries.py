@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from feria.plans import jobs, more  # noqa: F401  register their queries
+from feria.plans import jobs, more, search  # noqa: F401  register their queries
 from feria.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
