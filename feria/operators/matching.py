@@ -34,36 +34,46 @@ def base_kind(u: Column) -> Column:
 
 
 def unit_factor(a: Column, b: Column) -> Column:
-    """What the sizes of two presentations do to their score; null where they say nothing."""
+    """What the sizes of two presentations do to their score; null where they say nothing (none has one, or one counts
+    articles)."""
     no_a, no_b = a["unit"].isNull() | a["amount"].isNull(), b["unit"].isNull() | b["amount"].isNull()
     x, y = base_amount(a), base_amount(b)
     ratio = F.least(x, y) / F.greatest(x, y)
-    silent = (no_a & no_b) | ((a["unit"] == "un") & (b["unit"] == "un"))
+    silent = (no_a & no_b) | F.coalesce(a["unit"] == "un", F.lit(False)) | F.coalesce(b["unit"] == "un", F.lit(False))
     return F.when(silent, F.lit(None)).when(no_a | no_b, 0.8).when(base_kind(a) != base_kind(b), 0.6).when(ratio >= 0.9, 1.05).when(ratio < 0.5, 0.05).otherwise(0.5)
 
 
-def semantic_score(a: Column, b: Column, *, name: Column | None = None, context: Column | None = None, other_brand: Column | None = None) -> Column:
-    """Score of two `text.normalized` structs: name likeness, with blocks by type and variants, and factors for size, type
-    and brand; four places, at most 1. `name` is the names' likeness where it is known, `context` that of the contexts
-    (null if one lacks), a quarter of the score; `other_brand` says that both declare a brand and not the same."""
+#: The most that size, type and brand can raise a score by, and the share of the contexts.
+BOOST, CONTEXT = 1.05 * 1.05 * 1.04, 0.25
+
+
+def semantic_score(a: Column, b: Column, *, name: Column | None = None, context: Column | None = None, other_brand: Column | None = None, same_brand: Column | None = None) -> Column:
+    """Score of two `text.normalized` structs: name likeness, with blocks by type, brand and variants, and factors for size,
+    type and brand, of which the last two do not raise it above 1; four places. `name` is the names' likeness where it is
+    known, `context` that of the contexts (null if one lacks), a quarter of the score; `other_brand` says that both declare
+    a brand and not the same, `same_brand` that the first declares what the second has (not given: equal brands in texts).
+    """
     base = text.dice(a["name"], b["name"]) if name is None else name
     if context is not None:
-        base = F.coalesce(base * 0.75 + context * 0.25, base)
+        base = F.coalesce(base * (1 - CONTEXT) + context * CONTEXT, base)
     typed = (F.size(a["types"]) > 0) & (F.size(b["types"]) > 0)
     other_type = typed & ~F.arrays_overlap(a["types"], b["types"])
-    xa, xb = text.exclusive(a["variants"]), text.exclusive(b["variants"])
-    other_line = (F.size(F.array_except(xa, xb)) > 0) | (F.size(F.array_except(xb, xa)) > 0)
-    other_kind = (F.size(a["variants"]) > 0) & (F.size(b["variants"]) > 0) & ~F.arrays_overlap(a["variants"], b["variants"])
+    apart = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
+    other_line = apart(text.exclusive(a["variants"]), text.exclusive(b["variants"])) | apart(a["variants"], b["variants"])
     other_brand = F.lit(False) if other_brand is None else F.coalesce(other_brand, F.lit(False))
     size = F.when(presentation_conflict(a["pack"], b["pack"]), 0.05).otherwise(F.coalesce(unit_factor(a["unit"], b["unit"]), F.lit(1.0)))
-    same_type = F.when(F.get(a["types"], F.lit(0)) == F.get(b["types"], F.lit(0)), 1.05).otherwise(1.0)
-    same_brand = F.when(a["brand"] == b["brand"], 1.04).otherwise(1.0)
-    score = F.least(base * size * same_type * same_brand, F.lit(1.0))
-    return F.when(other_type | other_brand | other_line | other_kind, 0.0).otherwise(F.floor(score * 10_000 + 0.5) / 10_000)
+    same_type = F.coalesce(F.get(a["types"], F.lit(0)) == F.get(b["types"], F.lit(0)), F.lit(False))
+    same_brand = F.coalesce(a["brand"] == b["brand"] if same_brand is None else same_brand, F.lit(False))
+    score = base * size
+    score = F.when(same_type, F.least(score * 1.05, F.lit(1.0))).otherwise(score)
+    score = F.when(same_brand, F.least(score * 1.04, F.lit(1.0))).otherwise(score)
+    blocked = F.when(other_type | other_brand, F.least(base, F.lit(0.2)) * 0.3).when(other_line, F.least(base, F.lit(0.35)) * 0.3)
+    return F.floor(F.coalesce(blocked, score) * 10_000 + 0.5) / 10_000
 
 
-def candidates(left: DataFrame, right: DataFrame, words: str = "tokens", least: int = 3, block: int = 1000) -> DataFrame:
-    """Distinct id pairs of rows that share a word of `least` letters or more, by an equal join on the word.
+def candidates(left: DataFrame, right: DataFrame, words: str = "tokens", least: int = 3, block: int = 1000, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Distinct id pairs of rows that share a word of `least` letters or more, by an equal join on the word; `keep` says of
+    two ids whether their pair is wanted.
 
     The rows of a word are dealt to blocks of about `block` rows a side, and each pair of blocks is a join key of its own.
     A pair is made at its least shared word only.
@@ -82,7 +92,41 @@ def candidates(left: DataFrame, right: DataFrame, words: str = "tokens", least:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = a.join(cells, "word").select("word", "left_id", "left_words", F.pmod(F.hash("left_id"), "n_left").alias("i"), every("n_right").alias("j"))
     b = b.join(cells, "word").select("word", "right_id", "right_words", every("n_left").alias("i"), F.pmod(F.hash("right_id"), "n_right").alias("j"))
-    return a.join(b, ["word", "i", "j"]).where(F.col("word") == F.array_min(F.array_intersect("left_words", "right_words"))).select("left_id", "right_id")
+    met = a.join(b, ["word", "i", "j"])
+    if keep is not None:
+        met = met.where(keep(F.col("left_id"), F.col("right_id")))
+    return met.where(F.col("word") == F.array_min(F.array_intersect("left_words", "right_words"))).select("left_id", "right_id")
+
+
+def least_alike(score: float, *, context: bool = True) -> float:
+    """The least likeness of names that a pair of this score can have, whatever its sizes, types, brands and contexts."""
+    base = (score - 0.00005) / BOOST
+    return max((base - CONTEXT) / (1 - CONTEXT), 0.0) if context else base
+
+
+def alike_names(left: DataFrame, right: DataFrame, least: float, block: int = 1000) -> DataFrame:
+    """left_name, right_name and alike of all pairs of names (columns name, distinct) whose Dice likeness is at least
+    `least`, above zero. None is lost: two names that share enough pairs of letters share one among the rarest of each, as
+    many as may not be shared and one more; and neither is much longer than the other. So only names that meet at a rare
+    pair of letters are compared, in blocks where even that is hot. Rows with null or one letter have no pairs.
+    """
+    ratio = least / (2 - least)  # what the shorter of two alike names has of the longer one's pairs of letters
+    numbered = F.expr("transform(g, (x, i) -> concat(x, '\x01', cast(size(filter(slice(g, 1, i + 1), y -> y = x)) as string)))")
+
+    def grams(names: DataFrame) -> DataFrame:
+        return names.select("name", text.bigrams(F.col("name")).alias("g")).where("size(g) > 0").select("name", F.size("g").alias("n"), F.explode(numbered).alias("token"))
+
+    a, b = grams(left).checkpoint(), grams(right).checkpoint()
+    often = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+
+    def rare(rows: DataFrame) -> DataFrame:
+        own = rows.join(often, "token").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token")))["token"].alias("tokens"))
+        shared = F.ceil(F.col("n") * F.lit(ratio) - 1e-9)
+        return own.select(F.struct("name", "n").alias("id"), F.slice("tokens", F.lit(1), (F.col("n") - F.greatest(shared, F.lit(1)) + 1).cast("int")).alias("tokens"))
+
+    fits = lambda x, y: (x["n"] >= y["n"] * ratio - 1e-9) & (y["n"] >= x["n"] * ratio - 1e-9)
+    pairs = candidates(rare(a), rare(b), least=1, block=block, keep=fits).select(F.col("left_id.name").alias("left_name"), F.col("right_id.name").alias("right_name"))
+    return pairs.withColumn("alike", text.dice(F.col("left_name"), F.col("right_name"))).where(F.col("alike") >= least)
 
 
 def best_match(scored: DataFrame) -> DataFrame:
@@ -96,10 +140,10 @@ def routed(score: Column, by_ean: Column, conflict: Column, rules: Rules = RULES
     return F.when(by_ean, F.when(doubtful, "pending_review").otherwise("auto")).when(score >= rules.auto_match, "auto").when(score >= rules.review_match, "pending_review").otherwise("new")
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """The rows with whether their code is valid, and a key of all that a score is made of."""
+def _texts(rows: DataFrame, alone: bool) -> DataFrame:
+    """The rows with whether their code is valid, and a key of all that a score is made of (`alone`: and of their id)."""
     rows = rows.withColumn("valid", text.ean_valid(F.coalesce("ean", F.lit(""))))
-    return rows.withColumn("key", F.to_json(F.struct("n", "declared", "context", "valid")))
+    return rows.withColumn("key", F.to_json(F.struct("n", "declared", "context", "valid", *["id"] * alone)))
 
 
 def _alike(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -109,49 +153,49 @@ def _alike(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return pairs.join(once, (pairs[a] == once["_a"]) & (pairs[b] == once["_b"]), "left").drop("_a", "_b")
 
 
-def match(listings: DataFrame, products: DataFrame, rules: Rules = RULES, block: int = 1000) -> DataFrame:
-    """left_id, right_id, score, by_ean and status for each listing; both tables have id (unique), n (`text.normalized`),
-    declared (brand or null), context (or null) and ean (13 digits or null).
+def match(listings: DataFrame, products: DataFrame, rules: Rules = RULES, block: int = 1000, *, earlier: bool = False) -> DataFrame:
+    """left_id, right_id, score, by_ean and status for each listing, and text_id and text_score, its best product by text;
+    both tables have id (unique), n (`text.normalized`), declared (brand or null), context (or null) and ean (13 digits or
+    null).
 
-    A product with the listing's code comes first, the most alike of several. Other listings are scored against products
-    that share a word and do not declare another brand, but for products with a valid code if their own is valid. Equal
-    texts are scored once. Without a candidate a listing is new and has neither product nor score. Texts and pairs are
-    checkpointed, as they are read more than once.
+    A product with the listing's code comes first, the best scored of several. Listings are scored against all products
+    that can reach the score of a review, which a bound on the names' likeness tells (`least_alike`), but for products
+    with a valid code if their own is valid. Equal names are compared and equal texts scored once; of equal scores the
+    least id wins. Without a product that reaches a review a listing is new and has neither product nor score. `earlier`:
+    by text only products of a lesser id than the listing's count. Texts and pairs are checkpointed, as they are read more
+    than once.
     """
-    left, right = _texts(listings).checkpoint(), _texts(products).checkpoint()
+    left, right = _texts(listings, earlier).checkpoint(), _texts(products, earlier).checkpoint()
     fields = [F.first(c).alias(c) for c in ("n", "declared", "context", "valid")]
     x, y = (d.groupBy("key").agg(F.min("id").alias("id"), *fields) for d in (left, right))
     x, y = x.checkpoint(), y.checkpoint()
-
-    def words(d: DataFrame, branded: bool) -> DataFrame:
-        long = F.filter(d["n.tokens"], lambda t: F.length(t) >= 3)
-        return d.select("id", (F.transform(long, lambda t: F.concat("declared", F.lit("\x00"), t)) if branded else long).alias("tokens"))
-
-    has, lacks = "declared is not null", "declared is null"
-    pairs = candidates(words(x.where(has), True), words(y.where(has), True), block=block)
-    pairs = pairs.unionByName(candidates(words(x.where(lacks), False), words(y, False), block=block))
-    pairs = pairs.unionByName(candidates(words(x.where(has), False), words(y.where(lacks), False), block=block))
+    names = lambda d: d.select(F.col("n.name").alias("name")).distinct()
+    names = alike_names(names(x), names(y), least_alike(rules.review_match), block).checkpoint()
 
     def side(d: DataFrame, name: str) -> DataFrame:
         return d.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), F.col("n.name").alias(f"{name}_name"), F.col("declared").alias(f"{name}_declared"), F.col("context").alias(f"{name}_context"), F.col("valid").alias(f"{name}_valid"))
 
     def scored(rows: DataFrame) -> DataFrame:
-        rows = rows.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id")
-        rows = _alike(_alike(rows, "left_name", "right_name", "alike"), "left_context", "right_context", "near")
+        """Adds the score to rows with both sides' columns and alike."""
+        rows = _alike(rows, "left_context", "right_context", "near")
         other = F.col("left_declared") != F.col("right_declared")
-        rows = rows.checkpoint()
-        return rows.withColumn("score", semantic_score(F.col("left_n"), F.col("right_n"), name=F.col("alike"), context=F.col("near"), other_brand=other))
+        same = F.col("left_declared") == F.coalesce("right_declared", "right_n.brand")
+        return rows.withColumn("score", semantic_score(F.col("left_n"), F.col("right_n"), name=F.col("alike"), context=F.col("near"), other_brand=other, same_brand=same))
 
-    by_word = best_match(scored(pairs.checkpoint()).where("score > 0 and not (left_valid and right_valid)"))
+    wanted = "not (left_valid and right_valid) and not coalesce(left_declared != right_declared, false)"
+    wanted += " and left_id > right_id" * earlier
+    pairs = side(x, "left").join(names, "left_name").join(side(y, "right"), "right_name").where(wanted)
+    by_text = best_match(scored(pairs).where(F.col("score") >= rules.review_match).select("left_id", "right_id", "score"))
     same = left.select("id", "key").join(x.select("key", F.col("id").alias("left_id")), "key")
-    by_word = same.join(by_word, "left_id", "left").select("id", "right_id", "score")
-    hits = left.select(F.col("id").alias("left_id"), "ean").join(right.select(F.col("id").alias("right_id"), "ean"), "ean").select("left_id", "right_id").checkpoint()
-    hits = scored(hits).withColumn("conflict", presentation_conflict(F.col("left_n.pack"), F.col("right_n.pack")))
+    by_text = same.join(by_text, "left_id", "left").select("id", F.col("right_id").alias("text_id"), F.col("score").alias("text_score"))
+    hits = left.select(F.col("id").alias("left_id"), "ean").join(right.select(F.col("id").alias("right_id"), "ean"), "ean").select("left_id", "right_id")
+    hits = hits.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id").checkpoint()
+    hits = scored(_alike(hits, "left_name", "right_name", "alike").withColumn("alike", F.coalesce("alike", F.lit(0.0)))).withColumn("conflict", presentation_conflict(F.col("left_n.pack"), F.col("right_n.pack")))
     top = hits.groupBy("left_id").agg(F.max_by(F.struct("right_id", "alike", "conflict"), F.struct("score", -F.col("right_id"))).alias("h")).select(F.col("left_id").alias("id"), "h")
-    got = by_word.join(top, "id", "left").withColumn("by_ean", F.col("h").isNotNull())
-    status = routed(F.when(F.col("by_ean"), F.col("h.alike")).otherwise(F.coalesce("score", F.lit(0.0))), F.col("by_ean"), F.coalesce("h.conflict", F.lit(False)), rules)
+    got = by_text.join(top, "id", "left").withColumn("by_ean", F.col("h").isNotNull())
+    status = routed(F.when(F.col("by_ean"), F.col("h.alike")).otherwise(F.coalesce("text_score", F.lit(0.0))), F.col("by_ean"), F.coalesce("h.conflict", F.lit(False)), rules)
     pick = lambda a, b: F.when(F.col("by_ean"), a).otherwise(F.col(b))
-    return got.select(F.col("id").alias("left_id"), pick(F.col("h.right_id"), "right_id").alias("right_id"), pick(F.lit(1.0), "score").alias("score"), "by_ean", status.alias("status"))
+    return got.select(F.col("id").alias("left_id"), pick(F.col("h.right_id"), "text_id").alias("right_id"), pick(F.lit(1.0), "text_score").alias("score"), "by_ean", status.alias("status"), "text_id", "text_score")
 
 
 def blocked_pairs(rows: DataFrame, block: list[str]) -> DataFrame:

@@ -51,14 +51,19 @@ def _doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
+def with_base(sql: str) -> str:
+    """SQL behind the model's common table expressions; `+` continues their list."""
+    head = "WITH RECURSIVE" if "RECURSIVE" in sql else "WITH"
+    return f"{head} {_BASE}{',' if sql.lstrip().startswith('+') else ''} {sql.replace('RECURSIVE', '').lstrip().lstrip('+')}"
+
+
 def query(name: str, sql: str | None = None, *, base: bool = True) -> Callable[[Query], Query]:
     """Register a query, and its SQL behind the model's common table expressions."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            head = "WITH RECURSIVE" if "RECURSIVE" in sql else "WITH"
-            ORACLES[name] = f"{head} {_BASE}{',' if sql.lstrip().startswith('+') else ''} {sql.replace('RECURSIVE', '').lstrip().lstrip('+')}" if base else sql
+            ORACLES[name] = with_base(sql) if base else sql
         return f
 
     return add
@@ -607,7 +612,7 @@ def _e1(spark, sf_dir):
 
 @query("E4_E7_match_routing")
 def _e4(spark, sf_dir):
-    """Rows only: every listing by its code, else by the best score of products that share a word, and routed. Listings
+    """Rows only: every listing by its code, else by the best score of all products, and routed. Listings
     have their product's texts; those whose link is by code have it."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
