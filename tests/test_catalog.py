@@ -67,19 +67,31 @@ def test_embedded_cache(spark):
 
 
 def test_dehydrated(spark):
-    data = {"queries": [{"state": {"data": {"merchants": [{"slug": "b", "name": "Ñandú", "plan_slug": "PRO", "product_count": 3}, {"slug": "a", "name": "Nadie"}, {"slug": "", "name": "x"}]}}}]}
-    html = f"<script>window.__STATE__ = {json.dumps(json.dumps(data))};</script>"
-    got = parsers.dehydrated(spark.createDataFrame([(html,)], "html string"), "__STATE__", ["pro"]).collect()
-    assert [(r.slug, r.rubro, r.plan, r.offers_allowed, r.product_count) for r in got] == [("a", "Otro", "gratis", False, 0), ("b", "Otro", "pro", True, 3)]
+    """The state as pages have it, under any number, with quotes and backslashes in names; pages without it, or with none."""
+    data = {"queries": [{"state": {"data": {"user": 1}}}, {"state": {"data": {"merchants": [{"slug": "b", "name": "Ñandú \"el\" \\ dos", "plan_slug": "PRO", "product_count": 3}, {"slug": "a", "name": "Nadie"}, {"slug": "", "name": "x"}]}}}]}
+    page = lambda n, d: f'<script>x={{dehydratedData:$R[{n}]={{queryState:{json.dumps(json.dumps(d))},other:"y"}}}};</script>'
+    rows = [(page(4, data),), ("none",), (None,), (page(12, {"queries": []}),), ('dehydratedData:$R[1]={other:"a"}',)]
+    got = parsers.dehydrated(spark.createDataFrame(rows, "html string"), ["pro"]).collect()
+    assert [(r.slug, r.name, r.rubro, r.plan, r.offers_allowed, r.product_count) for r in got] == [("a", "Nadie", "Otro", "gratis", False, 0), ("b", 'Ñandú "el" \\ dos', "Otro", "pro", True, 3)]
 
 
 def test_flat_and_listing_payloads(spark):
     flat = json.dumps([{"id": "1", "name": "n", "price": 2.5, "barcode": "12"}, {"id": "2", "name": "m", "price": 0.0}])
     assert [(r.id, r.barcode) for r in parsers.flat(spark.createDataFrame([(flat,)], "json string")).collect()] == [("1", None)]
-    promo = [{"percentageOff": 0.0, "unitPrice": "1"}, {"percentageOff": 10.0, "unitPrice": "90,5", "totalPrice": "181"}]
-    page = json.dumps({"products": {"content": [{"id": 5, "description": "d", "price": 100.0, "barcode": "7790070431486", "promotions": promo, "category": {"id": 3}}]}, "content": [{"id": 5, "description": "d", "price": 100.0, "barcode": "7790070431486", "promotions": promo, "category": {"id": 3}}]})
-    got = parsers.listing(spark.createDataFrame([(page,)], "json string")).collect()
-    assert [(r.externalId, r.amount, r.listOrPromo, r.category_id) for r in got] == [("5", 90.5, "promo", 3)]
+    promo = [{"percentageOff": 0.0, "unitPrice": "1"}, {"percentageOff": 25.0, "unitPrice": "1762.50", "totalPrice": "3525", "content": "25% off"}]
+    article = lambda i, name, shown, price, **more: {"id": i, "description": name, "presentation": shown, "brand": " LA  MARCA ", "barcode": "7790070431486", "price": price, "promotions": [], "category": {"id": 15040, "description": "LARGO FINO", "parentId": 10043}, "featuredImage": {"path": "https://img/x.png"}} | more
+    content = [article(911205, "ARROZ  LARGO FINO", " 1kg", 2050, priceByUnity=2050), article(911208, "ARROZ PARBOIL", "1kg", 2350, promotions=promo), article(913471, "ARROZ", "500 grs", None, strPrice="900.50", barcode="1"), article(None, "x", "", 1), article(7, " ", "", 1), article(8, "y", "", 0)]
+    page = json.dumps({"products": {"content": content, "totalPages": 1}})
+    got = {r.externalId: r for r in parsers.listing(spark.createDataFrame([(page,), (None,), ("{}",)], "json string"), "https://shop.example/").collect()}
+    assert set(got) == {"911205", "911208", "913471"}
+    rice = got["911205"]
+    assert (rice.url, rice.rawDescription, rice.description, rice.brand, rice.ean, rice.categoryPath, rice.unitLabel, rice.imageUrl) == ("https://shop.example/products/911205", "ARROZ LARGO FINO 1kg", "LA MARCA ARROZ LARGO FINO 1kg", "LA MARCA", "7790070431486", ["LARGO FINO"], "1kg", "https://img/x.png")
+    assert tuple(rice.price) == (2050.0, "list", None, 2050.0) and tuple(got["911208"].price) == (1762.5, "promo", "25% off", None)
+    assert (got["913471"].price.amount, got["913471"].ean) == (900.5, None)
+    units = spark.createDataFrame([(r.externalId, r.rawDescription) for r in got.values()], "i string, t string").select("i", text.unit(F.col("t")).alias("u")).collect()
+    assert {r.i: tuple(r.u) for r in units} == {"911205": (1.0, "kg"), "911208": (1.0, "kg"), "913471": (500.0, "g")}
+    paths = spark.createDataFrame([(15040, ["Almacen", "Arroz"])], "category_id long, path array<string>")
+    assert {tuple(r.categoryPath) for r in parsers.listing(spark.createDataFrame([(page,)], "json string"), "https://shop.example", paths=paths).collect()} == {("Almacen", "Arroz")}
 
 
 def test_sync_modes(spark, tmp_path):
