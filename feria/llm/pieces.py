@@ -38,9 +38,9 @@ BLOCK = 1000
 #: Tasks that the lattices of a chunk's units are dealt to: a task then sorts its edges in memory.
 LATTICE_TASKS = 8
 #: Characters of a chunk, and of the texts that are cut at once: a task holds a chunk's units and some of its texts.
-CHUNK_CHARS, CUT_CHARS = 16_000_000, 800_000
+CHUNK_CHARS, CUT_CHARS = 24_000_000, 800_000
 #: Bytes of texts that a task deals to chunks at once.
-BLOB_BYTES = 12_000_000
+BLOB_BYTES = 24_000_000
 
 
 @dataclass(frozen=True)
