@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +105,19 @@ def search_total(m: Model, s: Search, rules: Rules = RULES) -> DataFrame:
     return _found(m, s, rules).agg(F.count(F.lit(1)).alias("total"))
 
 
+def only(m: Model, products: DataFrame) -> Model:
+    """The model with the prices of some products (product_id) only, so that no other is aggregated."""
+    if m.listed is not None:
+        return replace(m, listed=m.listed.join(products.select("product_id"), "product_id", "left_semi"))
+    own = m.link.join(products.select("product_id"), "product_id", "left_semi")
+    return replace(m, link=own, price=m.price.join(own.select("sku_id"), "sku_id", "left_semi"))
+
+
 def product_detail(m: Model, slug: str, rules: Rules = RULES) -> DataFrame:
     """One nested row for a published product, else none: its data, aggregate, and the latest offers of active stores,
     cheapest first, whatever their age."""
     one = m.product.where(F.col("slug") == slug)
+    m = only(m, one)
     card = one.join(prices.publishable(prices.price_aggregate(m, rules), rules), "product_id").join(m.category.select("category_id", F.col("path").alias("category")), "category_id", "left")
     valid = prices.valid_prices(m, rules, drop_corrected=False, min_price=False).join(one.select("product_id"), "product_id", "left_semi")
     offers = prices.latest_offers(valid).join(m.store.where("is_active").select("store_id", F.col("slug").alias("store"), F.col("name").alias("store_name")), "store_id")
@@ -126,7 +135,9 @@ def product_history(m: Model, slug: str, window: str = "30", rules: Rules = RULE
     the lowest and highest price in it."""
     if window not in WINDOWS:
         raise InvalidQuery("window")
-    one = m.product.where(F.col("slug") == slug).join(prices.price_aggregate(m, rules).select("product_id"), "product_id", "left_semi").select("product_id", "slug")
+    one = m.product.where(F.col("slug") == slug).select("product_id", "slug")
+    m = only(m, one)
+    one = one.join(prices.price_aggregate(m, rules).select("product_id"), "product_id", "left_semi")
     days = prices.daily_series(m, rules).join(one, "product_id", "left_semi")
     if WINDOWS[window] is not None:
         days = days.where(F.col("day") >= F.date_sub(F.to_date(F.lit(m.now)), WINDOWS[window]))

@@ -150,6 +150,43 @@ def orphan_links(by_code_rows: DataFrame, by_word_rows: DataFrame) -> DataFrame:
     return code.unionByName(word.select("*", F.lit("semantic").alias("method"), F.lit(0.85).alias("score"), F.lit("pending_review").alias("status")))
 
 
+def diagnosis(skus: DataFrame, links: DataFrame, prices: DataFrame, products: DataFrame, top: int = 20) -> DataFrame:
+    """Nine diagnoses of active listings as diagnosis, label, figure and value: 1 listings with and without a link and their
+    prices, 2 and 3 those without whose code a product has, padded to 13 digits or as it is, 4 and 5 the `top` of those with
+    and without a code of 13 digits or any code by their prices (then least id), 6 lengths of codes, 7 different codes, 8 the
+    `top` codes by prices (then least), 9 listings and products with a link.
+
+    skus: sku_id, is_active, ean; links: sku_id, product_id, one for a listing; prices: sku_id; products: ean. Listings,
+    their links, prices and codes meet once, and this table is checkpointed; all counts come from one aggregation of it by
+    grouping sets, and only codes, which that aggregation has reduced, are looked at again.
+    """
+    n = prices.groupBy("sku_id").agg(F.count(F.lit(1)).alias("prices"))
+    codes = products.where("ean is not null").groupBy("ean").agg(F.count(F.lit(1)).alias("sold"))
+    padded = codes.select(F.col("ean").alias("own"), F.col("sold").alias("padded"))
+    rows = skus.where("is_active").select("sku_id", "ean", F.substring(F.lpad("ean", 13, "0"), 1, 13).alias("own")).join(links.select("sku_id", "product_id"), "sku_id", "left").join(n, "sku_id", "left")
+    rows = rows.join(codes, "ean", "left").join(padded, "own", "left").withColumn("prices", F.coalesce("prices", F.lit(0)))
+    rows = rows.select("sku_id", "product_id", "ean", "prices", F.col("product_id").isNull().alias("lost"), F.coalesce("sold", F.lit(0)).alias("sold"), F.coalesce("padded", F.lit(0)).alias("padded")).checkpoint()
+    lost, coded = F.col("lost"), F.col("ean").isNotNull()
+    count, total = lambda c: F.count_if(c), lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    figures = {
+        (1, "listings"): F.count(F.lit(1)), (1, "linked"): count(~lost), (1, "orphans"): count(lost), (1, "with_code"): count(lost & coded), (1, "without_code"): count(lost & ~coded),
+        (1, "with_13_digits"): count(lost & F.col("ean").rlike("^[0-9]{13}$")), (1, "prices"): total(lost, F.col("prices")), (2, "listings"): count(lost & (F.col("padded") > 0)), (2, "prices"): total(lost, F.col("prices") * F.col("padded")),
+        (3, "listings"): count(lost & (F.col("sold") > 0)), (3, "prices"): total(lost, F.col("prices") * F.col("sold")), (9, "listings"): count(~lost), (9, "products"): F.count_distinct(F.when(~lost, F.col("product_id"))),
+    }
+    size = F.length("ean").alias("size")
+    sets = rows.withColumn("size", size).groupingSets([[], ["size"], ["ean"]], "size", "ean").agg(F.grouping_id().alias("g"), count(lost & coded).alias("lost_codes"), total(lost & coded, F.col("prices")).alias("lost_prices"), F.array(*[F.struct(F.lit(d).alias("diagnosis"), F.lit(f).alias("figure"), v.cast("long").alias("value")) for (d, f), v in figures.items()]).alias("all")).checkpoint()
+    shown = lambda df, d, label, figure, value: df.select(F.lit(d).alias("diagnosis"), label.cast("string").alias("label"), F.lit(figure).alias("figure"), value.cast("long").alias("value"))
+    got = sets.where("g = 3").select(F.explode("all").alias("x")).select("x.diagnosis", F.lit(None).cast("string").alias("label"), "x.figure", "x.value")
+    codes = sets.where("g = 2 and ean is not null and lost_codes > 0")
+    best = codes.orderBy(F.col("lost_prices").desc(), "ean").limit(top)
+    parts = [shown(sets.where("g = 1 and size is not null and lost_codes > 0"), 6, F.col("size"), "listings", F.col("lost_codes")), shown(codes.agg(F.count(F.lit(1)).alias("n")), 7, F.lit(None), "codes", F.col("n")), shown(best, 8, F.col("ean"), "listings", F.col("lost_codes")), shown(best, 8, F.col("ean"), "prices", F.col("lost_prices"))]
+    for d, wanted in ((4, lost & F.col("ean").rlike("^[0-9]{13}$")), (5, lost & ~coded)):
+        parts.append(shown(rows.where(wanted).orderBy(F.col("prices").desc(), "sku_id").limit(top), d, F.col("sku_id"), "prices", F.col("prices")))
+    for p in parts:
+        got = got.unionByName(p)
+    return got
+
+
 def repeated_listings(skus: DataFrame) -> DataFrame:
     """Active listings (sku_id, store_id, external_id, last_seen_at) behind the newest of their store and external id: those
     to switch off; of equally new ones the least id stays."""

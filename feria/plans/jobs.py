@@ -432,15 +432,3 @@ def _p20(spark, sf_dir):
     rows = model.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     once = state.insert_new(rows.where("id % 2 = 0"), rows, ["id"], "name")
     return state.insert_new(once, rows, ["id"], "name")
-
-
-@query("C2_web_search", "SELECT q, CASE WHEN length(trim(q)) BETWEEN 2 AND 64 THEN least(greatest(n, 1), 20) END::DOUBLE AS n FROM (VALUES ('ab', 5), (' a ', 5), ('yerba', 0), ('yerba', 99)) v(q, n)", base=False)
-def _c2(spark, sf_dir):
-    """Which requests the lenient search takes, and with what limit."""
-    rows = []
-    for q, n in (("ab", 5), (" a ", 5), ("yerba", 0), ("yerba", 99)):
-        try:
-            rows.append((q, float(catalog.request(q, n, lenient=True).limit)))
-        except catalog.InvalidQuery:
-            rows.append((q, None))
-    return spark.createDataFrame(rows, "q string, n double")

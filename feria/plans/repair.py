@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feria.functions import text
-from feria.operators import matching, repair
+from feria.operators import jobs, matching, repair
 from feria.plans.jobs import _CODES, code
 from feria.plans.queries import checkpoints, query
 from feria.sources import model
@@ -169,3 +169,27 @@ def _decisions(spark, sf_dir):
 def _removed(spark, sf_dir):
     """Old products without links and deals."""
     return _reconciled(spark, sf_dir)[2]
+
+
+@query("A28_orphan_diagnoses", f"""+ {_CODES},
+active AS (SELECT sku_id, CASE WHEN sku_id % 3 = 0 THEN ltrim(ean, '0') WHEN sku_id % 3 = 1 THEN ean END AS ean FROM sku JOIN codes ON codes.product_id = product_key WHERE sku_id % 13 <> 0),
+counted AS (SELECT a.*, l.product_id, coalesce(n, 0) AS n FROM active a LEFT JOIN link l USING (sku_id) LEFT JOIN (SELECT sku_id, count(*) AS n FROM price GROUP BY 1) USING (sku_id)),
+lost AS (SELECT *, (SELECT count(*) FROM codes c WHERE c.ean = x.ean) AS sold, (SELECT count(*) FROM codes c WHERE c.ean = lpad(x.ean, 13, '0')) AS padded FROM (SELECT * FROM counted WHERE product_id IS NULL) x),
+code AS (SELECT ean, count(*) AS k, sum(n) AS n FROM lost WHERE ean IS NOT NULL GROUP BY 1), best_codes AS (SELECT * FROM code ORDER BY n DESC, ean LIMIT 20)
+SELECT 1 AS diagnosis, NULL AS label, f.figure, f.value FROM (SELECT unnest([{{'figure': 'listings', 'value': count(*)}}, {{'figure': 'linked', 'value': count(product_id)}}, {{'figure': 'orphans', 'value': count(*) - count(product_id)}}, {{'figure': 'with_code', 'value': count(*) FILTER (product_id IS NULL AND ean IS NOT NULL)}},
+  {{'figure': 'without_code', 'value': count(*) FILTER (product_id IS NULL AND ean IS NULL)}}, {{'figure': 'with_13_digits', 'value': count(*) FILTER (product_id IS NULL AND length(ean) = 13)}}, {{'figure': 'prices', 'value': coalesce(sum(n) FILTER (product_id IS NULL), 0)::BIGINT}}]) AS f FROM counted)
+UNION ALL SELECT 2, NULL, 'listings', count(*) FILTER (padded > 0) FROM lost UNION ALL SELECT 2, NULL, 'prices', coalesce(sum(n * padded), 0)::BIGINT FROM lost
+UNION ALL SELECT 3, NULL, 'listings', count(*) FILTER (sold > 0) FROM lost UNION ALL SELECT 3, NULL, 'prices', coalesce(sum(n * sold), 0)::BIGINT FROM lost
+UNION ALL (SELECT 4, sku_id::VARCHAR, 'prices', n FROM lost WHERE length(ean) = 13 ORDER BY n DESC, sku_id LIMIT 20) UNION ALL (SELECT 5, sku_id::VARCHAR, 'prices', n FROM lost WHERE ean IS NULL ORDER BY n DESC, sku_id LIMIT 20)
+UNION ALL SELECT 6, length(ean)::VARCHAR, 'listings', count(*) FROM lost WHERE ean IS NOT NULL GROUP BY length(ean) UNION ALL SELECT 7, NULL, 'codes', count(*) FROM code
+UNION ALL SELECT 8, ean, 'listings', k FROM best_codes UNION ALL SELECT 8, ean, 'prices', n::BIGINT FROM best_codes
+UNION ALL SELECT 9, NULL, 'listings', count(product_id) FROM counted UNION ALL SELECT 9, NULL, 'products', count(DISTINCT product_id) FROM counted""")
+def _diagnoses(spark, sf_dir):
+    """All nine, over active listings, of which a third has its product's code without leading zeros and a third none."""
+    checkpoints(spark)
+    m = model.from_star(spark, sf_dir)
+    coded = m.product.select(F.col("product_id").alias("product_key"), code(F.col("product_id")).alias("ean"))
+    k = F.col("sku_id")
+    own = F.when(k % 3 == 0, F.ltrim("ean", F.lit("0"))).when(k % 3 == 1, F.col("ean"))
+    skus = m.sku.join(coded, "product_key").select("sku_id", (k % 13 != 0).alias("is_active"), own.alias("ean"))
+    return jobs.diagnosis(skus, m.link, m.price, coded)

@@ -67,13 +67,23 @@ _LOGS = {
 
 def log(spark: SparkSession, out: str, table: str) -> DataFrame:
     """All rows that runs have written to a table, with their run and batch."""
-    schema = T.StructType.fromDDL(_LOGS[table]).add("run", "string").add("batch", "long")
+    schema = T.StructType.fromDDL(_LOGS[table] + (", day date" if table == "prices" else "")).add("run", "string").add("batch", "long")
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{table}")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", f"{out}/{table}").parquet(f"{out}/{table}")
 
 
+#: Days of a micro-batch by which the log of prices is pruned; a batch of more days is compared with the whole log.
+MOST_DAYS = 400
+
+
+def of_days(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of a log of prices that have a day of the new ones (captured_at): a price is only stored twice on its day."""
+    days = [r.day for r in new.select(F.to_date("captured_at").alias("day")).distinct().limit(MOST_DAYS + 1).collect()]
+    return log if len(days) > MOST_DAYS else log.where(F.col("day").isin(days))
+
+
 def current(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key of a log: the highest `order`, then the later run and batch."""
     cols = [c for c in rows.columns if c not in (key, "run", "batch")]
@@ -106,34 +116,37 @@ def linked(fresh: DataFrame, links: DataFrame, products: DataFrame) -> tuple[Dat
     return made, first.select("slug", "r.name", "r.ean", F.col("r.last_seen_at").alias("updated_at"))
 
 
-def run(spark: SparkSession, folder: str, out: str, checkpoint: str, hosts: list[str], rules: Rules = RULES, *, run_id: str = "run-1", files: int = 100, now: Column | None = None) -> StreamingQuery:
+def run(spark: SparkSession, folder: str, out: str, checkpoint: str, hosts: list[str], rules: Rules = RULES, *, run_id: str = "run-1", files: int = 100, now: Column | None = None, others: DataFrame | None = None) -> StreamingQuery:
     """Ingest what the folder holds now, in micro-batches, into the logs of `out`: prices, listings, products, links,
     rejected snapshots and counts of each reason.
 
     A listing's price of a kind counts once a run, and a price that an earlier run or batch has is not stored again.
-    Suspicion is judged by the prices before the run. A batch's new products are candidates for the next batches.
+    Suspicion is judged by the prices before the run, and by `others` (sku_id, median_other in cents): for each listing the
+    median of what other stores ask for its product, as `prices.median_of_others` finds it. A batch's new products are
+    candidates for the next batches. Prices are stored by day, and a batch is compared with the days that it has.
     """
     last, stats = known_prices(log(spark, out, "prices").where(F.col("run") != run_id), now, rules)
     before = f"{out}/before/run={run_id}"
     last.write.mode("overwrite").parquet(f"{before}/last")
     stats.write.mode("overwrite").parquet(f"{before}/stats")
     last, stats = (spark.read.schema(d.schema).parquet(f"{before}/{n}") for d, n in ((last, "last"), (stats, "stats")))
-    none = spark.createDataFrame([], "sku_id string, median_other double")
+    others = spark.createDataFrame([], "sku_id string, median_other double") if others is None else others.select("sku_id", "median_other")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         earlier = ~((F.col("run") == run_id) & (F.col("batch") >= batch_id))
         old = {t: log(spark, out, t).where(earlier) for t in ("prices", "listings", "products", "links")}
         rows = checked(df, hosts, rules)
 
-        def write(table: str, rows: DataFrame) -> None:
-            rows.write.mode("overwrite").parquet(f"{out}/{table}/run={run_id}/batch={batch_id}")
+        def write(table: str, rows: DataFrame, *by: str) -> None:
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/{table}/run={run_id}/batch={batch_id}")
 
         accepted = once(rows.where("reason is null"))
         mine = old["prices"].where(F.col("run") == run_id).select("externalId", F.col("list_or_promo").alias("kind"))
         accepted = accepted.join(mine, ["externalId", "kind"], "left_anti")
-        new = not_yet(as_prices(accepted), old["prices"]).withColumnRenamed("externalId", "sku_id")
-        judged = prices.suspects(new, last, stats, none, rules)
-        write("prices", judged.select(F.col("sku_id").alias("externalId"), "captured_at", "list_or_promo", "price", "ean", F.col("suspect_new").alias("is_suspect")))
+        priced = as_prices(accepted)
+        new = not_yet(priced, of_days(old["prices"], priced)).withColumnRenamed("externalId", "sku_id")
+        judged = prices.suspects(new, last, stats, others, rules)
+        write("prices", judged.select(F.col("sku_id").alias("externalId"), "captured_at", "list_or_promo", "price", "ean", F.col("suspect_new").alias("is_suspect"), F.to_date("captured_at").alias("day")), "day")
         seen = accepted.groupBy("externalId").agg(F.max(F.struct(F.col("capturedAt").cast("timestamp").alias("t"), "rawDescription", "ean")).alias("r"))
         seen = seen.select("externalId", F.col("r.rawDescription").alias("text"), F.col("r.ean").alias("ean"), F.col("r.t").alias("last_seen_at"))
         write("listings", seen)

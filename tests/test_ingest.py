@@ -21,7 +21,7 @@ def test_stream_ingest(spark, tmp_path):
     assert set(got) == {"a", "e", "f"} and got["e"].ean is None and got["f"].ean == "4006381333931"
     bad = {r.externalId: r.reason for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()}
     assert bad == {"b": "invalid_price", "c": "below_min_price", "d": "invalid_source_url", "": "invalid_snapshot"}
-    again = spark.read.parquet(str(tmp_path / "out/prices")).drop("batch", "run")
+    again = spark.read.parquet(str(tmp_path / "out/prices")).drop("batch", "run", "day")
     assert ingest.not_yet(again, again).isEmpty()
 
 
@@ -50,6 +50,19 @@ def test_runs_meet_what_is_known(spark, tmp_path):
     assert ingest.current(log("listings"), "externalId", "last_seen_at").count() == 3
 
 
+def test_run_beside_other_stores(spark, tmp_path):
+    """A price far from what other stores ask is a suspect on its first day; days of the log that a batch lacks are pruned."""
+    (tmp_path / "in").mkdir()
+    rows = [snapshot("a", 300_000.0), snapshot("b", 300_000.0), {**snapshot("c", 900.0), "capturedAt": "2026-08-25T12:00:00+00:00"}]
+    (tmp_path / "in/one.json").write_text("\n".join(map(json.dumps, rows)))
+    others = spark.createDataFrame([("a", 5_000_000.0), ("b", 29_000_000.0)], "sku_id string, median_other double")
+    ingest.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), ["example.com"], others=others).awaitTermination()
+    log = ingest.log(spark, str(tmp_path / "out"), "prices")
+    assert sorted((r.externalId, r.is_suspect, str(r.day)) for r in log.collect()) == [("a", True, "2026-08-24"), ("b", False, "2026-08-24"), ("c", False, "2026-08-25")]
+    new = log.where("externalId = 'c'").select("captured_at")
+    assert {r.externalId for r in ingest.of_days(log, new).collect()} == {"c"}
+
+
 def test_alerts(spark):
     hour = lambda n: F.timestamp_seconds(F.lit(n * 3600))
     runs = spark.createDataFrame([(1, 1, False, 0, 0), (1, 2, False, 0, 0), (1, 3, False, 0, 9), (2, 3, True, 70, 30), (3, 3, True, 99, 1)], "store_id int, t int, ok boolean, captured int, rejected int").withColumn("started_at", F.timestamp_seconds(F.col("t") * 3600))
