@@ -142,6 +142,18 @@ def orphans_by_word(rows: DataFrame, products: DataFrame) -> DataFrame:
     return left.join(products.select("product_id", F.explode(F.array_distinct(F.split(text.plain(F.col("name")), " "))).alias("word")), "word").select("sku_id", "product_id")
 
 
+def products_containing(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """sku_id, products and least_id of orphans (sku_id, text): how many products' names contain their first word, without
+    accents and case, anywhere, and the least of them. Names are cut into all their parts of the words' lengths, which then
+    meet the words by an equal join; parts are counted by product before they are joined, so a hot word is one row."""
+    left = rows.select("sku_id", text.plain(F.substring_index("text", " ", 1)).alias("word")).where("word != ''")
+    sizes = left.select(F.length("word").alias("n")).distinct()  # a few lengths
+    names = products.select("product_id", text.plain(F.col("name")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_products"), F.min("product_id").alias("least_id"))
+    parts = names.join(sizes, F.col("n") <= F.length("name")).withColumn("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n"))))))
+    by_word = parts.groupBy("word").agg(F.sum("n_products").alias("products"), F.min("least_id").alias("least_id"))
+    return left.join(by_word, "word").select("sku_id", "products", "least_id")
+
+
 def orphan_links(by_code_rows: DataFrame, by_word_rows: DataFrame) -> DataFrame:
     """Links for orphans: sku_id, product_id, method, score and status. By code at once (least product), by word for review
     (least product), and only where there is no code."""
@@ -187,6 +199,15 @@ def diagnosis(skus: DataFrame, links: DataFrame, prices: DataFrame, products: Da
     return got
 
 
+def first_by_word(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """As `orphans_by_word`, but only the least product and the number of products of each orphan: products are reduced to
+    a row a word before orphans meet them."""
+    codes = products.where("ean is not null").select("ean").distinct()
+    left = rows.join(codes, "ean", "left_anti").select("sku_id", text.plain(F.substring_index("text", " ", 1)).alias("word")).where("word != ''")
+    words = products.select("product_id", F.explode(F.array_distinct(F.split(text.plain(F.col("name")), " "))).alias("word")).groupBy("word").agg(F.min("product_id").alias("product_id"), F.count(F.lit(1)).alias("products"))
+    return left.join(words, "word").select("sku_id", "product_id", "products")
+
+
 def repeated_listings(skus: DataFrame) -> DataFrame:
     """Active listings (sku_id, store_id, external_id, last_seen_at) behind the newest of their store and external id: those
     to switch off; of equally new ones the least id stays."""

@@ -157,14 +157,14 @@ def _n7_code(m):
 @on_model("N7_orphans_by_word", f"+ {_ORPHANS} SELECT sku_id, count(*) AS products FROM by_word GROUP BY 1")
 def _n7_word(m):
     """The products that an orphan's first word leads to, counted."""
-    return jobs.orphans_by_word(_orphans(m), m.product.join(_coded(m).select("product_id", "ean"), "product_id")).groupBy("sku_id").agg(F.count(F.lit(1)).alias("products"))
+    return jobs.first_by_word(_orphans(m), _coded(m)).select("sku_id", "products")
 
 
 @on_model("N7_orphan_summary", f"+ {_ORPHANS} SELECT (SELECT count(*) FROM orphan) AS orphans, (SELECT count(DISTINCT sku_id) FROM by_code) AS by_code, (SELECT count(DISTINCT sku_id) FROM by_word) AS by_word, (SELECT count(*) FROM orphan WHERE sku_id NOT IN (SELECT sku_id FROM links)) AS unmatched, (SELECT sum(price_count)::BIGINT FROM orphan) AS prices")
 def _n7_summary(m):
     """Counts of the orphan views: one row each."""
     rows, coded = _orphans(m), _coded(m)
-    code, word = jobs.orphans_by_code(rows, coded).select("sku_id").distinct(), jobs.orphans_by_word(rows, coded).select("sku_id").distinct()
+    code, word = jobs.orphans_by_code(rows, coded).select("sku_id").distinct(), jobs.first_by_word(rows, coded).select("sku_id")
     got = rows.join(code.withColumn("c", F.lit(1)), "sku_id", "left").join(word.withColumn("w", F.lit(1)), "sku_id", "left")
     return got.agg(F.count(F.lit(1)).alias("orphans"), F.count("c").alias("by_code"), F.count("w").alias("by_word"), F.count_if(F.col("c").isNull() & F.col("w").isNull()).alias("unmatched"), F.sum("price_count").alias("prices"))
 
@@ -172,7 +172,7 @@ def _n7_summary(m):
 @on_model("E11_E18_orphan_links", f"+ {_ORPHANS} SELECT * FROM links")
 def _e18(m):
     rows, coded = _orphans(m), _coded(m)
-    return jobs.orphan_links(jobs.orphans_by_code(rows, coded), jobs.orphans_by_word(rows, coded)).select("sku_id", "product_id", "method", "status")
+    return jobs.orphan_links(jobs.orphans_by_code(rows, coded), jobs.first_by_word(rows, coded)).select("sku_id", "product_id", "method", "status")
 
 
 @on_model("W11_repeated_listings", f"+ {_ORPHANS} SELECT sku_id, store_id, product_key // 4 AS external_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_key // 4 ORDER BY last_seen_at DESC NULLS LAST, sku_id) AS rn FROM listing WHERE is_active) WHERE rn > 1")

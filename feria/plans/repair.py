@@ -13,6 +13,7 @@ from feria.operators import jobs, matching, repair
 from feria.plans.jobs import _CODES, code
 from feria.plans.queries import checkpoints, query
 from feria.sources import model
+from feria.streaming import runs
 
 
 def _products(m: model.Model):
@@ -37,7 +38,7 @@ _TEXT = ["name", "declared", "amount", "pack", "light", "context", "valid"]
 
 def _alike(left: str, right: str, p: str) -> str:
     """Table expressions that score all different texts of `left` against all of `right` (both id and _TEXT), as p_score with
-    l_ and r_ columns, by counting letters' pairs; light and pack are variants, packs are of six."""
+    l_ and r_ columns, by counting letters' pairs; light and pack are variants, packs are of six, and a pack without a size counts articles."""
     return f"""
 {p}said AS (SELECT name AS t FROM {left} UNION SELECT name FROM {right} UNION SELECT context FROM {left} WHERE context IS NOT NULL UNION SELECT context FROM {right} WHERE context IS NOT NULL),
 {p}gram AS (SELECT t, substr(t, i, 2) AS g, count(*) AS c FROM {p}said, range(1, 80) r(i) WHERE i < length(t) GROUP BY ALL),
@@ -49,7 +50,7 @@ def _alike(left: str, right: str, p: str) -> str:
 {p}base AS (
   SELECT l.*, r.*, n.d AS alike, CASE WHEN c.d IS NOT NULL THEN n.d * 0.75::DOUBLE + c.d * 0.25::DOUBLE ELSE n.d END AS base, least(l_amount, r_amount) / greatest(l_amount, r_amount) AS ratio
   FROM {p}l l JOIN {p}alike n ON n.named AND n.a = l_name JOIN {p}r r ON r_name = n.b LEFT JOIN {p}alike c ON NOT c.named AND c.a = l_context AND c.b = r_context),
-{p}factor AS (SELECT *, base * (CASE WHEN l_pack <> r_pack THEN 0.05::DOUBLE WHEN l_amount IS NULL AND r_amount IS NULL THEN 1.0::DOUBLE WHEN l_amount IS NULL OR r_amount IS NULL THEN 0.8::DOUBLE WHEN ratio >= 0.9 THEN 1.05::DOUBLE WHEN ratio < 0.5 THEN 0.05::DOUBLE ELSE 0.5::DOUBLE END) AS f FROM {p}base),
+{p}factor AS (SELECT *, base * (CASE WHEN l_pack <> r_pack THEN 0.05::DOUBLE WHEN l_pack AND (l_amount IS NULL OR r_amount IS NULL) THEN 1.0::DOUBLE WHEN l_amount IS NULL AND r_amount IS NULL THEN 1.0::DOUBLE WHEN l_amount IS NULL OR r_amount IS NULL THEN 0.8::DOUBLE WHEN ratio >= 0.9 THEN 1.05::DOUBLE WHEN ratio < 0.5 THEN 0.05::DOUBLE ELSE 0.5::DOUBLE END) AS f FROM {p}base),
 {p}score AS (
   SELECT *, floor((CASE WHEN l_declared <> r_declared THEN least(base, 0.2::DOUBLE) * 0.3::DOUBLE WHEN (l_light AND r_pack) OR (l_pack AND r_light) THEN least(base, 0.35::DOUBLE) * 0.3::DOUBLE WHEN l_declared = r_declared THEN least(f * 1.04::DOUBLE, 1.0::DOUBLE) ELSE f END) * 10000 + 0.5) / 10000 AS score FROM {p}factor)"""
 
@@ -193,3 +194,31 @@ def _diagnoses(spark, sf_dir):
     own = F.when(k % 3 == 0, F.ltrim("ean", F.lit("0"))).when(k % 3 == 1, F.col("ean"))
     skus = m.sku.join(coded, "product_key").select("sku_id", (k % 13 != 0).alias("is_active"), own.alias("ean"))
     return jobs.diagnosis(skus, m.link, m.price, coded)
+
+
+@query("T7_T9_normalized", f"""+ {_SIDES}
+SELECT id AS sku_id, name, CASE WHEN length(split_part(name, ' ', 1)) >= 3 THEN split_part(name, ' ', 1) ELSE split_part(name, ' ', 2) END AS brand, CASE WHEN id % 7 = 3 THEN amount / 1000 WHEN amount IS NULL AND pack THEN 6 ELSE amount END AS amount, CASE WHEN id % 7 = 3 THEN 'kg' WHEN amount IS NOT NULL THEN 'g' WHEN pack THEN 'un' END AS unit, CASE WHEN pack THEN 6 END::DOUBLE AS count, pack AS is_pack,
+  CASE WHEN pack THEN 'pack' WHEN light THEN 'light' ELSE '' END AS variants, 0 AS types FROM left_side""")
+def _normalized(spark, sf_dir):
+    """The normalised text of every listing: name, guessed brand, size, pack, variants."""
+    rows = _listings(model.from_star(spark, sf_dir))
+    return rows.select(F.col("id").alias("sku_id"), "n.name", "n.brand", "n.unit.amount", "n.unit.unit", F.col("n.pack.count").cast("double").alias("count"), "n.pack.is_pack", F.array_join("n.variants", ",").alias("variants"), F.size("n.types").alias("types"))
+
+
+@query("J13_contained_word", f"""+ {_SIDES}, word AS (SELECT id, split_part(name, ' ', 1) AS w FROM left_side WHERE id NOT IN (SELECT sku_id FROM link))
+SELECT id AS sku_id, count(*) AS products, min(product_id) AS least_id FROM word JOIN product p ON contains(p.name, w) GROUP BY id""")
+def _contained(spark, sf_dir):
+    """Products whose name contains the first word of a listing without a link, anywhere."""
+    m = model.from_star(spark, sf_dir)
+    orphans = _listings(m).join(m.link.select(F.col("sku_id").alias("id")), "id", "left_anti").select(F.col("id").alias("sku_id"), F.col("n.name").alias("text"))
+    return jobs.products_containing(orphans, m.product)
+
+
+@query("P16_run_states", """WITH run AS (SELECT o_custkey % 50 AS store_id, o_orderkey::VARCHAR AS run_id, o_orderdate::TIMESTAMP AS finished_at, o_orderstatus <> 'F' AS ok FROM orders),
+good AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY store_id ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS g FROM run),
+failed AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY store_id, g ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS failures FROM good)
+SELECT store_id, run_id, failures::INTEGER AS failures, failures >= 3 AS quarantined, strftime(CASE WHEN failures >= 3 THEN finished_at + INTERVAL 24 HOUR END, '%Y-%m-%d %H:%M:%S') AS until FROM failed""", base=False)
+def _run_states(spark, sf_dir):
+    """The failures in a row after every run, and until when its store rests; the stream's state says the same."""
+    rows = model.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("store_id"), F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("finished_at"), (F.col("o_orderstatus") != "F").alias("ok"))
+    return runs.run_history(rows).drop("at").withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))
