@@ -40,7 +40,7 @@ LATTICE_TASKS = 8
 #: Characters of a chunk, and of the texts that are cut at once: a task holds a chunk's units and some of its texts.
 CHUNK_CHARS, CUT_CHARS = 24_000_000, 800_000
 #: Bytes of texts that a task deals to chunks at once.
-BLOB_BYTES = 24_000_000
+BLOB_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -278,12 +278,13 @@ def blobs(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame
             table = pa.Table.from_batches(held)
             chunk = table["chunk"].to_numpy()
             order = np.argsort(chunk, kind="stable")
-            edges = np.flatnonzero(np.diff(chunk[order])) + 1
-            for own in np.split(order, edges):
-                part = table.take(pa.array(own)).combine_chunks()
+            table, chunk = table.take(pa.array(order)), chunk[order]  # once: what is of one chunk is then a slice
+            edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                part = table.slice(low, high - low)
                 raw, at = common.text_bytes(part["t"])
-                z = c.compress(raw.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk[own[0]]], pa.int64()), pa.array([part["i"].to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([z], pa.binary())], names=names)
+                z = c.compress(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[low]], pa.int64()), pa.array([part["i"].to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([z], pa.binary())], names=names)
 
         for batch in batches:
             for part in common.pieces(batch, "t"):
