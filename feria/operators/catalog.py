@@ -145,3 +145,27 @@ def product_history(m: Model, slug: str, window: str = "30", rules: Rules = RULE
     none = F.array().cast("array<struct<day: date, min_price: bigint, avg_price: bigint>>")
     return one.join(series, "product_id", "left").select("slug", F.lit(window).alias("window"), F.coalesce("series", none).alias("series"), "low", "high")
 
+
+def home(m: Model, items: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """What a start page shows, as section, store_id, product_id, figure and value: the overview (products, active stores,
+    prices of a day), every store's basket of all products that two stores offer (`basket`) and of the given items
+    (`fixed`), and the items' offers (`detail`). items: product_id. Fresh offers are found once and checkpointed."""
+    valid = prices.valid_prices(m, rules)
+    offers = prices.fresh_offers(valid, m.now, rules.fresh_days).checkpoint()
+    items = items.select("product_id").distinct()
+    none = F.lit(None).cast("long")
+
+    def shown(rows: DataFrame, section: str, figures: dict[str, Column], store: Column = none, product: Column = none) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("figure"), c.cast("double").alias("value")) for n, c in figures.items()]))
+        return rows.select(F.lit(section).alias("section"), store.cast("long").alias("store_id"), product.cast("long").alias("product_id"), each.alias("f")).select("section", "store_id", "product_id", "f.*")
+
+    one = lambda df, name: shown(df.agg(F.count(F.lit(1)).alias("n")), "overview", {name: F.col("n")})
+    day = valid.where(F.col("captured_at") >= prices.before(m.now, days=1))
+    figures = {c: F.col(c) for c in ("items", "missing", "total", "estimated", "pct_vs_average")}
+    parts = [one(m.store.where("is_active"), "stores"), one(day, "prices_24h")]
+    parts += [shown(prices.basket(offers, m.store), "basket", figures, F.col("store_id")), shown(prices.basket(offers, m.store, items), "fixed", figures, F.col("store_id"))]
+    parts.append(shown(offers.join(items, "product_id", "left_semi"), "detail", {"price": F.col("price")}, F.col("store_id"), F.col("product_id")))
+    got = one(m.product, "products")
+    for p in parts:
+        got = got.unionByName(p)
+    return got
