@@ -39,8 +39,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: A listing's id is its product's key times this and its store's key, which is below it at any size; products of up to
+#: 900 million keys fit (beyond them Spark raises an error).
+STORES = 10_000_000_000
+
+
 def sku_id() -> F.Column:
-    return F.col("l_partkey") * 100_000 + F.col("l_suppkey")
+    return F.col("l_partkey") * F.lit(STORES) + F.col("l_suppkey")
 
 
 def from_star(spark: SparkSession, sf_dir: str) -> Model:
@@ -56,7 +61,7 @@ def from_star(spark: SparkSession, sf_dir: str) -> Model:
         F.timestamp_add("SECOND", F.col("l_orderkey") % 86_400, F.col("l_shipdate").cast("timestamp")).alias("captured_at"),
         (F.col("l_discount") >= 0.05).alias("promo"), (F.col("l_returnflag") == "R").alias("suspect"),
     )
-    own = [F.expr("sku_id div 100000").alias("product_key"), (F.col("sku_id") % 100_000).alias("store_id")]
+    own = [F.expr(f"sku_id div {STORES}").alias("product_key"), (F.col("sku_id") % F.lit(STORES)).alias("store_id")]
     sku = rows.groupBy("sku_id").agg(F.max("captured_at").alias("last_seen_at")).select("sku_id", *own, "last_seen_at")
     m = F.col("sku_id") % 7
     status = F.when(m == 0, "pending_review").when(m == 1, "rejected").when(m == 2, "confirmed").otherwise("auto")
@@ -71,7 +76,7 @@ def from_star(spark: SparkSession, sf_dir: str) -> Model:
     price = flat.select("sku_id", "captured_at", "k.promo", "k.r.price", "k.r.suspect", "corrected")
     correction = both.where("corrected").select("sku_id", "captured_at")
     linked = F.col("sku_id") % 11 != 0
-    listed = price.select("*", F.when(linked, F.expr("sku_id div 100000")).alias("product_id"), F.when(linked, status).alias("status"), own[1])
+    listed = price.select("*", F.when(linked, F.expr(f"sku_id div {STORES}")).alias("product_id"), F.when(linked, status).alias("status"), own[1])
     clock = lambda: lineitem.agg(F.max("l_shipdate")).first()[0]  # noqa: E731  one value
     return Model(product, store, roots.unionByName(leaves), sku, link, price.drop("corrected"), correction, clock, listed)
 
@@ -85,7 +90,7 @@ category AS (
 product AS (SELECT p_partkey AS product_id, replace(p_name, ' ', '-') || '-' || p_partkey AS slug, p_name AS name, p_brand AS brand, (p_partkey % 25)::INTEGER AS category_id, p_size AS size FROM part),
 store AS (SELECT s_suppkey AS store_id, lower(replace(s_name, '#', '-')) AS slug, s_name AS name, s_suppkey % 10 <> 0 AS is_active FROM supplier),
 item AS (
-  SELECT l_partkey * 100000 + l_suppkey AS sku_id, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT AS price,
+  SELECT l_partkey * 10000000000 + l_suppkey AS sku_id, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT AS price,
     l_shipdate::TIMESTAMP + to_seconds(l_orderkey % 86400) AS captured_at, l_discount >= 0.05 AS promo, l_returnflag = 'R' AS suspect FROM lineitem),
 sku AS (SELECT sku_id, any_value(l_partkey) AS product_key, any_value(l_suppkey) AS store_id, max(captured_at) AS last_seen_at FROM item GROUP BY sku_id),
 link AS (
