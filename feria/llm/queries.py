@@ -20,6 +20,7 @@ QUERIES = {
     "op9_url_filter": url_filter.query,
 }
 ORACLES = {
+    "op11_spelling": spelling.ORACLE,
     "op12_decontaminate": decontaminate.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
     "op2_stream_dedup": stream_dedup.ORACLE,

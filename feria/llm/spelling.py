@@ -307,3 +307,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op11: the words of all `documents`, of which one occurrence in 97 has a slip, and their forms."""
     common.tune(spark)
     return grouped(word_counts(common.load(spark, sf_dir, "documents"), thin=97))
+
+
+#: The same over deletions of every word; the unsigned crc32 is folded over bytes by its table, which is made from its bits.
+ORACLE = """
+WITH RECURSIVE bits AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) t(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents WHERE text IS NOT NULL),
+told AS (SELECT w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs WHERE length(w) >= 5 GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda s, b: xor(tab[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) AS h
+  FROM told, bits),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, c FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word)))::INTEGER AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON b.d = a.d AND b.i = a.i AND b.word <> a.word
+  UNION SELECT a.word, b.word FROM cut a JOIN words b ON b.word = a.d UNION SELECT b.word, a.word FROM cut a JOIN words b ON b.word = a.d),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -n, other := other)) AS b FROM near JOIN (SELECT word AS other, n FROM words) USING (other) GROUP BY word),
+formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * n THEN b.other END AS form, CASE WHEN -b.m >= 2 * n THEN -b.m END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk ON walk.word = f.word WHERE walk.at IN (SELECT word FROM formed WHERE form IS NULL)
+"""
