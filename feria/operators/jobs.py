@@ -60,13 +60,51 @@ def conflicts(links: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 
 def rematched(conflicting: DataFrame, matches: DataFrame) -> DataFrame:
-    """What becomes of conflicting links: sku_id, product_id and status. `matches` is of `matching.match`. A clear match
-    takes the link over, else it waits for review."""
-    rows = conflicting.join(matches.select(F.col("left_id").alias("sku_id"), "right_id", F.col("status").alias("found")), "sku_id", "left")
-    clear = F.coalesce(F.col("found") == "auto", F.lit(False))
+    """What becomes of conflicting links: sku_id, product_id and status. `matches` is of `matching.match`. Another product with
+    the listing's code, or a clear match by text, takes the link over; else, and where the best product is the one that it
+    conflicts with, it waits for review."""
+    rows = conflicting.join(matches.select(F.col("left_id").alias("sku_id"), "right_id", (F.col("by_ean") | (F.col("status") == "auto")).alias("found")), "sku_id", "left")
+    clear = F.coalesce(F.col("found") & (F.col("right_id") != F.col("product_id")), F.lit(False))
     return rows.select("sku_id", F.when(clear, F.col("right_id")).otherwise(F.col("product_id")).alias("product_id"), F.when(clear, "auto").otherwise("pending_review").alias("status"))
 
 
+def consolidated(products: DataFrame, links: DataFrame, least_name: float = 0.86, least_score: float = 0.8, sure_name: float = 0.93) -> DataFrame:
+    """product_id and keep_id of every product of a group of equal articles; the one that stays has most links, then the
+    longest name, then the least id.
+
+    `products` has product_id, n (`text.normalized`), declared (brand or null), context (or null), unit_amount and unit_type
+    (or null); `links` product_id, store_id and status. Two products are one article if they have the same size of their own
+    and the same brand (or none), no store sells both, their names are alike, the later one scores well as the earlier one's
+    match, and sizes in both names are equal (in one name only: the names are nearly the same). Groups are what such pairs
+    connect. Products that are equal in all this and in their stores are compared as one, and only names that a bound on
+    their likeness lets meet are compared at all (`matching.alike_names`), so no bucket is a list of all its pairs.
+    """
+    live = links.where("status != 'rejected'").select("product_id", "store_id")
+    sold = live.groupBy("product_id").agg(F.sort_array(F.collect_set("store_id")).alias("stores"))
+    size = F.when(F.col("unit_amount") != 0, F.concat_ws(":", "unit_type", F.round(F.col("unit_amount") * 1000).cast("long").cast("string")))
+    size = F.when(F.col("unit_type").isNotNull(), size)
+    rows = products.select("product_id", "n", "declared", "context", size.alias("size")).join(sold, "product_id", "left").withColumn("stores", F.coalesce("stores", F.array().cast(sold.schema["stores"].dataType)))
+    rows = rows.withColumn("bucket", F.to_json(F.struct("size", F.coalesce("declared", "n.brand").alias("brand")))).withColumn("key", F.to_json(F.struct("n", "declared", "context", "size", "stores"))).checkpoint()
+    fields = ["n", "declared", "context", "size", "stores", "bucket"]
+    groups = rows.groupBy("key").agg(F.min("product_id").alias("lo"), F.max("product_id").alias("hi"), *[F.first(c).alias(c) for c in fields]).checkpoint()
+    names = groups.select(F.col("n.name").alias("name")).distinct()
+    names = matching.alike_names(names, names, least_name)
+    a, b = (groups.select(F.col("n.name").alias(f"{s}_name"), "bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("lo", "hi", "n", "declared", "context", "size", "stores")]) for s in ("left", "right"))
+    pairs = a.join(names, "left_name").join(b, ["right_name", "bucket"]).where("left_lo < right_hi").where(~F.arrays_overlap("left_stores", "right_stores"))
+    unit_a, unit_b = F.col("left_n.unit"), F.col("right_n.unit")
+    has_a, has_b = (u["unit"].isNotNull() | u["amount"].isNotNull() for u in (unit_a, unit_b))
+    equal = F.coalesce((unit_a["unit"] == unit_b["unit"]) & (F.col("left_size") == F.col("right_size")) & (unit_a["amount"] == unit_b["amount"]) & (unit_a["amount"] != 0), F.lit(False))
+    pairs = pairs.where(F.when(has_a & has_b, equal).when(has_a | has_b, F.col("alike") >= sure_name).otherwise(True))
+    score = matching.semantic_score(
+        F.col("left_n"), F.col("right_n"), name=F.col("alike"), context=F.when(F.col("left_context").isNotNull() & F.col("right_context").isNotNull(), text.dice(F.col("left_context"), F.col("right_context"))),
+        other_brand=F.col("left_declared") != F.col("right_declared"), same_brand=F.col("left_declared") == F.coalesce("right_declared", "right_n.brand"),
+    )
+    nodes = matching.min_labels(pairs.where(score >= least_score).select(F.col("left_lo").alias("a"), F.col("right_lo").alias("b")))
+    of = groups.select("key", "lo").join(nodes.select(F.col("node").alias("lo"), F.col("component").alias("group")), "lo").select("key", "group")
+    members = rows.join(of, "key").select("group", "product_id", F.col("n.name").alias("name")).checkpoint()
+    return members.join(matching.keepers(members, live), "group").select("product_id", "keep_id")
+
+
 def other_sizes(products: DataFrame, links: DataFrame, least: float = 0.95) -> DataFrame:
     """Links whose size is not their product's: sku_id, product_id and reason (scale or size).
 

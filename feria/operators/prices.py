@@ -143,13 +143,14 @@ def basket(offers: DataFrame, stores: DataFrame, products: DataFrame | None = No
     per = offers.groupBy("product_id", "store_id").agg(F.min("price").alias("price"))
     if products is not None:
         per = per.join(products, "product_id", "left_semi")
-    ref = per.groupBy("product_id").agg(F.sum("price").alias("s"), F.count(F.lit(1)).alias("n"))
+    ref = per.groupBy("product_id").agg(F.sum("price").alias("s"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("store_id", "price")).alias("offers"))
     if products is None:
         ref = ref.where("n >= 2")
-    ref = ref.select("product_id", rounded_avg(F.col("s"), F.col("n")).alias("ref"))
-    whole = ref.agg(F.count(F.lit(1)).alias("items"), F.sum("ref").alias("ref_total"))  # one row
+    # a product's offers travel with its reference, which counts once among all items: at its first offer
+    rows = ref.select(rounded_avg(F.col("s"), F.col("n")).alias("ref"), F.posexplode("offers").alias("at", "offer"))
+    own = rows.groupBy("offer.store_id").agg(F.count(F.lit(1)).alias("own"), F.sum("offer.price").alias("own_total"), F.sum("ref").alias("own_ref"), F.count_if(F.col("at") == 0).alias("n_first"), F.sum(F.when(F.col("at") == 0, F.col("ref"))).alias("first_ref"))
+    whole = own.agg(F.coalesce(F.sum("n_first"), F.lit(0)).alias("items"), F.sum("first_ref").alias("ref_total"))  # one row, of a row a store
     # own prices are added up for each store, and the rest is what the references of the others come to
-    own = per.join(ref, "product_id").groupBy("store_id").agg(F.count(F.lit(1)).alias("own"), F.sum("price").alias("own_total"), F.sum("ref").alias("own_ref"))
     got = stores.select("store_id").join(own, "store_id", "inner" if products is not None else "left").crossJoin(F.broadcast(whole))
     own_n, own_total, own_ref = (F.coalesce(F.col(c), F.lit(0)) for c in ("own", "own_total", "own_ref"))
     estimated = F.col("ref_total") - own_ref

@@ -250,7 +250,7 @@ def _m9(spark, sf_dir):
 
 
 @query("M12_difference_hash", """WITH g AS (SELECT p_partkey, list_transform(range(72), lambda i: (p_partkey * (i + 7) * 31 + i * i) % 251) AS px FROM part)
-SELECT p_partkey, string_agg(format('{:x}', list_sum(list_transform(range(4), lambda b: CASE WHEN px[(d * 4 + b) // 8 * 9 + (d * 4 + b) % 8 + 1] < px[(d * 4 + b) // 8 * 9 + (d * 4 + b) % 8 + 2] THEN (8 >> b) ELSE 0 END))::BIGINT), '' ORDER BY d) AS hash FROM g, range(16) r(d) GROUP BY 1""", base=False)
+SELECT p_partkey, string_agg(format('{:x}', list_sum(list_transform(range(4), lambda b: CASE WHEN px[(d * 4 + b) // 8 * 9 + (d * 4 + b) % 8 + 1] >= px[(d * 4 + b) // 8 * 9 + (d * 4 + b) % 8 + 2] THEN (8 >> b) ELSE 0 END))::BIGINT), '' ORDER BY d) AS hash FROM g, range(16) r(d) GROUP BY 1""", base=False)
 def _m12(spark, sf_dir):
     pixels = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (F.col("p_partkey") * (i + 7) * 31 + i * i) % 251)
     return model.read(spark, sf_dir, "part").select("p_partkey", text.difference_hash(pixels).alias("hash"))
@@ -285,6 +285,11 @@ def _f18_deals(spark, sf_dir):
     return jobs.may_read(model.from_star(spark, sf_dir).store, deals(spark, sf_dir))[1].select("deal_id")
 
 
+@on_model("F18_anonymous_stores", "SELECT store_id FROM store WHERE is_active")
+def _f18_stores(m):
+    return jobs.may_read(m.store, m.store.sparkSession.createDataFrame([], "status string"))[0].select("store_id")
+
+
 @on_model("O16_pending_matches", "SELECT sku_id, product_id, method FROM link JOIN product USING (product_id) WHERE status = 'pending_review' ORDER BY method, slug, sku_id LIMIT 200")
 def _o16(m):
     rows = m.link.where("status = 'pending_review'").join(m.product.select("product_id", "slug"), "product_id")

@@ -222,3 +222,53 @@ def _run_states(spark, sf_dir):
     """The failures in a row after every run, and until when its store rests; the stream's state says the same."""
     rows = model.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("store_id"), F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("finished_at"), (F.col("o_orderstatus") != "F").alias("ok"))
     return runs.run_history(rows).drop("at").withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))
+
+
+#: Products with a letter less, without a size or brand of their own or in their text; links make the stores, each
+#: of which has eight branches that a product's key tells.
+_TWINS = """
+side AS (SELECT product_id AS id, CASE WHEN product_id % 3 = 1 THEN left(name, length(name) - 1) ELSE name END AS name, CASE WHEN product_id % 5 <> 0 THEN 'b' || (product_id % 2) END AS declared, CASE WHEN product_id % 7 <> 5 THEN 100.0::DOUBLE END AS amount,
+  false AS pack, false AS light, NULL::VARCHAR AS context, false AS valid, CASE WHEN product_id % 11 <> 0 THEN 100 END AS own FROM product),
+at_store AS (SELECT l.product_id AS id, list(DISTINCT k.store_id * 8 + l.product_id % 8) AS stores, count(*) AS links FROM link l JOIN sku k USING (sku_id) WHERE l.status <> 'rejected' GROUP BY 1),
+full_side AS (SELECT s.*, coalesce(declared, split_part(name, ' ', 1)) AS brand, coalesce(stores, []) AS stores, coalesce(links, 0) AS links FROM side s LEFT JOIN at_store USING (id))"""
+
+
+@query("E14_consolidated", f"""+ RECURSIVE {_TWINS}, {_alike('side', 'side', 'c_')},
+twin AS (SELECT a.id AS a, b.id AS b FROM full_side a JOIN c_score s ON {_is('a', 's.l')} JOIN full_side b ON {_is('b', 's.r')}
+  WHERE a.id < b.id AND a.brand = b.brand AND a.own IS NOT DISTINCT FROM b.own AND NOT list_has_any(a.stores, b.stores) AND alike >= 0.86 AND score >= 0.8
+    AND CASE WHEN a.amount IS NOT NULL AND b.amount IS NOT NULL THEN a.own IS NOT NULL AND a.amount = b.amount WHEN a.amount IS NULL AND b.amount IS NULL THEN true ELSE alike >= 0.93 END),
+both_ways AS (SELECT a, b FROM twin UNION SELECT b, a FROM twin),
+reach AS (SELECT a AS node, a AS top FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.top = both_ways.a),
+family AS (SELECT node, min(top) AS family FROM reach GROUP BY node)
+SELECT node AS product_id, first_value(node) OVER (PARTITION BY family ORDER BY links DESC, length(name) DESC, node) AS keep_id FROM family JOIN full_side ON id = node""")
+def _consolidated(spark, sf_dir):
+    """Products that are one article, and which of them stays."""
+    checkpoints(spark)
+    m = model.from_star(spark, sf_dir)
+    k = F.col("product_id")
+    name = F.when(k % 3 == 1, F.substring("name", F.lit(1), F.length("name") - 1)).otherwise(F.col("name"))
+    rows = m.product.select(
+        k, text.normalized(F.concat_ws(" ", name, F.when(k % 7 != 5, "100 gr"))).alias("n"), F.when(k % 5 != 0, F.concat(F.lit("b"), (k % 2).cast("string"))).alias("declared"), F.lit(None).cast("string").alias("context"),
+        F.when(k % 11 != 0, 100.0).alias("unit_amount"), F.when(k % 11 != 0, "g").alias("unit_type"),
+    )
+    return jobs.consolidated(rows, m.link.join(m.sku.select("sku_id", "store_id"), "sku_id").select("product_id", (F.col("store_id") * 8 + k % 8).alias("store_id"), "status"))
+
+
+_PACKED = _SIDES.replace("p.name AS name, brand AS declared, size::DOUBLE AS amount, false AS pack", "CASE WHEN product_id % 3 = 0 THEN p.name || ' pack' ELSE p.name END AS name, p.name AS plain, brand AS declared, size::DOUBLE AS amount, product_id % 3 = 0 AS pack")
+_PACKED = _PACKED[: _PACKED.index("left_side AS")] + _PACKED[_PACKED.index("left_side AS") :].replace("name", "plain").replace("AS plain,", "AS name,")
+
+
+@query("E15_rematched", f"""+ {_PACKED},
+odd AS (SELECT l.sku_id, l.product_id, s.* FROM link l JOIN left_side s ON s.id = l.sku_id JOIN right_side r ON r.id = l.product_id WHERE l.status IN ('auto', 'confirmed') AND s.pack <> r.pack),
+{_matched('odd', 'right_side', 'o_')}
+SELECT sku_id, CASE WHEN (by_ean OR status = 'auto') AND right_id <> product_id THEN right_id ELSE product_id END AS product_id, CASE WHEN (by_ean OR status = 'auto') AND right_id <> product_id THEN 'auto' ELSE 'pending_review' END AS status FROM odd JOIN o_matched ON left_id = id""")
+def _rematched(spark, sf_dir):
+    """Links between a pack and a single article: to another product, or to review."""
+    checkpoints(spark)
+    m = model.from_star(spark, sf_dir)
+    described = text.normalized(F.concat_ws(" ", "name", F.when(F.col("id") % 3 == 0, "pack x 6"), F.concat(F.col("size").cast("string"), F.lit(" gr"))))
+    products = _products(m).drop("n", "slug", "name").join(m.product.select(F.col("product_id").alias("id"), "name", "size"), "id").withColumn("n", described).drop("name", "size").checkpoint()
+    listings = _listings(m).drop("store_id").checkpoint()
+    links = m.link.select("sku_id", "product_id", "status").join(listings.select(F.col("id").alias("sku_id"), F.col("n").alias("sku_n")), "sku_id").join(products.select(F.col("id").alias("product_id"), F.col("n").alias("product_n")), "product_id")
+    odd = jobs.conflicts(links).checkpoint()
+    return jobs.rematched(odd, matching.match(listings.join(odd.select(F.col("sku_id").alias("id")), "id", "left_semi"), products))

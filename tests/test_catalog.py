@@ -31,8 +31,9 @@ def test_rematch(spark):
     n = lambda c: text.normalized(F.col(c))
     rows = spark.createDataFrame([(1, 10, "auto", "gaseosa cola zero", "gaseosa cola light"), (2, 10, "auto", "gaseosa cola light", "gaseosa cola light"), (3, 11, "confirmed", "agua pack x 6", "agua"), (4, 11, "rejected", "agua pack x 6", "agua")], "sku_id long, product_id long, status string, a string, b string")
     bad = jobs.conflicts(rows.withColumn("sku_n", n("a")).withColumn("product_n", n("b")))
-    matches = spark.createDataFrame([(1, 12, "auto"), (3, 13, "pending_review")], "left_id long, right_id long, status string")
-    assert sorted(map(tuple, jobs.rematched(bad, matches).collect())) == [(1, 12, "auto"), (3, 11, "pending_review")]
+    for found, becomes in (((13, "pending_review", False), (11, "pending_review")), ((13, "pending_review", True), (13, "auto")), ((11, "auto", True), (11, "pending_review"))):
+        matches = spark.createDataFrame([(1, 12, "auto", False), (3, *found)], "left_id long, right_id long, status string, by_ean boolean")
+        assert sorted(map(tuple, jobs.rematched(bad, matches).collect())) == [(1, 12, "auto"), (3, *becomes)]
 
 
 def test_merge_by_code_skips_products_of_one_store(spark):
@@ -66,6 +67,32 @@ def test_embedded_cache(spark):
     assert (got["8"].amount, got["8"].ean) == (7.0, None)
 
 
+def test_references_of_a_cache(spark):
+    """References at every depth: chains of up to five are followed, longer ones and circles give nothing, nor do entries that
+    lack; specifications give the unit before the article does."""
+    ref = lambda to: {"type": "id", "id": to}
+    chain = lambda name, n, end: {f"{name}{i}": ref(f"{name}{i + 1}") for i in range(1, n)} | {f"{name}{n}": end}
+    offer = {"Price": "10.5", "ListPrice": 9}
+    cache = {
+        "Product:tea": {"productId": "77", "productName": "Tea", "brand": "Own", "linkText": "tea-now", "description": " ", "metaTagDescription": "<b>Good</b>  tea", "specificationGroups": [ref("none"), ref("g1")], "priceRange": ref("range")},
+        "g1": ref("g2"), "g2": {"specifications": [ref("s0"), ref("s1")]}, "s0": {"name": "Other", "values": {"type": "json", "json": ["x"]}}, "s1": {"name": parsers.UNIT_SPEC, "values": {"type": "json", "json": ["250 g"]}},
+        "range": {"sellingPrice": {"lowPrice": 0, "highPrice": 8.5}, "listPrice": {"lowPrice": 9}},
+        "Product:tea.items({\"f\":1}).0": {"itemId": "a", "name": "Tea a", "measurementUnit": "un", "sellers": [{"commertialOffer": {"Price": 0}}, ref("x1")], "images": [ref("i1")]},
+        "Product:tea.items({\"f\":1}).1": {"itemId": "b", "name": "Tea b", "sellers": [ref("y1")]},
+        "Product:tea.items({\"f\":1}).2": {"itemId": "c", "sellers": [ref("z1")], "images": [{"imageUrl": "http://i/c"}]},
+        "Product:gone.items({}).0": {"itemId": "d", "name": "no product"}, "Product:tea.items({}).x": {"itemId": "e", "name": "no place"},
+        **chain("x", 5, {"commertialOffer": ref("o1")}), **chain("o", 5, offer), **chain("y", 6, {"commertialOffer": offer}), "z1": ref("z2"), "z2": ref("z1"), **chain("i", 3, {"imageUrl": "~/a.png"}),
+    }
+    small = {"Product:other": {}, "Product:other.items({}).0": {"itemId": "z", "name": "in the smaller script"}}
+    html = f"<script>{json.dumps(small)}</script><script>w={json.dumps(cache)};</script><script>{{broken {'x' * 9000}}}</script>"
+    got = {r.externalId: r for r in parsers.embedded_cache(spark.createDataFrame([(html,)], "html string"), "https://shop/").collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert [(got[k].amount, got[k].list_price, got[k].listOrPromo) for k in "abc"] == [(10.5, 10.5, "list"), (8.5, 9.0, "promo"), (8.5, 9.0, "promo")]
+    a = got["a"]
+    assert (a.productId, a.brand, a.url, a.description, a.unitLabel, a.imageUrl, a.name) == ("77", "Own", "https://shop/tea-now/p", "Good tea", "250 g", "https://shop/a.png", "Tea a")
+    assert (got["c"].name, got["c"].imageUrl) == ("Tea", "http://i/c")
+
+
 def test_dehydrated(spark):
     """The state as pages have it, under any number, with quotes and backslashes in names; pages without it, or with none."""
     data = {"queries": [{"state": {"data": {"user": 1}}}, {"state": {"data": {"merchants": [{"slug": "b", "name": "Ñandú \"el\" \\ dos", "plan_slug": "PRO", "product_count": 3}, {"slug": "a", "name": "Nadie"}, {"slug": "", "name": "x"}]}}}]}
@@ -107,5 +134,7 @@ def test_sync_modes(spark, tmp_path):
 def test_money_and_labels(spark):
     value = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert [value(text.money(F.lit(n).cast("long"))) for n in (5, 159099, -1234567890)] == ["$ 0,05", "$ 1.590,99", "-$ 12.345.678,90"]
-    assert value(text.difference_hash(F.array(*[F.lit(i % 9) for i in range(72)]))) == "f" * 16
+    assert value(text.difference_hash(F.array(*[F.lit(-(i % 9)) for i in range(72)]))) == "f" * 16
+    assert value(text.difference_hash(F.array(*[F.lit(i % 9) for i in range(72)]))) == "0" * 16
+    assert value(text.difference_hash(F.array(*[F.lit(7)] * 72))) == "f" * 16
     assert value(text.difference_hash(F.array(F.lit(1)))) is None
