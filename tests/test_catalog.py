@@ -103,8 +103,10 @@ def test_dehydrated(spark):
 
 
 def test_flat_and_listing_payloads(spark):
-    flat = json.dumps([{"id": "1", "name": "n", "price": 2.5, "barcode": "12"}, {"id": "2", "name": "m", "price": 0.0}])
-    assert [(r.id, r.barcode) for r in parsers.flat(spark.createDataFrame([(flat,)], "json string")).collect()] == [("1", None)]
+    articles = [{"id": 1, "name": " n ", "price": 2.5, "barcode": "12", "size": "1 kg", "category": "c", "isOffer": True, "promotion": "2x1", "imageUrl": "/i.png"}, {"id": "2", "name": "m", "price": 0.0}, {"id": "3", "name": "o", "price": 4, "barcode": "4006381333931", "imageUrl": "http://i"}]
+    for payload in (articles, {"products": articles}):
+        got = {r.externalId: r for r in parsers.flat(spark.createDataFrame([(json.dumps(payload),), ("{}",)], "json string"), "https://shop").collect()}
+        assert {k: (r.rawDescription, r.ean, r.categoryPath, r.unitLabel, tuple(r.price)[:3], r.imageUrl) for k, r in got.items()} == {"1": ("n", None, ["c"], "1 kg", (2.5, "promo", "2x1"), "https://shop/i.png"), "3": ("o", "4006381333931", None, None, (4.0, "list", None), "http://i")}
     promo = [{"percentageOff": 0.0, "unitPrice": "1"}, {"percentageOff": 25.0, "unitPrice": "1762.50", "totalPrice": "3525", "content": "25% off"}]
     article = lambda i, name, shown, price, **more: {"id": i, "description": name, "presentation": shown, "brand": " LA  MARCA ", "barcode": "7790070431486", "price": price, "promotions": [], "category": {"id": 15040, "description": "LARGO FINO", "parentId": 10043}, "featuredImage": {"path": "https://img/x.png"}} | more
     content = [article(911205, "ARROZ  LARGO FINO", " 1kg", 2050, priceByUnity=2050), article(911208, "ARROZ PARBOIL", "1kg", 2350, promotions=promo), article(913471, "ARROZ", "500 grs", None, strPrice="900.50", barcode="1"), article(None, "x", "", 1), article(7, " ", "", 1), article(8, "y", "", 0)]

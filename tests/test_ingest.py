@@ -87,10 +87,45 @@ def test_highest_by_user_as_stream(spark, tmp_path):
 
 
 def test_search_payload(spark):
-    offers = [{"offer": {"Price": 10.0, "ListPrice": 12.0, "AvailableQuantity": 0, "IsAvailable": True}}, {"offer": {"Price": 11.0, "ListPrice": 12.0, "AvailableQuantity": 3, "IsAvailable": True}}]
-    page = [{"productName": "x", "categories": ["/Almacen/Arroz/"], "description": "<b>a</b>  b", "items": [{"itemId": "9", "ean": "123", "sellers": offers}]}, {"productName": "y", "items": []}]
-    got = parsers.search(spark.createDataFrame([(json.dumps(page),)], "json string")).collect()
-    assert [(r.externalId, r.amount, r.listOrPromo, r.ean, r.categoryPath, r.description) for r in got] == [("9", 11.0, "promo", None, ["Almacen", "Arroz"], "a b")]
+    """As sources send it: offers by seller, numbers as numbers or texts, no word on availability, empty members."""
+    offer = lambda price, stock, **more: {"commertialOffer": {"Price": price, "AvailableQuantity": stock, **more}}
+    sellers = [{}, {"commertialOffer": None}, offer(10.0, 0, IsAvailable=True), offer(9, 4, IsAvailable=False), offer("11.5", "3", ListPrice="12"), offer(1, 5)]
+    page = [
+        {"productId": "1", "productName": "x", "linkText": "a b", "categories": ["/Almacen/ Arroz/"], "description": " ", "metaTagDescription": "<b>a</b>  b", "brand": "", "items": [{"itemId": "9", "nameComplete": " x 1 ", "ean": " 4006381333931 ", "measurementUnit": "KG", "unitMultiplier": "0.5", "images": [{"imageUrl": "~/i.png"}], "sellers": sellers}]},
+        {"productId": "2", "productName": "y", "items": [{"itemId": "8", "ean": "123", "measurementUnit": "un", "sellers": [offer(5, 1, IsAvailable=None, ListPrice=4)]}, {"itemId": "7"}]},
+        {"productId": "3", "productName": "y", "items": []}, {"productId": "4", "items": [{"itemId": "6", "sellers": [offer(5, 1)]}]}, {"productName": "no id", "items": [{"itemId": "5", "sellers": [offer(5, 1)]}]}, None,
+    ]
+    got = {r.externalId: r for r in parsers.search(spark.createDataFrame([(json.dumps(page),), ("broken",), (None,)], "json string"), "https://shop").collect()}
+    assert set(got) == {"9", "8"}
+    a, b = got["9"], got["8"]
+    assert (a.productId, a.name, a.amount, a.list_price, a.listOrPromo, a.ean, a.unitLabel, a.unitMultiplier, a.imageUrl, a.categoryPath, a.description, a.brand, a.url) == ("1", "x 1", 11.5, 12.0, "promo", "4006381333931", "0,5 kg", 0.5, "https://shop/i.png", ["Almacen", "Arroz"], "a b", None, "https://shop/a%20b/p")
+    assert (b.name, b.amount, b.list_price, b.listOrPromo, b.ean, b.unitLabel, b.categoryPath, b.url) == ("y", 5.0, 5.0, "list", None, None, None, "https://shop/2/p")
+
+
+def test_decimal_commas_payload(spark):
+    articles = [
+        {"cod_interno": " 12 ", "descripcion": "Yerba  Ñandú, suave", "marca_desc": "La Marca", "precio": "1234,50", "existe_promo": "1", "precio_unitario": "2,5 x", "gramaje": "0,5", "unimed_desc": "KG", "imagen": "x.png", "categoria_inicial_desc": "A", "categoria_secundaria_desc": " ", "categoria_terciaria_desc": "C"},
+        {"cod_interno": "13", "descripcion": "Agua", "precio": "7", "existe_promo": "no", "categoria_desc": "B", "gramaje": "1", "imagen": "http://i"},
+        {"cod_interno": "14", "descripcion": "free", "precio": "0"}, {"cod_interno": None, "descripcion": "x", "precio": "1"}, {"cod_interno": "15", "precio": "1"},
+    ]
+    got = {r.externalId: r for r in parsers.decimal_commas(spark.createDataFrame([(json.dumps({"estado": 1, "datos": {"articulos": articles}}),), ("{}",), (None,)], "json string"), "https://shop").collect()}
+    assert set(got) == {"12", "13"}
+    a, b = got["12"], got["13"]
+    assert (a.url, a.rawDescription, a.description, a.brand, a.categoryPath, a.unitLabel, tuple(a.price), a.imageUrl) == ("https://shop/producto/yerba-nandu-suave/12", "Yerba Ñandú, suave 0,5 KG", "La Marca Yerba Ñandú, suave 0,5 KG", "La Marca", ["A", "C"], "0,5 KG", (1234.5, "promo", None, 2.5), None)
+    assert (b.rawDescription, b.categoryPath, b.unitLabel, tuple(b.price), b.imageUrl) == ("Agua", ["B"], None, (7.0, "list", None, None), "http://i")
+
+
+def test_inline_products(spark):
+    rows = [
+        {"id": "1", "foreign_id": " ", "ean": "4006381333931", "name": " Arroz ", "extended_description": "largo  fino", "brand": "La  Marca", "super": "Almacen", "webItem": None, "category": "Arroz", "price": "989.26", "originalPrice": 1200, "imagesList": [{"name": ""}, {"name": "img/a.png"}]},
+        {"id": "2", "foreign_id": "x 9", "name": "Sal", "price": 5, "originalPrice": 5, "imagesList": [{"name": "/i.png"}]}, {"id": "3", "name": "free", "price": "0"}, {"id": "4", "price": 1}, {"name": "no id", "price": 1},
+    ]
+    html = f"<script>var aProducts = {json.dumps(rows)};</script>"
+    got = {r.externalId: r for r in parsers.inline_products(spark.createDataFrame([(html,), ("none",), (None,)], "html string"), "https://shop/app/", label="Todo").collect()}
+    assert set(got) == {"1", "x 9"}
+    a, b = got["1"], got["x 9"]
+    assert (a.url, a.rawDescription, a.description, a.ean, a.brand, a.categoryPath, a.price.amount, a.price.listOrPromo, a.imageUrl) == ("https://shop/app/?action=detail&itemId=1", "Arroz largo fino", "largo  fino", "4006381333931", "La Marca", ["Almacen", "Arroz"], 989.26, "promo", "https://shop/app/img/a.png")
+    assert (b.url, b.rawDescription, b.categoryPath, b.price.listOrPromo, b.imageUrl) == ("https://shop/app/?action=detail&itemId=x%209", "Sal", ["Todo"], "list", "https://shop/i.png")
 
 
 def test_inline_array(spark):
