@@ -1,6 +1,8 @@
-"""An FM-index over short word sequences: suffix order, and a wavelet matrix with packed bits for backward search.
+"""A compressed FM-index over short word sequences: a wavelet matrix with packed bits for backward search.
 
-All searches advance together: a step takes one symbol further to the left in each of many patterns.
+The order of the suffixes is needed to build the matrix and is not kept: of each suffix one bit stays, whether its sequence
+stands for more than one. All searches advance together: a step takes one symbol further to the left in each of many
+patterns.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ class Bits:
         self.words = packed.view("<u8").astype(np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.int32)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
     def ones(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
@@ -44,11 +49,14 @@ class Bits:
 
 
 class FMIndex:
-    """Index of a text of symbols 0 to size - 1. Patterns up to `depth` symbols are found exactly."""
-
-    def __init__(self, text: np.ndarray, size: int, depth: int = 64) -> None:
-        self.order = suffix_order(text, depth)
-        last = text[self.order - 1]  # the symbol before each suffix, cyclic
+    """Index of a text of symbols 0 to size - 1, with a mark (a boolean) at each place or none. Patterns up to `depth` symbols
+    are found exactly."""
+
+    def __init__(self, text: np.ndarray, size: int, depth: int = 64, marks: np.ndarray | None = None) -> None:
+        order = suffix_order(text, depth)
+        self.marks = Bits(marks[order]) if marks is not None else None
+        last = text[order - 1]  # the symbol before each suffix, cyclic
+        del order
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))]).astype(np.int64)
         self.levels, self.shifts = [], range(max(1, int(size - 1).bit_length()) - 1, -1, -1)
         symbols = np.arange(size)
@@ -80,22 +88,22 @@ class FMIndex:
         return at[:n], at[n:]
 
 
-def repeated_ends(index: FMIndex, text: np.ndarray, begin: np.ndarray, windows: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_ends(index: FMIndex, text: np.ndarray, begin: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence text[begin : begin + windows + width - 1], the first and the last of its windows of `width`
-    symbols that occur at least twice in the text, an occurrence counting `weight` times (-1, -1: none).
+    symbols that occur at least twice in the text or once in a sequence that the index has marked (-1, -1: none).
 
-    A window is read from its right end; where the part read so far occurs once only, every window that holds this part
-    is out, so the search for the first goes on behind the part's start, and that for the last one window to the left.
+    This is what matching statistics say where they reach `width`: a window is read from its right end; where the part read
+    so far occurs once only, every window that holds this part is out, so the search for the first goes on behind the part's
+    start, and that for the last one window to the left.
     """
     n = len(begin)
-    owner = np.repeat(np.arange(n), np.diff(np.append(begin, len(text))))
     first, last = np.full(n, -1), np.full(n, -1)
 
     def twice(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         count = hi - lo
         ok = count >= 2
         one = np.flatnonzero(count == 1)
-        ok[one] = weight[owner[index.order[lo[one]]]] >= 2
+        ok[one] = index.marks.get(lo[one])
         return ok
 
     for found, forward in ((first, True), (last, False)):

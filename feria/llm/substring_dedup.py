@@ -188,10 +188,9 @@ def _search(rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
     known, text = np.unique(codes, return_inverse=True)
     text = text.astype(np.int64) + 1
     text[stops] = 0
-    index = FMIndex(text, len(known) + 1)
-    weight = np.array([r[4] for r in rows])
+    index = FMIndex(text, len(known) + 1, marks=np.repeat([r[4] > 1 for r in rows], sizes))
     windows = np.array([r[3] for r in rows])
-    first, last = repeated_ends(index, text, stops - sizes + 1, windows, weight, width)
+    first, last = repeated_ends(index, text, stops - sizes + 1, windows, width)
     at = np.flatnonzero(first >= 0)
     yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in at], pa.int64()), pa.array([rows[i][2] for i in at], pa.int64()), pa.array(first[at].astype(np.int32)), pa.array(last[at].astype(np.int32))], names=["anchor", "content", "first", "last"])
 
