@@ -143,35 +143,38 @@ def _counted(chunk: int, held: dict) -> Iterator[pa.RecordBatch]:
 
 
 def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """lang, gram and p for each of `grams`, from the trusted `counts` (lang, gram, n) of the highest order.
+    """lang, gram and p for each of `grams`, from the trusted `counts` (lang, gram, n) of the highest order; a written step.
 
     Lower orders count the different characters before a run. Discounts are Chen and Goodman's, from each order's and
-    language's runs that were seen once to four times.
+    language's runs that were seen once to four times. Each order's runs and probabilities are written before the next
+    ones are planned: the driver never holds the plan of all orders, which grows with their product.
     """
-    seen = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"))}
-    asked = {ORDER: grams.select("lang", "gram").distinct()}
+    key, c = ["lang", "gram"], F.col("c")
+    both = grams.select(*key, F.lit(None).cast("long").alias("c"), F.lit(True).alias("asked"))
+    both = both.unionByName(counts.select(*key, F.col("n").alias("c"), F.lit(False).alias("asked")))
+    runs = {ORDER: common.written(both.groupBy(*key).agg(F.max("c").alias("c"), F.max("asked").alias("asked")), f"runs-{ORDER}")}
     for k in range(ORDER - 1, 0, -1):
-        shorter = F.substring("gram", 2, k).alias("gram")
-        seen[k] = seen[k + 1].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("c"))
-        asked[k] = asked[k + 1].select("lang", shorter).distinct()
-    letters = seen[1].groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("p"))
-    lower = asked[1].join(letters, "lang", "left").select("lang", F.lit("").alias("gram"), F.coalesce("p", F.lit(1e-3)).alias("p")).distinct()
+        shorter = runs[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram"))
+        runs[k] = common.written(shorter.agg(F.nullif(F.count("c"), F.lit(0)).alias("c"), F.max("asked").alias("asked")), f"runs-{k}")
+    letters = F.when(F.count("c") > 0, 1.0 / (F.count("c") + 1)).otherwise(1e-3)
+    lower = runs[1].groupBy("lang").agg(letters.alias("p")).select("lang", F.lit("").alias("gram"), "p")
     for k in range(1, ORDER + 1):
-        c = F.col("c")
-        ns = seen[k].groupBy("lang").agg(*[F.count(F.when(c == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
+        seen, below = runs[k].where("c is not null"), lower
+        ns = seen.groupBy("lang").agg(*[F.count(F.when(c == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
         y = F.coalesce(F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)), F.lit(0.5))
         part = [F.greatest(F.lit(0.05), F.least(F.lit(float(i)) - 0.05, F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
         cut = ns.select("lang", *part)
         context = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
-        ctx = seen[k].groupBy("lang", context.alias("ctx")).agg(F.sum("c").alias("total"), *[F.count(F.when((c == i) if i < 3 else (c >= 3), 1)).alias(f"t{i}") for i in (1, 2, 3)])
+        ctx = seen.groupBy("lang", context.alias("ctx")).agg(F.sum("c").alias("total"), *[F.count(F.when((c == i) if i < 3 else (c >= 3), 1)).alias(f"t{i}") for i in (1, 2, 3)])
         suffix = F.substring("gram", 2, k - 1) if k > 1 else F.lit("")
-        rows = asked[k].withColumn("ctx", context).withColumn("suffix", suffix)
-        rows = rows.join(seen[k], ["lang", "gram"], "left").join(ctx, ["lang", "ctx"], "left").join(cut, "lang", "left")
-        rows = rows.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+        rows = runs[k].where("asked").withColumn("ctx", context).withColumn("suffix", suffix)
+        rows = rows.join(ctx, ["lang", "ctx"], "left").join(cut, "lang", "left")
+        rows = rows.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
         discount = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
         gamma = (F.col("d1") * F.col("t1") + F.col("d2") * F.col("t2") + F.col("d3") * F.col("t3")) / F.col("total")
         p = F.when(F.col("total").isNull(), F.col("below")).otherwise(F.coalesce((c - discount) / F.col("total"), F.lit(0.0)) + gamma * F.col("below"))
-        lower = rows.select("lang", "gram", p.alias("p"))
+        lower = common.written(rows.select("lang", "gram", p.alias("p")), f"run-probabilities-{k}")
+        common.discard(runs[k], *([below] if k > 1 else []))
     return lower
 
 
@@ -264,7 +267,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     seen = known.where("n > 0")
     if not known.where(F.col("lang") == POOL).isEmpty():
         seen = seen.where(F.col("lang") != POOL).unionByName(seen.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "gram", "n"))
-    p = common.written(probabilities(known, seen), "run-probabilities")
+    p = probabilities(known, seen)
     common.discard(known)
     model = counts.join(p, ["lang", "gram"]).select("chunk", F.lit(None).cast("long").alias("key"), "lang", "gram", (-F.log("p")).alias("cost"))
     side = model.unionByName(marks, allowMissingColumns=True)

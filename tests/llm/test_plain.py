@@ -160,3 +160,13 @@ def test_winnow_beside_plain():
     a, b = (set(map(int, winnow.fingerprints([t], 4, 5)[0][0])) for t in (texts[7], texts[8]))
     got = winnow.likeness(*(winnow.fingerprints([t], 4, 5)[0][0] for t in (texts[7], texts[8])))
     assert abs(got - len(a & b) / len(a | b)) < 1e-12
+
+
+def test_probabilities_keep_plans_small(spark, monkeypatch):
+    """No plan holds all orders: the driver's memory goes with the largest plan."""
+    plans, write = [], common.written
+    tree = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(common, "written", lambda df, name: plans.append(tree(df)) or write(df, name))
+    grams = spark.createDataFrame([("en", "abab", 2), ("en", "baba", 1), ("de", "aaaa", 0)], "lang string, gram string, n long")
+    plans.append(tree(quality.probabilities(grams, grams.where("n > 0"))))
+    assert max(p.count("Aggregate") for p in plans) <= 4 and max(p.count("Join") for p in plans) <= 3
