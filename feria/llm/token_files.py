@@ -28,8 +28,9 @@ PRE_TOKENIZERS = [
     {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
-#: Lower-case ASCII letters and ASCII signs but the apostrophe: those rules part them in any case.
-_SPLIT = re.compile(rb"([a-z]+)([!-&(-/:-@[-`{-~]+)")
+#: Letters (lower-case ASCII, and those from U+00C0 to U+027F but U+0130, whose lower case has a mark) and ASCII signs but the
+#: apostrophe: those rules part them in any case.
+_SPLIT = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc9][\x80-\xbf])+)([!-&(-/:-@[-`{-~]+)")
 _state: dict = {}
 
 
@@ -46,8 +47,20 @@ def case_matters(text: bytes) -> bool:
     return b"<|" in text or b"\xcc" in text or b"\xcd" in text
 
 
+class _Index(dict):
+    """Numbers of words in the order in which they are first asked for; `new` lists those whose ids are not known yet."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class _Words:
-    """Ids of words, each encoded once: word i has ids flat[at[i]:at[i + 1]]."""
+    """Ids of words, each encoded once: word i has ids flat[first[i]:first[i] + size[i]]."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,33 +72,56 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.flat = np.concatenate([self.flat, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.index = _Index()
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.first, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _set(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the words with these numbers, one after the other. Arrays double, so that each id moves a few times at most."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.index) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these places, one after the other, and how many each has."""
-        first = self.at[at]
-        sizes = self.at[at + 1] - first
+        sizes = self.size[at]
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
-
-    def learn(self, words: set[bytes]) -> None:
-        cut = {w: m.groups() for w in words if (m := _SPLIT.fullmatch(w))}
-        new = list(words.difference(cut).union(itertools.chain.from_iterable(cut.values())).difference(self.index))
+        return self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has. Words of letters only go as one text with blanks between
+        them: no part of the tokenizer's crosses a blank, so there are as many parts as words only if each word is one; if
+        there are more, as where a letter's lower case has a mark, the words are encoded one by one."""
+        if len(words) > 1 and all(map(str.isalpha, words)):
+            e = self.tok.encode(" ".join(words), add_special_tokens=False)
+            of = e.word_ids
+            if of and None not in of and of[-1] == len(words) - 1:
+                return np.array(e.ids, np.uint32), np.bincount(np.array(of, np.int64), minlength=len(words))
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [e.ids for e in encode([w.decode() for w in part], add_special_tokens=False)]
-            self._add(part, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        ids = [e.ids for e in encode(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def learn(self) -> None:
+        """Encode the words that are new in the index."""
+        index, cut, letters, other = self.index, [], [], []
+        for w in index.new:  # parts that are new are added at its end
+            if m := _SPLIT.fullmatch(w):
+                cut.append((index[w], index[m[1]], index[m[2]]))
+            else:
+                (letters if (t := w.decode()).isalpha() else other).append((index[w], t))
+        index.new = []
+        for kind, most in ((letters, 1_000), (other, 20_000)):
+            for i in range(0, len(kind), most):
+                at, words = zip(*kind[i : i + most])
+                self._set(np.array(at, np.int64), *self._encoded(list(words)))
         if cut:
-            at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut.values())), np.int64, 2 * len(cut))
-            ids, sizes = self.gather(at)
-            self._add(list(cut), ids, sizes.reshape(-1, 2).sum(axis=1))
+            at = np.array(cut, np.int64)
+            ids, sizes = self.gather(at[:, 1:].ravel())
+            self._set(at[:, 0], ids, sizes.reshape(-1, 2).sum(axis=1))
 
 
 def _ids_of(texts: list[bytes], path: str) -> list[np.ndarray]:
@@ -96,14 +132,13 @@ def _ids_of(texts: list[bytes], path: str) -> list[np.ndarray]:
     known: _Words = _state["words"]
     if not known.by_word:
         return [np.array(e.ids, np.uint32) for e in known.tok.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-    split = [(t if case_matters(t) else t.lower()).split() for t in texts]
     if len(known.index) > CACHE_WORDS:
         known.clear()
-    new = set(itertools.chain.from_iterable(split)).difference(known.index)
-    if new:
-        known.learn(new)
+    split = [(t if case_matters(t) else t.lower()).split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     at = np.fromiter(map(known.index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+    if known.index.new:
+        known.learn()
     ids, sizes = known.gather(at)
     bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)[:-1]] if len(counts) else []
     return np.split(ids, bounds)

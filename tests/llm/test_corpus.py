@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import textwrap
 import zlib
 
@@ -65,6 +66,31 @@ def test_tokens_of_marks_and_random_texts():
     assert [t for t, a, b in zip(texts, got, want) if a.tolist() != b] == []
 
 
+def test_words_of_letters_are_encoded_together(monkeypatch):
+    """Few calls for many words, and the library's ids, also where a letter's lower case has a mark or a sign follows."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, rng = token_files._Words(path), random.Random(3)
+    lib, asked = known.tok, []
+
+    class Counting:
+        def encode(self, text, **kw):
+            return asked.append(1) or lib.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            return asked.extend(texts) or lib.encode_batch(texts, **kw)
+
+    Counting.encode_batch = Counting.encode_batch_fast
+    known.tok = Counting()
+    monkeypatch.setattr(token_files, "_state", {"path": path, "words": known})
+    plain = ["".join(rng.choices("abcdeéñßŉĳǆɐжж中", k=rng.randint(1, 9))) + rng.choice(["", "", ",", "...", "!?"]) for _ in range(4000)]
+    odd = ["İ,", "İstanbul", "aİb", "é»,", "×,", "é×,", "a÷b", "ﬁn", "ª", "ˇ", "x\u0338=", "é\u0301,", "l'été,", "ΣΑΣ", "ΣΑΣ.", "\U0001d538b", "٣٤", "ǅ.", "ɿ;", "Éa,É"]
+    for words in (plain, odd, plain[:5] + odd):
+        asked.clear()
+        ids = token_files._ids_of([" ".join(words).encode(), b"", *(w.encode() for w in odd)], path)
+        assert [x.tolist() for x in ids] == [e.ids for e in lib.encode_batch([" ".join(words), "", *odd], add_special_tokens=False)]
+        assert words is not plain or len(asked) < 2500
+
+
 def test_other_tokenizers_get_whole_texts():
     from tokenizers import Tokenizer
 
