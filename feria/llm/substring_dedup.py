@@ -105,9 +105,9 @@ def occurrences(base: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def sharded(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """shard key, segment (anchor, content), windows, weight and 32-bit word codes of the segments to index, read from one
-    occurrence of each."""
-    per_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "weight")).alias("segs"))
+    """shard key, segment (anchor, content), windows, weight, 32-bit word codes and whether its anchor is hot, of the segments to
+    index, read from one occurrence of each: the texts are sent once for all of them."""
+    per_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "weight", "hot")).alias("segs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +118,7 @@ def sharded(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
                 for f, segs in zip(first.tolist(), part.column(1).to_pylist()):
                     for s in segs:
                         a, n = f + s["start"], s["windows"]
-                        out.append((s["anchor"], s["anchor"], s["content"], n, s["weight"], code[a : a + n + width - 1].tobytes()))
+                        out.append((s["anchor"], s["anchor"], s["content"], n, s["weight"], code[a : a + n + width - 1].tobytes(), s["hot"]))
                         if len(out) >= 20_000:
                             yield _rows(out)
                             out = []
@@ -128,37 +128,39 @@ def sharded(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
     return base.join(per_row, "row").select("z", "segs").mapInArrow(common.trimmed(run), _SHARD)
 
 
-_SHARD = "shard long, anchor long, content long, windows int, weight long, codes binary"
+_SHARD = "shard long, anchor long, content long, windows int, weight long, codes binary, hot boolean"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "anchor", "content", "windows", "weight", "codes"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "anchor", "content", "windows", "weight", "codes", "hot"])
 
 
-def hot_windows(found: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """Every window of the segments of hot anchors: two independent hashes of it, its segment (anchor, content), offset,
-    the segment's weight and 32-bit word codes."""
-    per_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "weight")).alias("segs"))
+def hot_windows(segments: DataFrame, width: int) -> DataFrame:
+    """Every window of the segments of hot anchors: two hashes of its word codes, the first with the anchor, which equal
+    windows share, its segment (anchor, content), offset, the segment's weight and 32-bit word codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in _unzipped(batch):
-                words, first, starts, ends = _words(raw, at)
-                other = common.span_hashes(common.byte_values(raw, other=True), starts, ends)
-                code = (words >> np.uint64(32)).astype(np.uint32)
-                for f, segs in zip(first.tolist(), part.column(1).to_pylist()):
-                    n = np.array([s["windows"] for s in segs])
-                    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    place = np.repeat([f + s["start"] for s in segs], n) + offset
-                    keys = [common.span_hashes(w, place, place + width).view(np.int64) for w in (words, other)]
-                    each = [np.repeat([s[k] for s in segs], n) for k in ("anchor", "content", "weight")]
-                    for i in range(0, len(place), 20_000):
-                        at_ = slice(i, i + 20_000)
-                        codes = pa.array([code[p : p + width].tobytes() for p in place[at_].tolist()], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_]), pa.array(keys[1][at_]), pa.array(each[0][at_]), pa.array(each[1][at_]), pa.array(offset[at_].astype(np.int32)), pa.array(each[2][at_]), codes], names=["k1", "k2", "anchor", "content", "offset", "weight", "codes"])
-
-    return base.join(per_row, "row").select("z", "segs").mapInArrow(common.trimmed(run), "k1 long, k2 long, anchor long, content long, offset int, weight long, codes binary")
+            if not batch.num_rows:
+                continue
+            anchor, content, n, weight = (batch.column(k).to_numpy() for k in range(4))
+            codes = batch.column(4).to_pylist()
+            flat = np.frombuffer(b"".join(codes), np.uint32)
+            begin = np.cumsum([0, *(len(c) // 4 for c in codes[:-1])])
+            n = n.astype(np.int64)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = np.repeat(begin, n) + offset
+            each = [np.repeat(x, n) for x in (anchor, content, weight)]
+            wide = flat.astype(np.uint64)
+            k1, k2 = (common.span_hashes(common.mix64(wide ^ np.uint64(salt)), place, place + width) for salt in (0x5555555555555555, 0xA5A5A5A5A5A5A5A5))
+            k1 = k1 ^ common.mix64(each[0].view(np.uint64))
+            for i in range(0, len(place), 20_000):
+                at = slice(i, i + 20_000)
+                own = pa.array([flat[p : p + width].tobytes() for p in place[at].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(each[0][at]), pa.array(each[1][at]), pa.array(offset[at].astype(np.int32)), pa.array(each[2][at]), own], names=["k1", "k2", "anchor", "content", "offset", "weight", "codes"])
+
+    return segments.select("anchor", "content", "windows", "weight", "codes").mapInArrow(common.trimmed(run), "k1 long, k2 long, anchor long, content long, offset int, weight long, codes binary")
 
 
 def searched(segments: DataFrame, width: int, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -216,10 +218,12 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
     common.discard(distinct)
     parts = common.shuffle_parts(spark)
     cut = lambda rows: rows.repartition(parts, "shard").sortWithinPartitions("shard")
-    ranges = common.written(searched(cut(sharded(found.where("not hot"), base, width)), width, index_words), "ranges")
+    segments = common.written(sharded(found, base, width), "coded-segments")
+    common.discard(found)
+    ranges = common.written(searched(cut(segments.where("not hot").drop("hot")), width, index_words), "ranges")
     common.release(spark)
-    if not found.where("hot").isEmpty():
-        windows = hot_windows(found.where("hot"), base, width)
+    if not segments.where("hot").isEmpty():
+        windows = hot_windows(segments.where("hot"), width)
         once = windows.groupBy("k1", "k2").agg(F.sum("weight").alias("weight"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("n"))
         once = common.written(once, "hot-windows")
         again = searched(cut(once.select(F.col("k1").alias("shard"), F.col("k1").alias("anchor"), F.col("k2").alias("content"), F.lit(1).alias("windows"), "weight", "codes")), width, index_words)
@@ -230,7 +234,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot
         more = common.written(more, "hot-ranges")
         common.discard(places, again)
         ranges = ranges.unionByName(more)
-    common.discard(found)
+    common.discard(segments)
     spans = occ.join(ranges, ["anchor", "content"]).select("row", F.struct((F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + width).alias("e")).alias("span"))
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 

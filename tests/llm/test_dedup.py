@@ -177,3 +177,18 @@ def test_backward_search_counts():
         for c in p[-2::-1]:
             lo, hi = index.extend(lo, hi, np.array([c]))
         assert hi[0] - lo[0] == sum((text[i : i + n] == p).all() for i in range(len(text) - n + 1))
+
+
+def test_texts_are_sent_once_for_all_segments(docs, monkeypatch):
+    """Windows of hot anchors come from the coded segments: the texts meet their segments once, and their spans once."""
+    read, write = [], common.written
+
+    def counted(df, name):
+        read.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("z#") > 0))
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", counted)
+    substring_dedup.remove_repeats(docs, hot=2).count()
+    names = [name for name, _ in read]
+    assert "hot-windows" in names  # the hot way is taken
+    assert [name for name, texts in read if texts and name not in ("texts", "segments")] == ["coded-segments"]
