@@ -253,7 +253,8 @@ def _m9(spark, sf_dir):
 SELECT p_partkey, string_agg(format('{:x}', list_sum(list_transform(range(4), lambda b: CASE WHEN px[(d * 4 + b) // 8 * 9 + (d * 4 + b) % 8 + 1] >= px[(d * 4 + b) // 8 * 9 + (d * 4 + b) % 8 + 2] THEN (8 >> b) ELSE 0 END))::BIGINT), '' ORDER BY d) AS hash FROM g, range(16) r(d) GROUP BY 1""", base=False)
 def _m12(spark, sf_dir):
     pixels = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (F.col("p_partkey") * (i + 7) * 31 + i * i) % 251)
-    return model.read(spark, sf_dir, "part").select("p_partkey", text.difference_hash(pixels).alias("hash"))
+    rows = model.spread(model.read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return rows.select("p_partkey", text.difference_hash(pixels).alias("hash"))
 
 
 @on_deals("P11_decided", "SELECT deal_id AS sku_id, CASE WHEN status = 'pending' AND deal_id % 4 = 0 THEN 'confirmed' WHEN status = 'pending' AND deal_id % 4 = 1 THEN 'rejected' WHEN status = 'pending' THEN 'pending_review' ELSE status END AS status, CASE WHEN status = 'pending' AND deal_id % 4 < 2 THEN 'admin' END AS decided_by FROM deal")

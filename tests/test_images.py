@@ -69,3 +69,20 @@ def test_hashes_of_files(spark, tmp_path):
     odd = spark.createDataFrame([(1, None, "x"), (2, bytearray(files["a.png"]), None), (3, bytearray(), None)], "`the id` long, content binary, _px2 string")
     assert {r["the id"]: r.image_hash for r in images.with_hash(odd).collect()} == {1: None, 2: got["a.png"], 3: None}
     assert images.with_hash(odd.where("false")).collect() == []
+
+
+def test_grey_values_are_computed_once(spark):
+    """Values that are an expression stand in the plan once, and not for each of the 128 places that the hash reads."""
+    from pyspark.sql import functions as F
+
+    from feria.functions import text
+
+    px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (F.col("id") * (i + 7) * 31 + i * i) % 251)
+    rows = spark.range(2000).select("id", text.difference_hash(px).alias("h"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("% 251") == 1
+    got = {r.id: r.h for r in rows.collect()}
+    for k in (0, 1, 7, 1999):
+        v = [(k * (i + 7) * 31 + i * i) % 251 for i in range(72)]
+        bits = "".join("1" if v[i // 8 * 9 + i % 8] >= v[i // 8 * 9 + i % 8 + 1] else "0" for i in range(64))
+        assert got[k] == f"{int(bits, 2):016x}"
+    assert spark.range(1).select(text.difference_hash(F.array(F.lit(1))).alias("h")).first().h is None
