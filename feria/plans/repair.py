@@ -17,9 +17,9 @@ from feria.streaming import runs
 
 
 def _products(m: model.Model):
-    described = text.normalized(F.concat_ws(" ", "name", F.concat(F.col("size").cast("string"), F.lit(" gr"))))
+    described = F.concat_ws(" ", "name", F.concat(F.col("size").cast("string"), F.lit(" gr")))
     rows = m.product.join(m.category.select("category_id", F.col("path").alias("context")), "category_id", "left")
-    return rows.select(F.col("product_id").alias("id"), described.alias("n"), F.col("brand").alias("declared"), "context", code(F.col("product_id")).alias("ean"), "slug", "name")
+    return rows.select(F.col("product_id").alias("id"), described.alias("t"), F.col("brand").alias("declared"), "context", code(F.col("product_id")).alias("ean"), "slug", "name")
 
 
 def _listings(m: model.Model):
@@ -30,7 +30,7 @@ def _listings(m: model.Model):
     own = m.product.join(m.category.select("category_id", F.col("path").alias("context")), "category_id", "left").withColumnRenamed("product_id", "product_key")
     rows = m.sku.join(own, "product_key")
     declared = F.when(k % 17 == 0, "Brand#99").when(k % 5 != 0, F.col("brand"))
-    return rows.select(k.alias("id"), "store_id", text.normalized(F.concat_ws(" ", name, size)).alias("n"), declared.alias("declared"), F.when(k % 3 != 0, F.col("context")).alias("context"), F.when(k % 4 == 0, code(F.col("product_key"))).alias("ean"))
+    return rows.select(k.alias("id"), "store_id", F.concat_ws(" ", name, size).alias("t"), declared.alias("declared"), F.when(k % 3 != 0, F.col("context")).alias("context"), F.when(k % 4 == 0, code(F.col("product_key"))).alias("ean"))
 
 
 _TEXT = ["name", "declared", "amount", "pack", "light", "context", "valid"]
@@ -148,7 +148,7 @@ def _reconciled(spark, sf_dir):
     m = model.from_star(spark, sf_dir)
     ago = lambda days: F.lit(m.now).cast("timestamp") - F.make_dt_interval(days=days.cast("int"))
     products = _products(m).withColumnRenamed("id", "product_id").withColumns({"created_at": ago(F.col("product_id") % 60), "updated_at": ago(F.col("product_id") % 7)})
-    links = m.link.where("product_id % 40 >= 10").join(_listings(m).withColumnRenamed("id", "sku_id"), "sku_id").select("sku_id", "product_id", "status", "n", "declared", "context", "ean")
+    links = m.link.where("product_id % 40 >= 10").join(_listings(m).withColumnRenamed("id", "sku_id"), "sku_id").select("sku_id", "product_id", "status", "t", "declared", "context", "ean")
     deals = model.read(spark, sf_dir, "orders").where("o_orderkey % 200 = 0").select(F.col("o_custkey").alias("product_id")).distinct()
     return repair.reconciled(products, links, deals, m.now)
 
@@ -201,7 +201,8 @@ SELECT id AS sku_id, name, CASE WHEN length(split_part(name, ' ', 1)) >= 3 THEN
   CASE WHEN pack THEN 'pack' WHEN light THEN 'light' ELSE '' END AS variants, 0 AS types FROM left_side""")
 def _normalized(spark, sf_dir):
     """The normalised text of every listing: name, guessed brand, size, pack, variants."""
-    rows = _listings(model.from_star(spark, sf_dir))
+    checkpoints(spark)
+    rows = matching.with_described(_listings(model.from_star(spark, sf_dir)))
     return rows.select(F.col("id").alias("sku_id"), "n.name", "n.brand", "n.unit.amount", "n.unit.unit", F.col("n.pack.count").cast("double").alias("count"), "n.pack.is_pack", F.array_join("n.variants", ",").alias("variants"), F.size("n.types").alias("types"))
 
 
@@ -210,7 +211,8 @@ SELECT id AS sku_id, count(*) AS products, min(product_id) AS least_id FROM word
 def _contained(spark, sf_dir):
     """Products whose name contains the first word of a listing without a link, anywhere."""
     m = model.from_star(spark, sf_dir)
-    orphans = _listings(m).join(m.link.select(F.col("sku_id").alias("id")), "id", "left_anti").select(F.col("id").alias("sku_id"), F.col("n.name").alias("text"))
+    checkpoints(spark)
+    orphans = matching.with_described(_listings(m).join(m.link.select(F.col("sku_id").alias("id")), "id", "left_anti")).select(F.col("id").alias("sku_id"), F.col("n.name").alias("text"))
     return jobs.products_containing(orphans, m.product)
 
 
@@ -266,9 +268,10 @@ def _rematched(spark, sf_dir):
     """Links between a pack and a single article: to another product, or to review."""
     checkpoints(spark)
     m = model.from_star(spark, sf_dir)
-    described = text.normalized(F.concat_ws(" ", "name", F.when(F.col("id") % 3 == 0, "pack x 6"), F.concat(F.col("size").cast("string"), F.lit(" gr"))))
-    products = _products(m).drop("n", "slug", "name").join(m.product.select(F.col("product_id").alias("id"), "name", "size"), "id").withColumn("n", described).drop("name", "size").checkpoint()
-    listings = _listings(m).drop("store_id").checkpoint()
-    links = m.link.select("sku_id", "product_id", "status").join(listings.select(F.col("id").alias("sku_id"), F.col("n").alias("sku_n")), "sku_id").join(products.select(F.col("id").alias("product_id"), F.col("n").alias("product_n")), "product_id")
-    odd = jobs.conflicts(links).checkpoint()
+    described = F.concat_ws(" ", "name", F.when(F.col("id") % 3 == 0, "pack x 6"), F.concat(F.col("size").cast("string"), F.lit(" gr")))
+    products = _products(m).drop("t", "slug", "name").join(m.product.select(F.col("product_id").alias("id"), "name", "size"), "id").withColumn("t", described).drop("name", "size")
+    listings = _listings(m).drop("store_id")
+    what = lambda rows, key, name: matching.with_described(rows.select(F.col("id").alias(key), "t")).select(key, F.struct("n.pack", "n.variants").alias(name))
+    links = m.link.select("sku_id", "product_id", "status").join(what(listings, "sku_id", "sku_n"), "sku_id").join(what(products, "product_id", "product_n"), "product_id")
+    odd = jobs.conflicts(links).select("sku_id", "product_id").checkpoint()
     return jobs.rematched(odd, matching.match(listings.join(odd.select(F.col("sku_id").alias("id")), "id", "left_semi"), products))

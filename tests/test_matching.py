@@ -19,6 +19,29 @@ def test_hot_words_in_blocks(spark):
         assert sorted((r.left_id, r.right_id) for r in matching.candidates(df, df, block=block).collect()) == want
 
 
+def test_match_of_descriptions(spark):
+    """Descriptions give what their normalized texts give, by code, by text, with own products and among earlier ones."""
+    from pyspark.sql import functions as F
+
+    from feria.functions import text
+    from feria.operators import matching
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    schema = "id long, t string, declared string, context string, ean string"
+    code = "7790000000012"
+    products = [(1, "yerba suave 500 g", "uno", "almacen", code), (2, "yerba suave 500 g", "dos", "almacen", None), (3, "yerba suave 1 kg", None, None, None), (4, None, "uno", None, None)]
+    listings = [(10 + i, t, d, c, e) for i, (t, d, c, e) in enumerate((t, d, c, e) for t in ("yerba suave 500 g", "yerba suaves", "yerba suave pack x 6", None) for d in ("uno", None) for c in ("almacen", "bazar", None) for e in (code, None))]
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    normal = lambda d: d.withColumn("n", text.normalized(F.col("t"))).drop("t")
+    left, right = make(listings).withColumn("own_id", F.lit(1).cast("long")), make(products)
+    got = sorted(matching.match(left, right).collect(), key=lambda r: r.left_id)
+    assert got == sorted(matching.match(normal(left), normal(right)).collect(), key=lambda r: r.left_id)
+    assert len(got) == len(listings) and all(r.own for r in got) and got[0].own_score == 1.0 and got[0].right_id == 1
+    assert {r.by_ean for r in got if r.left_id % 2 == 0} == {True} and got[-1].own_score is None
+    early = {r.left_id: r.text_id for r in matching.match(make(listings), make(listings), earlier=True).collect()}
+    assert early[11] == 10 and early[10] is None
+
+
 def test_match_routing(spark):
     """Every listing has one row; codes come first, in doubt where texts or packs differ; brands and variants block."""
     from pyspark.sql import functions as F
