@@ -19,6 +19,16 @@ def test_hot_words_in_blocks(spark):
         assert sorted((r.left_id, r.right_id) for r in matching.candidates(df, df, block=block).collect()) == want
 
 
+def test_pairs_of_one_table(spark):
+    """Pairs of one table are made once each, also of rows with equal words in many lists, and only lists of ids are dealt."""
+    from feria.operators import matching
+
+    words = [(i, ["aaa", f"w{i % 5}x"] if i % 3 else ["ccc", "bb"]) for i in range(50)]
+    df = spark.createDataFrame(words, "id long, tokens array<string>")
+    got = sorted((r.left_id, r.right_id) for r in matching.candidates(df, block=4).collect())
+    assert got == [(a, b) for a, x in words for b, y in words if a < b and {w for w in x if len(w) > 2} & set(y)]
+
+
 def test_match_of_descriptions(spark):
     """Descriptions give what their normalized texts give, by code, by text, with own products and among earlier ones."""
     from pyspark.sql import functions as F
