@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feria.functions import text
 from feria.operators import matching
 from feria.schemas import RULES, Rules
-from feria.sources.model import rank
+from feria.sources.model import kept, rank
 
 
 def by_code(listings: DataFrame, products: DataFrame) -> DataFrame:
@@ -72,37 +72,76 @@ def consolidated(products: DataFrame, links: DataFrame, least_name: float = 0.86
     """product_id and keep_id of every product of a group of equal articles; the one that stays has most links, then the
     longest name, then the least id.
 
-    `products` has product_id, n (`text.normalized`), declared (brand or null), context (or null), unit_amount and unit_type
-    (or null); `links` product_id, store_id and status. Two products are one article if they have the same size of their own
-    and the same brand (or none), no store sells both, their names are alike, the later one scores well as the earlier one's
-    match, and sizes in both names are equal (in one name only: the names are nearly the same). Groups are what such pairs
-    connect. Products that are equal in all this and in their stores are compared as one, and only names that a bound on
-    their likeness lets meet are compared at all (`matching.alike_names`), so no bucket is a list of all its pairs.
+    `products` has product_id, n (`text.normalized`) or t (a description), declared (brand or null), context (or null),
+    unit_amount and unit_type (or null); `links` product_id, store_id and status. Two products are one article if they have
+    the same size of their own and the same brand (or none), no store sells both, their names are alike, the later one scores
+    well as the earlier one's match, and sizes in both names are equal (in one name only: the names are nearly the same).
+    Groups are what such pairs connect.
+
+    Texts are compared once for each two of them. Of two texts that match, all products meet the first product of the one
+    and the last of the other; these connect nearly all, and only products that share a store with one of the two meet all
+    products of the other text. If the two share one themselves, all products meet.
     """
     live = links.where("status != 'rejected'").select("product_id", "store_id")
     sold = live.groupBy("product_id").agg(F.sort_array(F.collect_set("store_id")).alias("stores"))
     size = F.when(F.col("unit_amount") != 0, F.concat_ws(":", "unit_type", F.round(F.col("unit_amount") * 1000).cast("long").cast("string")))
     size = F.when(F.col("unit_type").isNotNull(), size)
-    rows = products.select("product_id", "n", "declared", "context", size.alias("size")).join(sold, "product_id", "left").withColumn("stores", F.coalesce("stores", F.array().cast(sold.schema["stores"].dataType)))
-    rows = rows.withColumn("bucket", F.to_json(F.struct("size", F.coalesce("declared", "n.brand").alias("brand")))).withColumn("key", F.to_json(F.struct("n", "declared", "context", "size", "stores"))).checkpoint()
-    fields = ["n", "declared", "context", "size", "stores", "bucket"]
-    groups = rows.groupBy("key").agg(F.min("product_id").alias("lo"), F.max("product_id").alias("hi"), *[F.first(c).alias(c) for c in fields]).checkpoint()
-    names = groups.select(F.col("n.name").alias("name")).distinct()
+    said = "t" if "t" in products.columns else "n"
+    rows = products.select("product_id", said, "declared", "context", size.alias("size")).withColumn("key", F.to_json(F.struct(said, "declared", "context", "size")))
+    texts = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in (said, "declared", "context", "size")], F.min("product_id").alias("lo"), F.max("product_id").alias("hi")).checkpoint()
+    texts = (matching.with_described(texts) if said == "t" else texts).withColumn("bucket", F.to_json(F.struct("size", F.coalesce("declared", "n.brand").alias("brand"))))
+    texts = texts.select("*", F.monotonically_increasing_id().alias("no")).checkpoint()
+    pairs = _alike_texts(texts, least_name, least_score, sure_name).checkpoint()
+    own = rows.join(texts.select("key", "no", F.col("n.name").alias("name")), "key").join(sold, "product_id", "left")
+    own = kept(own.select("product_id", "no", "name", F.coalesce("stores", F.array().cast(sold.schema["stores"].dataType)).alias("stores")))
+    nodes = matching.min_labels(_article_edges(own, pairs))
+    members = own.select("product_id", "name").join(nodes.select(F.col("node").alias("product_id"), F.col("component").alias("group")), "product_id").checkpoint()
+    return members.join(matching.keepers(members, live), "group").select("product_id", "keep_id")
+
+
+def _alike_texts(texts: DataFrame, least_name: float, least_score: float, sure_name: float) -> DataFrame:
+    """left and right: numbers of texts whose products may be one article, an earlier one of left and a later one of right."""
+    names = texts.select(F.col("n.name").alias("name")).distinct().checkpoint()
     names = matching.alike_names(names, names, least_name)
-    a, b = (groups.select(F.col("n.name").alias(f"{s}_name"), "bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("lo", "hi", "n", "declared", "context", "size", "stores")]) for s in ("left", "right"))
-    pairs = a.join(names, "left_name").join(b, ["right_name", "bucket"]).where("left_lo < right_hi").where(~F.arrays_overlap("left_stores", "right_stores"))
-    unit_a, unit_b = F.col("left_n.unit"), F.col("right_n.unit")
+    a, b = (texts.select(F.col("n.name").alias(f"{s}_name"), "bucket", matching.traits(F.col("n")).alias(f"{s}_traits"), *[F.col(c).alias(f"{s}_{c}") for c in ("no", "lo", "hi", "declared", "context", "size")], F.col("n.unit").alias(f"{s}_unit")) for s in ("left", "right"))
+    pairs = a.join(names, "left_name").join(b, ["right_name", "bucket"]).where("left_lo < right_hi")
+    unit_a, unit_b = F.col("left_unit"), F.col("right_unit")
     has_a, has_b = (u["unit"].isNotNull() | u["amount"].isNotNull() for u in (unit_a, unit_b))
     equal = F.coalesce((unit_a["unit"] == unit_b["unit"]) & (F.col("left_size") == F.col("right_size")) & (unit_a["amount"] == unit_b["amount"]) & (unit_a["amount"] != 0), F.lit(False))
     pairs = pairs.where(F.when(has_a & has_b, equal).when(has_a | has_b, F.col("alike") >= sure_name).otherwise(True))
-    score = matching.semantic_score(
-        F.col("left_n"), F.col("right_n"), name=F.col("alike"), context=F.when(F.col("left_context").isNotNull() & F.col("right_context").isNotNull(), text.dice(F.col("left_context"), F.col("right_context"))),
-        other_brand=F.col("left_declared") != F.col("right_declared"), same_brand=F.col("left_declared") == F.coalesce("right_declared", "right_n.brand"),
+    near = F.when(F.col("left_context").isNotNull() & F.col("right_context").isNotNull(), text.dice(F.col("left_context"), F.col("right_context")))
+    x, y = F.col("left_traits"), F.col("right_traits")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    other_type, other_line, same_type = matching.pair_blocks(x, y)
+    score = matching.scored(
+        matching.blended(F.col("alike"), near), matching.pair_size(x, y), other_type, other_line, same_type,
+        known(F.col("left_declared") != F.col("right_declared")), known(F.col("left_declared") == F.coalesce("right_declared", "right_traits.brand")),
     )
-    nodes = matching.min_labels(pairs.where(score >= least_score).select(F.col("left_lo").alias("a"), F.col("right_lo").alias("b")))
-    of = groups.select("key", "lo").join(nodes.select(F.col("node").alias("lo"), F.col("component").alias("group")), "lo").select("key", "group")
-    members = rows.join(of, "key").select("group", "product_id", F.col("n.name").alias("name")).checkpoint()
-    return members.join(matching.keepers(members, live), "group").select("product_id", "keep_id")
+    return pairs.where(score >= least_score).select(F.col("left_no").alias("left"), F.col("right_no").alias("right"))
+
+
+def _article_edges(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a and b: products (own: product_id, no, stores) that connect what all pairs of an earlier product of text left and a
+    later one of text right without a common store would."""
+    ends = own.groupBy("no").agg(F.min(F.struct("product_id", "stores")).alias("first"), F.max(F.struct("product_id", "stores")).alias("last")).checkpoint()
+    met = pairs.join(ends.select(F.col("no").alias("left"), "first"), "left").join(ends.select(F.col("no").alias("right"), "last"), "right")
+    met = met.withColumn("joined", F.expr("first.product_id < last.product_id and not arrays_overlap(first.stores, last.stores)")).checkpoint()
+    apart = ~F.arrays_overlap("x_stores", "y_stores")
+    side = lambda s: own.select(F.col("no").alias("left" if s == "x" else "right"), F.col("product_id").alias(f"{s}_id"), F.col("stores").alias(f"{s}_stores"))
+    good = met.where("joined")
+    later = good.join(side("y"), "right").select("left", F.col("first.product_id").alias("x_id"), F.col("first.stores").alias("x_stores"), "y_id", "y_stores").where("x_id < y_id")
+    early = good.join(side("x"), "left").select("right", F.col("last.product_id").alias("y_id"), F.col("last.stores").alias("y_stores"), "x_id", "x_stores").where("x_id < y_id")
+    stars = later.where(apart).select(F.col("x_id").alias("hub"), F.col("y_id").alias("v")).union(early.where(apart).select(F.col("y_id").alias("hub"), F.col("x_id").alias("v")))
+    stars = stars.groupBy("v").agg(F.collect_set("hub").alias("hubs")).select("v", "hubs", F.array_min("hubs").alias("hub")).checkpoint()
+    edges = stars.select(F.col("v").alias("a"), F.col("hub").alias("b")).union(stars.select("hub", F.explode("hubs").alias("b")).where("hub != b").distinct())
+    rest = [
+        later.where(~apart).select("left", "y_id", "y_stores").distinct().join(side("x"), "left"),
+        early.where(~apart).select("right", "x_id", "x_stores").distinct().join(side("y"), "right"),
+        met.where("not joined").select("left", "right").join(side("x"), "left").join(side("y"), "right"),
+    ]
+    for r in rest:
+        edges = edges.union(r.where("x_id < y_id").where(apart).select("x_id", "y_id"))
+    return edges.distinct()
 
 
 def other_sizes(products: DataFrame, links: DataFrame, least: float = 0.95) -> DataFrame:

@@ -250,7 +250,7 @@ def _consolidated(spark, sf_dir):
     k = F.col("product_id")
     name = F.when(k % 3 == 1, F.substring("name", F.lit(1), F.length("name") - 1)).otherwise(F.col("name"))
     rows = m.product.select(
-        k, text.normalized(F.concat_ws(" ", name, F.when(k % 7 != 5, "100 gr"))).alias("n"), F.when(k % 5 != 0, F.concat(F.lit("b"), (k % 2).cast("string"))).alias("declared"), F.lit(None).cast("string").alias("context"),
+        k, F.concat_ws(" ", name, F.when(k % 7 != 5, "100 gr")).alias("t"), F.when(k % 5 != 0, F.concat(F.lit("b"), (k % 2).cast("string"))).alias("declared"), F.lit(None).cast("string").alias("context"),
         F.when(k % 11 != 0, 100.0).alias("unit_amount"), F.when(k % 11 != 0, "g").alias("unit_type"),
     )
     return jobs.consolidated(rows, m.link.join(m.sku.select("sku_id", "store_id"), "sku_id").select("product_id", (F.col("store_id") * 8 + k % 8).alias("store_id"), "status"))

@@ -143,3 +143,21 @@ def test_repair_and_reconcile(spark):
     assert [tuple(r) for r in merges.collect()] == [(1, 2, True)]
     assert [(r.sku_id, r.old_id, r.decision, r.product_id) for r in decisions.collect()] == [(21, 2, "rejected", None)]
     assert [r.product_id for r in removed.collect()] == [5]
+
+
+def test_article_edges_connect_as_all_pairs_do(spark):
+    """What first and last products connect, and those that share a store with them, beside all pairs."""
+    import random
+
+    from feria.operators import jobs, matching
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rng = random.Random(5)
+    for stores in (3, 8):
+        own = [(i, rng.randrange(4), sorted(rng.sample(range(stores), rng.randint(0, 2)))) for i in range(40)]
+        pairs = [(a, b) for a in range(4) for b in range(4) if rng.random() < 0.3]
+        edges = [(a, b) for a, x, p in own for b, y, q in own if a < b and (x, y) in pairs and not set(p) & set(q)]
+        frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+        few = jobs._article_edges(frame(own, "product_id long, no long, stores array<long>"), frame(pairs, "left long, right long"))
+        groups = lambda df: sorted((r.node, r.component) for r in matching.min_labels(df).collect())
+        assert groups(few) == groups(frame(edges, "a long, b long"))
