@@ -161,3 +161,18 @@ def test_article_edges_connect_as_all_pairs_do(spark):
         few = jobs._article_edges(frame(own, "product_id long, no long, stores array<long>"), frame(pairs, "left long, right long"))
         groups = lambda df: sorted((r.node, r.component) for r in matching.min_labels(df).collect())
         assert groups(few) == groups(frame(edges, "a long, b long"))
+
+
+def test_descriptions_are_normalized_once(spark):
+    """Rows of one description share its normalized text; rows without one keep nulls."""
+    from pyspark.sql import functions as F
+
+    from feria.functions import text
+    from feria.operators import matching
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rows = spark.createDataFrame([(i, ["Arroz Oro 1 kg", "Yerba pack x 6", None][i % 3]) for i in range(30)], "id long, t string")
+    assert matching.described(rows.where("t is not null")).count() == 2
+    got = {r.id: r.n for r in matching.with_described(rows).collect()}
+    want = {r.id: r.n for r in rows.select("id", text.normalized(F.col("t")).alias("n")).where("id % 3 < 2").collect()}
+    assert {i: n for i, n in got.items() if i % 3 < 2} == want and all(got[i] is None for i in range(2, 30, 3))
