@@ -37,10 +37,10 @@ def repaired(orphans: DataFrame, products: DataFrame, rules: Rules = RULES) -> t
     rest = rows.where("product_id is null").join(slugs, "slug", "left").checkpoint()
     fresh = rest.where("slug_id is null").groupBy("slug").agg(F.min_by(F.struct("id", said, "declared", "context", "ean"), "id").alias("r")).select("slug", "r.*").checkpoint()
     plain = fresh.drop("slug")
-    near = matching.match(plain, plain, rules, earlier=True).where(F.col("text_score") >= rules.auto_match).select(F.col("left_id").alias("id"))
+    near = matching.match(plain, plain, rules, earlier=True, codes=False).where(F.col("text_score") >= rules.auto_match).select(F.col("left_id").alias("id"))
     later = fresh.join(near, "id", "left_semi").checkpoint()
     heads = fresh.join(later.select("id"), "id", "left_anti").checkpoint()
-    to = matching.match(later.drop("slug"), heads.drop("slug"), rules, earlier=True).where(F.col("text_score") >= rules.auto_match)
+    to = matching.match(later.drop("slug"), heads.drop("slug"), rules, earlier=True, codes=False).where(F.col("text_score") >= rules.auto_match)
     to = to.select(F.col("left_id").alias("id"), F.col("text_id").alias("head"), "text_score").join(heads.select(F.col("id").alias("head"), F.col("slug").alias("head_slug")), "head")
     moved = later.select("id", "slug").join(to, "id").select("slug", "head_slug", "text_score").checkpoint()
     links = rows.where("product_id is not null").select(F.col("id").alias("sku_id"), "product_id", F.lit(None).cast("string").alias("product_slug"), "method", "score", "status")
